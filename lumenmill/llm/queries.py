@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+import public_tokenizers
+
+from . import bpe, mixing, sharding
 
 
 def _documents(spark, sf_dir):
@@ -21,9 +23,14 @@ def op5_stratified_shards(spark, sf_dir):
     return sharding.shard(_documents(spark, sf_dir), shards=8)
 
 
+def op10_prefix_bpe(spark, sf_dir):
+    return bpe.tokenize(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op3_curriculum_mix": op3_curriculum_mix,
     "op5_stratified_shards": op5_stratified_shards,
+    "op10_prefix_bpe": op10_prefix_bpe,
 }
 
 ORACLES: dict[str, str] = {}
