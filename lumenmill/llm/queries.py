@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, mixing, sharding
+from . import bpe, langid, mixing, quality, sharding
 
 
 def _documents(spark, sf_dir):
@@ -15,6 +15,14 @@ def _embeddings(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
 
 
+def _labels(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op2_centroid_language(spark, sf_dir):
+    return langid.identify(_documents(spark, sf_dir), modulus=3, rest=1)
+
+
 def op3_curriculum_mix(spark, sf_dir):
     return mixing.mix(_documents(spark, sf_dir))
 
@@ -23,13 +31,19 @@ def op5_stratified_shards(spark, sf_dir):
     return sharding.shard(_documents(spark, sf_dir), shards=8)
 
 
+def op9_pu_quality(spark, sf_dir):
+    return quality.classify(_documents(spark, sf_dir), _labels(spark, sf_dir), modulus=3, rest=1)
+
+
 def op10_prefix_bpe(spark, sf_dir):
     return bpe.tokenize(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
 QUERIES = {
+    "op2_centroid_language": op2_centroid_language,
     "op3_curriculum_mix": op3_curriculum_mix,
     "op5_stratified_shards": op5_stratified_shards,
+    "op9_pu_quality": op9_pu_quality,
     "op10_prefix_bpe": op10_prefix_bpe,
 }
 
