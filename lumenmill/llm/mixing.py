@@ -77,4 +77,4 @@ def mix(docs: DataFrame, seed: str = "mix-0", buckets: int = BUCKETS, id_col: st
 
     copies = due(0).cast("int") + due(1).cast("int")
     out = placed.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), position(0).alias("position"), position(1).alias("second_position"), *(["_kept"] if keep else []))
-    return out.orderBy(F.col("position").asc_nulls_last())
+    return out.orderBy(F.col("position").asc_nulls_last(), seeded_hash(seed, F.col("doc_id")))
