@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, langid, mixing, quality, sharding
+from . import bpe, langid, mixing, quality, sharding, toxicity
 
 
 def _documents(spark, sf_dir):
@@ -31,6 +31,10 @@ def op5_stratified_shards(spark, sf_dir):
     return sharding.shard(_documents(spark, sf_dir), shards=8)
 
 
+def op7_channel_toxicity(spark, sf_dir):
+    return toxicity.classify(_documents(spark, sf_dir), _labels(spark, sf_dir), modulus=5, rest=0)
+
+
 def op9_pu_quality(spark, sf_dir):
     return quality.classify(_documents(spark, sf_dir), _labels(spark, sf_dir), modulus=3, rest=1)
 
@@ -43,6 +47,7 @@ QUERIES = {
     "op2_centroid_language": op2_centroid_language,
     "op3_curriculum_mix": op3_curriculum_mix,
     "op5_stratified_shards": op5_stratified_shards,
+    "op7_channel_toxicity": op7_channel_toxicity,
     "op9_pu_quality": op9_pu_quality,
     "op10_prefix_bpe": op10_prefix_bpe,
 }
