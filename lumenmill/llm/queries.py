@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, quality, sharding, toxicity
+from . import ann, bpe, langid, mixing, neardup, quality, sharding, toxicity
 
 
 def _documents(spark, sf_dir):
@@ -27,10 +28,18 @@ def op3_curriculum_mix(spark, sf_dir):
     return mixing.mix(_documents(spark, sf_dir))
 
 
+def op4_pivot_neardup(spark, sf_dir):
+    return neardup.near_duplicates(_embeddings(spark, sf_dir), threshold=0.9)
+
+
 def op5_stratified_shards(spark, sf_dir):
     return sharding.shard(_documents(spark, sf_dir), shards=8)
 
 
+def op6_multi_index_ann(spark, sf_dir):
+    return ann.search(_embeddings(spark, sf_dir), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op7_channel_toxicity(spark, sf_dir):
     return toxicity.classify(_documents(spark, sf_dir), _labels(spark, sf_dir), modulus=5, rest=0)
 
@@ -46,7 +55,9 @@ def op10_prefix_bpe(spark, sf_dir):
 QUERIES = {
     "op2_centroid_language": op2_centroid_language,
     "op3_curriculum_mix": op3_curriculum_mix,
+    "op4_pivot_neardup": op4_pivot_neardup,
     "op5_stratified_shards": op5_stratified_shards,
+    "op6_multi_index_ann": op6_multi_index_ann,
     "op7_channel_toxicity": op7_channel_toxicity,
     "op9_pu_quality": op9_pu_quality,
     "op10_prefix_bpe": op10_prefix_bpe,
