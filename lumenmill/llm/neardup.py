@@ -1,6 +1,6 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
-Reference points (pivots) are drawn from the vectors; each vector is described
+Reference points (pivots), no two of them close, are drawn from the vectors; each vector is described
 by its nearest pivots in order. An inverted list per pivot holds the vectors
 that name it. Two vectors are candidates if their descriptions share at least
 ``SHARED`` pivots; a candidate pair is verified by cosine in double precision,
@@ -34,6 +34,8 @@ THRESHOLD = 0.9
 NEAREST, SHARED = 10, 2
 #: Pivots per square root of the number of vectors; bounds of their number.
 DENSITY, FEWEST, MOST = 3.0, 32, 16_384
+#: Pivots are farther from each other than this cosine.
+APART = 0.7
 #: Vectors of a list in one block, and of one product.
 BLOCK, TILE = 8192, 1024
 
@@ -43,7 +45,22 @@ def choose_pivots(classes: DataFrame, total: int, width: int) -> np.ndarray:
     wanted = int(np.clip(DENSITY * total**0.5, FEWEST, MOST))
     u = F.pmod(F.xxhash64("digest"), F.lit(1 << 30)) / float(1 << 30)
     found = classes.select("digest", "v", u.alias("u")).filter(F.col("u") < min(1.0, 1.5 * wanted / max(1, total))).orderBy("u", "digest").limit(wanted).toPandas()
-    return unit(stacked(list(found["v"]), width)).astype(np.float32)
+    return apart(unit(stacked(list(found["v"]), width)).astype(np.float32))
+
+
+def apart(x: np.ndarray, most: float = APART) -> np.ndarray:
+    """The rows, less those too near an earlier one: a dense group gets one pivot, so its members' descriptions agree."""
+    kept = x[:1]
+    for s in range(1, len(x), 512):
+        block = x[s : s + 512]
+        block = block[(block @ kept.T).max(axis=1) < most]
+        near = block @ block.T >= most
+        chosen: list[int] = []
+        for i in range(len(block)):
+            if not near[i, chosen].any():
+                chosen.append(i)
+        kept = np.vstack([kept, block[chosen]])
+    return kept
 
 
 def describe(classes: DataFrame, pivots: np.ndarray, width: int) -> DataFrame:
