@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, mixing, neardup, quality, sharding, toxicity
+from . import ann, bpe, langid, mixing, neardup, ngram_join, quality, sharding, toxicity
 
 
 def _documents(spark, sf_dir):
@@ -20,6 +20,10 @@ def _labels(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_adaptive_jaccard(spark, sf_dir):
+    return ngram_join.jaccard_components(_documents(spark, sf_dir))
+
+
 def op2_centroid_language(spark, sf_dir):
     return langid.identify(_documents(spark, sf_dir), modulus=3, rest=1)
 
@@ -53,6 +57,7 @@ def op10_prefix_bpe(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_adaptive_jaccard": op1_adaptive_jaccard,
     "op2_centroid_language": op2_centroid_language,
     "op3_curriculum_mix": op3_curriculum_mix,
     "op4_pivot_neardup": op4_pivot_neardup,
