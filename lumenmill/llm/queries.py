@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, mixing, neardup, ngram_join, quality, sharding, toxicity
+from . import ann, bpe, langid, mixing, neardup, ngram_join, quality, sharding, suffix_dedup, toxicity
+
+
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Path of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _documents(spark, sf_dir):
@@ -48,12 +54,16 @@ def op7_channel_toxicity(spark, sf_dir):
     return toxicity.classify(_documents(spark, sf_dir), _labels(spark, sf_dir), modulus=5, rest=0)
 
 
+def op8_run_length_dedup(spark, sf_dir):
+    return suffix_dedup.deduplicate(_documents(spark, sf_dir))
+
+
 def op9_pu_quality(spark, sf_dir):
     return quality.classify(_documents(spark, sf_dir), _labels(spark, sf_dir), modulus=3, rest=1)
 
 
 def op10_prefix_bpe(spark, sf_dir):
-    return bpe.tokenize(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return bpe.tokenize(_documents(spark, sf_dir), vocabulary())
 
 
 QUERIES = {
@@ -64,6 +74,7 @@ QUERIES = {
     "op5_stratified_shards": op5_stratified_shards,
     "op6_multi_index_ann": op6_multi_index_ann,
     "op7_channel_toxicity": op7_channel_toxicity,
+    "op8_run_length_dedup": op8_run_length_dedup,
     "op9_pu_quality": op9_pu_quality,
     "op10_prefix_bpe": op10_prefix_bpe,
 }
