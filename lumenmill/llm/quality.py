@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import held_out, seeded_hash
 from .textmath import COMMON, DIGIT, LINE, LOWER, SPACE, SYMBOL, UPPER, char_classes, chunks, points
@@ -147,8 +148,8 @@ def fit(docs: DataFrame, labels: DataFrame, train, id_col="doc_id", text_col="te
 
 def score(docs: DataFrame, model: dict, fold, id_col="doc_id", text_col="text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Scores of all documents; ``keep`` carries further columns through."""
-    carried = [f for f in docs.select(*keep).schema.fields] if keep else []
-    schema = "doc_id long, held_out boolean, score double, predicted int"
+    carried = docs.select(*keep).schema if keep else None
+    schema = StructType().add("doc_id", "long").add("held_out", "boolean").add("score", "double").add("predicted", "int")
 
     def run(batches):
         weights = model["weights"]
@@ -162,10 +163,7 @@ def score(docs: DataFrame, model: dict, fold, id_col="doc_id", text_col="text",
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32)), *([b.column(3)] if carried else [])], ["doc_id", "held_out", "score", "predicted", *(["kept"] if carried else [])])
 
     if carried:
-        from pyspark.sql.types import StructType
-
-        kind = StructType(carried).simpleString()
-        schema += f", kept {kind}"
+        schema = schema.add("kept", carried)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), fold.alias("held_out"), F.col(text_col).alias("text"), *([F.struct(*keep).alias("kept")] if keep else [])).mapInArrow(run, schema)
 
 

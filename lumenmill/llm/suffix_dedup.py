@@ -342,8 +342,8 @@ def _rewritten(batches):
                 last = c
             kept.append(data[last:])
             left = b"".join(kept)
-            out.append((sum(c - a for a, c in merged), len(merged), hashlib.sha256(left).hexdigest(), left))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.binary())))], ["d", "u", "n_removed", "n_spans", "kept_sha256", "kept"])
+            out.append((sum(c - a for a, c in merged), len(merged), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string())))], ["d", "u", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
 def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -367,7 +367,7 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     copied = crowded.filter("n > 1").select("fid", F.lit(0).cast("long").alias("from"), F.octet_length("part").cast("long").alias("to"))
     marks = scratch.keep(usual.unionByName(met).unionByName(copied), "marks")
     spans = places.join(marks, "fid").groupBy("d", "u").agg(F.collect_set(F.struct((F.col("at") + F.col("from")).alias("from"), (F.col("at") + F.col("to")).alias("to"))).alias("spans"))
-    out = held.select("d", "u", "z").join(spans, ["d", "u"]).mapInArrow(_rewritten, "d long, u long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = held.select("d", "u", "z").join(spans, ["d", "u"]).mapInArrow(_rewritten, "d long, u long, n_removed long, n_spans long, kept_sha256 string, kept string")
     return out.dropDuplicates(["d", "u"])
 
 
@@ -385,5 +385,5 @@ def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The documents with the marked bytes taken out of their texts; bytes that no longer form UTF-8 at a cut are dropped."""
     names = docs.columns
     keyed = docs.withColumns({"_d": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "_u": F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))})
-    lost = marked(docs, id_col, text_col).select(F.col("d").alias("_d"), F.col("u").alias("_u"), F.decode("kept", F.lit("UTF-8")).alias("_kept"))
+    lost = marked(docs, id_col, text_col).select(F.col("d").alias("_d"), F.col("u").alias("_u"), F.col("kept").alias("_kept"))
     return keyed.join(lost, ["_d", "_u"], "left").withColumn(text_col, F.coalesce("_kept", F.col(text_col))).select(*names)
