@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, train, id_col="doc_id", text_col="te
 def score(docs: DataFrame, model: dict, fold, id_col="doc_id", text_col="text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Scores of all documents; ``keep`` carries further columns through."""
     carried = docs.select(*keep).schema if keep else None
-    schema = StructType().add("doc_id", "long").add("held_out", "boolean").add("score", "double").add("predicted", "int")
+    schema = StructType().add("doc_id", "long").add("held_out", "boolean").add("score", "double").add("predicted", "integer")
 
     def run(batches):
         weights = model["weights"]
