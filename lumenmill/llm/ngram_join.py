@@ -32,6 +32,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +46,8 @@ PART, WHOLE = 80, 100
 FREQUENT, SHARE = 64, 4000
 #: Largest group whose pairs are all counted; most shared prefix shingles asked for.
 GROUP, MOST_MATCHES = 40, 6
+#: Expected probes of a document above which it asks for a second shared shingle; each doubling asks for one more.
+PROBES = 8
 
 
 def prefix_length(n, matches):
@@ -72,13 +75,17 @@ def _frequencies(share: float):
 
 
 def _described(held):
-    """(doc_id, n, sig, matches, rare, common): the prefix's shingles, frequent ones apart."""
+    """(doc_id, n, sig, node, matches, rare, common): the prefix's shingles, frequent ones apart.
+
+    node: 64 bits of the set's digest; a batch lists the shingles of a set once.
+    """
 
     def run(batches):
         frequent, holders = held.value
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             size, sig, need, rares, commons = [], [], [], [], []
+            met: set[bytes] = set()
             for x in shingle_sets(texts):
                 n = len(x)
                 size.append(n)
@@ -92,15 +99,21 @@ def _described(held):
                 common = frequent[at] == x if len(frequent) else np.zeros(n, bool)
                 rare = n - int(common.sum())
                 short = prefix_length(n, 1)
-                cost = int(holders[at[common]][: max(0, short - rare)].sum()) if short > rare else 0
-                matches = 1 + min(MOST_MATCHES - 1, (cost // FREQUENT).bit_length())
-                matches = min(matches, n - short + 1)
-                sig.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest())
+                # a rare shingle has few holders, a frequent one as many as were counted
+                cost = min(short, rare) + int(holders[at[common]][: max(0, short - rare)].sum())
+                matches = min(1 + min(MOST_MATCHES - 1, (cost // PROBES).bit_length()), n - short + 1)
+                digest = hashlib.blake2b(x.tobytes(), digest_size=16).digest()
+                sig.append(digest)
                 need.append(matches)
+                if digest in met:
+                    rares.append(None)
+                    commons.append(None)
+                    continue
+                met.add(digest)
                 length = prefix_length(n, matches)
                 rares.append(x[~common][:length].view(np.int64))
                 commons.append(x[common][: max(0, length - rare)].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int32()), pa.array(sig, pa.binary()), pa.array(need, pa.int32()), *(pa.array(h, pa.list_(pa.int64())) for h in (rares, commons))], ["doc_id", "n", "sig", "matches", "rare", "common"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int32()), pa.array(sig, pa.binary()), pa.array([d and int.from_bytes(d[:8], "little", signed=True) for d in sig], pa.int64()), pa.array(need, pa.int32()), *(pa.array(h, pa.list_(pa.int64())) for h in (rares, commons))], ["doc_id", "n", "sig", "node", "matches", "rare", "common"])
 
     return run
 
@@ -123,6 +136,8 @@ def _grouped(batches):
     parts.clear()
     order = np.lexsort((rep, token))
     token, rep, n = token[order], rep[order], n[order]
+    new = np.concatenate([[True], (token[1:] != token[:-1]) | (rep[1:] != rep[:-1])]) if len(token) else np.zeros(0, bool)
+    token, rep, n = token[new], rep[new], n[new]
     start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, int)
     size = np.diff(np.concatenate([start, [len(token)]]))
     firsts, seconds = [], []
@@ -146,10 +161,17 @@ def _grouped(batches):
         yield pa.RecordBatch.from_arrays([pa.array(r), pa.nulls(len(r), pa.int64()), pa.nulls(len(r), pa.int64()), pa.array(t)], ["a", "b", "n", "token"])
 
 
+def _packed(batches):
+    squeeze = zstandard.ZstdCompressor(level=3)
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([squeeze.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()], pa.binary())], ["_id", "z"])
+
+
 def _sets(batches):
+    expand = zstandard.ZstdDecompressor()
     for b in batches:
-        sets = [x.tobytes() for x in shingle_sets([t or "" for t in b.column(1).to_pylist()])]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["rep", "x"])
+        texts = [expand.decompress(z.as_py()).decode("utf-8", "surrogatepass") for z in b.column(1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in shingle_sets(texts)], pa.binary())], ["rep", "x"])
 
 
 def _verified(batches):
@@ -163,10 +185,8 @@ def _verified(batches):
         yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
 
 
-def _check(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link; only the texts of documents in pairs move."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    sets = texts.join(nodes, texts["_id"] == nodes["rep"]).select("rep", "_text").mapInArrow(_sets, "rep long, x binary")
+def _check(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets link."""
     left, right = sets.select(F.col("rep").alias("a"), F.col("x").alias("x")), sets.select(F.col("rep").alias("b"), F.col("x").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long").distinct()
 
@@ -182,20 +202,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     values = listed["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(values)
     held = spark.sparkContext.broadcast((values[order], listed["n"].to_numpy(np.int64)[order]))
-    rows = scratch.keep(texts.mapInArrow(_described(held), "doc_id long, n int, sig binary, matches int, rare array<long>, common array<long>"), "prefixes")
+    rows = scratch.keep(texts.mapInArrow(_described(held), "doc_id long, n int, sig binary, node long, matches int, rare array<long>, common array<long>"), "prefixes")
 
     # equal sets are one class, named by its smallest id
     usable = rows.filter("sig is not null and doc_id is not null")
-    classes = usable.groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    named = usable.join(classes, "sig").filter("doc_id = rep").select("rep", "n", "matches", "rare", "common")
-    grouped = named.select(F.explode("rare").alias("token"), "rep", "n").repartition("token").mapInArrow(_grouped, "a long, b long, n long, token long")
+    classes = usable.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min("node").alias("node"), F.min("n").alias("n"), F.min("matches").alias("matches"))
+    classes = scratch.keep(classes, "classes")
+    named = lambda side, to: classes.select(F.col("node").alias(side), F.col("rep").alias(to))
+    grouped = usable.select(F.explode("rare").alias("token"), F.col("node").alias("rep"), "n").repartition("token").mapInArrow(_grouped, "a long, b long, n long, token long")
     found = scratch.keep(grouped, "groups")
-    sizes = usable.groupBy(F.col("doc_id").alias("rep")).agg(F.max("n").alias("size"), F.min("matches").alias("matches"))
-    large = found.filter("b is null").select("token", F.col("a").alias("rep")).join(sizes.select("rep", F.col("size").alias("n")), "rep").select("token", "rep", "n")
-    large = scratch.keep(large.unionByName(named.select(F.explode("common").alias("token"), "rep", "n")), "large")
+    sizes = classes.groupBy("rep").agg(F.max("n").alias("size"), F.min("matches").alias("matches"))
+    large = found.filter("b is null").select("token", F.col("a").alias("node"))
+    large = large.unionByName(usable.select(F.explode("common").alias("token"), "node").distinct())
+    large = scratch.keep(large.join(classes.select("node", "rep", "n"), "node").select("token", "rep", "n"), "large")
 
     # small groups: pairs with enough shared prefix shingles
     counted = found.filter("b is not null").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    counted = counted.join(named("a", "p"), "a").join(named("b", "q"), "b").filter("p <> q")
+    counted = scratch.keep(counted.groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.sum("n").alias("n")), "counted")
     asked = lambda side: sizes.select(F.col("rep").alias(side), F.col("matches").alias(f"_{side}"))
     enough = lambda pairs: pairs.join(asked("a"), "a").join(asked("b"), "b").filter(F.col("n") >= F.least("_a", "_b")).select("a", "b")
     # larger groups: every holder with the group's leader
@@ -203,7 +227,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     leaders = scratch.keep(large.groupBy("token").agg(lead.alias("l")).select("token", F.col("l.rep").alias("leader"), F.col("l.n").alias("m")), "leaders")
     alike = lambda m, n: F.least(m, n) * WHOLE >= F.greatest(m, n) * PART
     stars = large.join(leaders, "token").filter((F.col("rep") != F.col("leader")) & alike(F.col("m"), F.col("n"))).select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b"))
-    links = scratch.keep(_check(scratch.keep(enough(counted).unionByName(stars).distinct(), "pairs"), texts), "links")
+    pairs = scratch.keep(enough(counted).unionByName(stars).distinct(), "pairs")
+    # only texts of documents that may link move, compressed
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(large.select("rep")).distinct()
+    moved = texts.mapInArrow(_packed, "_id long, z binary").join(nodes, F.col("_id") == F.col("rep")).select("rep", "z")
+    sets = scratch.keep(moved.mapInArrow(_sets, "rep long, x binary"), "sets")
+    links = scratch.keep(_check(pairs, sets), "links")
     parts = scratch.keep(components(links, scratch), "parts")
 
     # larger groups that still lie in several components: pairs across them
@@ -218,9 +247,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     both = across.join(counted.withColumnRenamed("n", "more"), ["a", "b"], "left").select("a", "b", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
     open_pairs = scratch.keep(enough(both), "across")
     if open_pairs.first() is not None:
-        links = scratch.keep(links.unionByName(_check(open_pairs, texts)).distinct(), "all-links")
+        links = scratch.keep(links.unionByName(_check(open_pairs, sets)).distinct(), "all-links")
         parts = scratch.keep(components(links, scratch), "all-parts")
-    member = rows.select("doc_id", "n", "sig").join(classes, "sig", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("class_id"))
+    member = rows.select("doc_id", "n", "sig").join(classes.select("sig", "rep"), "sig", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("class_id"))
     # an id on several rows has several classes; they are one document
     joined = member.join(parts.withColumnRenamed("node", "class_id"), "class_id", "left")
     return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"), "class_id")
