@@ -40,6 +40,13 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sliced(batches, rows: int = 512):
+    """Parts of so many rows: what is derived from a batch of long texts is held for a part at a time."""
+    for b in batches:
+        for start in range(0, b.num_rows, rows):
+            yield b.slice(start, rows)
+
+
 def seeded_hash(seed: str, *cols: Column) -> Column:
     """60 bits of md5 over the seed and the columns; nulls count as empty."""
     text = F.concat_ws("|", F.lit(seed), *[F.coalesce(c.cast("string"), F.lit("")) for c in cols])

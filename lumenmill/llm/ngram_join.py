@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, sliced
 from .components import components
 from .shingles import shingle_sets
 
@@ -46,6 +46,8 @@ PART, WHOLE = 80, 100
 FREQUENT, SHARE = 64, 4000
 #: Largest group whose pairs are all counted; most shared prefix shingles asked for.
 GROUP, MOST_MATCHES = 40, 6
+#: Digests that a task remembers.
+MEMO = 200_000
 #: Expected probes of a document above which it asks for a second shared shingle; each doubling asks for one more.
 PROBES = 8
 
@@ -64,11 +66,13 @@ def _frequencies(share: float):
 
     def run(batches):
         for b in batches:
-            texts = [t or "" for t in b.column(0).to_pylist()]
-            sets = list(shingle_sets(texts))
-            every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            values, counts = np.unique(every, return_counts=True)
-            some = counts >= max(2, len(texts) * share / 4)
+            sets = [x for part in sliced([b]) for x in shingle_sets([t or "" for t in part.column(0).to_pylist()])]
+            every = np.concatenate([*sets, np.zeros(0, np.uint64)])
+            sets.clear()
+            every.sort()
+            edge = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1], [True]])) if len(every) else np.zeros(1, int)
+            values, counts = every[edge[:-1]], np.diff(edge)
+            some = counts >= max(2, b.num_rows * share / 4)
             yield pa.RecordBatch.from_arrays([_signed(values[some]), pa.array(counts[some])], ["token", "n"])
 
     return run
@@ -77,15 +81,15 @@ def _frequencies(share: float):
 def _described(held):
     """(doc_id, n, sig, node, matches, rare, common): the prefix's shingles, frequent ones apart.
 
-    node: 64 bits of the set's digest; a batch lists the shingles of a set once.
+    node: 64 bits of the set's digest; a task lists the shingles of a set once.
     """
 
     def run(batches):
         frequent, holders = held.value
-        for b in batches:
+        met: set[bytes] = set()
+        for b in sliced(batches):
             texts = [t or "" for t in b.column(1).to_pylist()]
             size, sig, need, rares, commons = [], [], [], [], []
-            met: set[bytes] = set()
             for x in shingle_sets(texts):
                 n = len(x)
                 size.append(n)
@@ -109,6 +113,8 @@ def _described(held):
                     rares.append(None)
                     commons.append(None)
                     continue
+                if len(met) >= MEMO:
+                    met.clear()
                 met.add(digest)
                 length = prefix_length(n, matches)
                 rares.append(x[~common][:length].view(np.int64))
@@ -163,19 +169,19 @@ def _grouped(batches):
 
 def _packed(batches):
     squeeze = zstandard.ZstdCompressor(level=3)
-    for b in batches:
+    for b in sliced(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([squeeze.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()], pa.binary())], ["_id", "z"])
 
 
 def _sets(batches):
     expand = zstandard.ZstdDecompressor()
-    for b in batches:
+    for b in sliced(batches):
         texts = [expand.decompress(z.as_py()).decode("utf-8", "surrogatepass") for z in b.column(1)]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in shingle_sets(texts)], pa.binary())], ["rep", "x"])
 
 
 def _verified(batches):
-    for b in batches:
+    for b in sliced(batches):
         keep = []
         for u, v in zip(b.column(2), b.column(3), strict=True):
             x, y = np.frombuffer(u.as_buffer(), np.uint64), np.frombuffer(v.as_buffer(), np.uint64)

@@ -54,7 +54,7 @@ def _combined(words: np.ndarray, n: int, width: int) -> np.ndarray:
     return x
 
 
-def shingle_sets(texts: list[str], width: int = WIDTH, letters: int = 4_000_000):
+def shingle_sets(texts: list[str], width: int = WIDTH, letters: int = 500_000):
     """For each text its sorted distinct shingle hashes; a shorter text is one shingle."""
     start = 0
     while start < len(texts):
