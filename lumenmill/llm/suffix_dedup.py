@@ -7,8 +7,9 @@ the corpus is marked. The work is split so that equal strings always meet:
    that share one with no other place are unique and leave here.
 2. Neighbouring strings with the same smallest gram form a fragment. Equal
    fragments are one, with all their places; a fragment with two places is
-   marked whole.
-3. The distinct fragments of a gram are indexed together: their suffixes are
+   marked whole, as are texts that are copies of each other.
+3. The distinct fragments of a gram are indexed together, where one of them has
+   a single place: their suffixes are
    sorted, the Burrows-Wheeler transform is read off as runs, and the text
    positions at run ends are sampled with the length of the match to the
    neighbouring suffix. Streaming along the text, the matching statistic falls
@@ -38,13 +39,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, sliced
 from .shingles import BASE, mix
 
-LENGTH, K = 200, 64
+LENGTH, K = 200, 32
 SPAN = LENGTH - K + 1
 #: Bytes that are hashed at once, and distinct bytes of one index.
-SLICE, INDEX = 1 << 21, 1 << 21
+SLICE, INDEX = 1 << 19, 1 << 20
 #: Distinct bytes of one gram's fragments above which its strings meet by hash.
 DENSE = 1 << 21
 OTHER = 0xC2B2AE3D27D4EB4F
@@ -130,13 +131,13 @@ def _utf8(texts) -> list[bytes]:
 
 def _gram_counts(batches):
     for b in batches:
-        found = [_Grams(p).selected()[0] for p in _pieces(_utf8(b.column(0)))]
-        h, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+        found = [_Grams(p).selected()[0] for part in sliced([b]) for p in _pieces(_utf8(part.column(0)))]
+        h, n = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
 
 def _gram_places(batches):
-    for b in batches:
+    for b in sliced(batches):
         d, u = b.column(1).to_numpy(), b.column(2).to_numpy()
         for p in _pieces(_utf8(b.column(0))):
             h, piece = _Grams(p).selected()
@@ -150,47 +151,45 @@ def _gram_places(batches):
 
 def _packed(batches):
     squeeze = zstandard.ZstdCompressor(level=3)
-    for b in batches:
+    for b in sliced(batches):
         yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([squeeze.compress(t) for t in _utf8(b.column(0))], pa.binary())], ["d", "u", "z"])
 
 
 def _fragments(batches):
-    """Rows with bytes (a batch's distinct fragments) and rows with places."""
+    """Every fragment of a wanted gram: where it is, and whether its gram comes again in it."""
     expand = zstandard.ZstdDecompressor()
-    for b in batches:
+    for b in sliced(batches):
         d, u = b.column(0).to_numpy(), b.column(1).to_numpy()
         data = [expand.decompress(z.as_py()) for z in b.column(2)]
-        wanted = [np.sort(np.array(h.as_py(), np.int64).view(np.uint64)) for h in b.column(3)]
-        known: dict[bytes, list] = {}
+        wanted = [np.array(h.as_py(), np.int64).view(np.uint64) for h in b.column(3)]
         for p in _pieces(data):
             g = _Grams(p)
             start, stop, gram = g.runs()
             whole, piece = g.bytes.tobytes(), g.piece[start]
             edges = np.searchsorted(piece, np.arange(len(p) + 1))
-            for j, (k, at, _) in enumerate(p):
+            rows, kind, at, size, again = [], [], [], [], []
+            chosen = []
+            for j, (k, offset, _) in enumerate(p):
                 lo, hi = edges[j], edges[j + 1]
-                for i in (np.flatnonzero(np.isin(gram[lo:hi], wanted[k])) + lo).tolist():
-                    part = whole[start[i] : stop[i] + LENGTH]
-                    fid = hashlib.blake2b(part, digest_size=16).digest()
-                    entry = known.get(fid)
-                    if entry is None:
-                        entry = known[fid] = [int(gram[i].view(np.int64)), part, []]
-                    entry[2].append((k, int(at + start[i] - g.first[j])))
-        fids = list(known)
-        kinds = list(known.values())
-        for s in range(0, len(fids), 20_000):
-            part = kinds[s : s + 20_000]
-            n = len(part)
-            yield pa.RecordBatch.from_arrays([pa.array(fids[s : s + n], pa.binary()), pa.array([e[0] for e in part], pa.int64()), pa.array([e[1] for e in part], pa.binary()), pa.array([len(e[2]) for e in part], pa.int64()), *(pa.nulls(n, pa.int64()) for _ in range(3))], NAMES)
-        places = [(fid, k, at) for fid, e in known.items() for k, at in e[2]]
-        for s in range(0, len(places), 50_000):
-            part = places[s : s + 50_000]
-            rows = np.array([k for _, k, _ in part])
-            yield pa.RecordBatch.from_arrays([pa.array([f for f, _, _ in part], pa.binary()), *(pa.nulls(len(part), t) for t in (pa.int64(), pa.binary(), pa.int64())), pa.array(d[rows]), pa.array(u[rows]), pa.array([a for _, _, a in part], pa.int64())], NAMES)
-
-
-NAMES = ["fid", "h", "part", "n", "d", "u", "at"]
-SCHEMA = "fid binary, h long, part binary, n long, d long, u long, at long"
+                mine = np.flatnonzero(np.isin(gram[lo:hi], wanted[k])) + lo
+                chosen.append(mine)
+                rows += [k] * len(mine)
+                at += (offset + start[mine] - g.first[j]).tolist()
+            chosen = np.concatenate(chosen)
+            for x, y, h in zip(start[chosen].tolist(), stop[chosen].tolist(), gram[chosen].tolist(), strict=True):
+                kind.append(int.from_bytes(hashlib.blake2b(whole[x : y + LENGTH], digest_size=8).digest(), "little", signed=True))
+                size.append(y + LENGTH - x)
+                again.append(int(np.count_nonzero(g.hash[x : y + SPAN] == np.uint64(h))) > 1)
+            rows = np.array(rows, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(gram[chosen].view(np.int64)), pa.array(kind, pa.int64()), pa.array(d[rows]), pa.array(u[rows]), pa.array(at, pa.int64()), pa.array(size, pa.int64()), pa.array(again, pa.bool_())], ["h", "f", "d", "u", "at", "size", "again"])
+
+
+def _cut(batches):
+    """The bytes of one place of each fragment that an index needs."""
+    expand = zstandard.ZstdDecompressor()
+    for b in sliced(batches):
+        out = [(r["h"], r["f"], data[r["at"] : r["at"] + r["size"]], r["n"], r["dense"]) for z, picks in zip(b.column(0), b.column(1).to_pylist(), strict=True) for data in [expand.decompress(z.as_py())] for r in picks]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_()))], ["h", "f", "part", "n", "dense"])
 
 
 def suffix_order(text: np.ndarray, fragment: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -281,14 +280,15 @@ def index_marks(parts: list[bytes], length: int = LENGTH) -> list[list[tuple[int
 
 
 def _indexed(batches):
-    """Partition rows (h, fid, part, n) to (fid, from, to): marks of the distinct fragments."""
-    rows = [(h, f, p, n) for b in batches for h, f, p, n in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-    rows.sort(key=lambda r: (r[0], r[1]))
-    out: list[tuple[bytes, int, int]] = []
+    """Partition rows (h, f, part, n) to (h, f, from, to): marks of fragments that have one place."""
+    rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    rows.sort(key=lambda r: r[:2])
+    out: list[tuple[int, int, int, int]] = []
 
     def index(block):
-        for (_, fid, part, n), marks in zip(block, index_marks([r[2] for r in block]), strict=True):
-            out.extend([(fid, 0, len(part))] if n > 1 else [(fid, a, b) for a, b in marks])
+        for (h, f, _, n), marks in zip(block, index_marks([r[2] for r in block]), strict=True):
+            if n == 1:
+                out.extend((h, f, a, b) for a, b in marks)
 
     block, size, start = [], 0, 0
     while start < len(rows):
@@ -297,10 +297,6 @@ def _indexed(batches):
             stop += 1
         group = rows[start:stop]
         start = stop
-        if len(group) == 1 and len(group[0][2]) < LENGTH + 1:
-            if group[0][3] > 1:
-                out.append((group[0][1], 0, len(group[0][2])))
-            continue
         own = sum(len(r[2]) for r in group)
         if block and size + own > INDEX:
             index(block)
@@ -311,22 +307,22 @@ def _indexed(batches):
         index(block)
     for s in range(0, len(out), 50_000):
         part = out[s : s + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.binary()), pa.array([r[1] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.int64())], ["fid", "from", "to"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], pa.int64()) for k in range(4)], ["h", "f", "from", "to"])
 
 
 def _strings(batches):
     """Dense fragments to the 128-bit hashes of their strings."""
     for b in batches:
-        for fid, part in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+        for h, f, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
             for at in range(0, len(part) - LENGTH + 1, SLICE):
                 x = np.frombuffer(part[at : at + SLICE + LENGTH - 1], np.uint8)
                 v, w = (mix(_rolling(x, LENGTH, base)).view(np.int64) for base in (BASE, OTHER))
-                yield pa.RecordBatch.from_arrays([pa.array([fid.as_py()] * len(v), pa.binary()), pa.array(v), pa.array(w), pa.array(np.arange(at, at + len(v)))], ["fid", "v", "w", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), h)), pa.array(np.full(len(v), f)), pa.array(v), pa.array(w), pa.array(np.arange(at, at + len(v)))], ["h", "f", "v", "w", "at"])
 
 
 def _rewritten(batches):
     expand = zstandard.ZstdDecompressor()
-    for b in batches:
+    for b in sliced(batches):
         out = []
         for z, spans in zip(b.column(2), b.column(3).to_pylist(), strict=True):
             data = expand.decompress(z.as_py())
@@ -351,24 +347,40 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     scratch = Scratch(docs.sparkSession, "suffix")
     key = [F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("d"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("u")]
     texts = docs.filter(F.octet_length(text_col) >= LENGTH).select(F.col(text_col).alias("t"), *key)
+    # copies lose all bytes; one of them stays in the work, for others to match
+    digest = F.unhex(F.sha2(F.col("t").cast("binary"), 256)).alias("digest")
+    place = F.struct("d", "u")
+    alike = texts.groupBy(digest).agg(F.count("*").alias("n"), F.min(place).alias("stays")).filter("n > 1").select("digest", "stays")
+    copies = scratch.keep(texts.select(digest, "d", "u", F.octet_length("t").cast("long").alias("n")).join(alike, "digest").select("d", "u", "n", (place != F.col("stays")).alias("spare")), "copies")
     shared = scratch.keep(texts.select("t").mapInArrow(_gram_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), "shared")
     wanted = texts.mapInArrow(_gram_places, "h long, d long, u long").join(shared, "h").groupBy("d", "u").agg(F.collect_set("h").alias("hs"))
-    held = scratch.keep(texts.mapInArrow(_packed, "d long, u long, z binary").join(wanted, ["d", "u"]), "held")
-    cut = scratch.keep(held.mapInArrow(_fragments, SCHEMA), "cut")
-    places = cut.filter("part is null").select("fid", "d", "u", "at")
-    distinct = cut.filter("part is not null").groupBy("fid").agg(F.sum("n").alias("n"), F.first("h").alias("h"), F.first("part").alias("part"))
-    distinct = scratch.keep(distinct, "distinct")
-    dense = scratch.keep(distinct.groupBy("h").agg(F.sum(F.octet_length("part")).alias("size")).filter(F.col("size") > DENSE).select("h"), "dense")
-    usual = distinct.join(dense, "h", "left_anti").select("h", "fid", "part", "n").repartition("h").mapInArrow(_indexed, "fid binary, `from` long, `to` long")
-    crowded = distinct.join(dense, "h")
-    strings = scratch.keep(crowded.select("fid", "part").mapInArrow(_strings, "fid binary, v long, w long, at long"), "strings")
-    twice = strings.groupBy("v", "w").agg(F.count("*").alias("n")).filter("n > 1").select("v", "w")
-    met = strings.join(twice, ["v", "w"]).select("fid", F.col("at").alias("from"), (F.col("at") + LENGTH).alias("to"))
-    copied = crowded.filter("n > 1").select("fid", F.lit(0).cast("long").alias("from"), F.octet_length("part").cast("long").alias("to"))
-    marks = scratch.keep(usual.unionByName(met).unionByName(copied), "marks")
-    spans = places.join(marks, "fid").groupBy("d", "u").agg(F.collect_set(F.struct((F.col("at") + F.col("from")).alias("from"), (F.col("at") + F.col("to")).alias("to"))).alias("spans"))
+    wanted = wanted.join(copies.filter("spare").select("d", "u").distinct(), ["d", "u"], "left_anti")
+    held = scratch.keep(texts.mapInArrow(_packed, "d long, u long, z binary").join(wanted, ["d", "u"]).dropDuplicates(["d", "u"]), "held")
+    places = scratch.keep(held.mapInArrow(_fragments, "h long, f long, d long, u long, at long, size long, again boolean"), "places")
+    kinds = places.groupBy("h", "f").agg(F.count("*").alias("n"), F.min("size").alias("size"), F.max("again").alias("again"), F.min(F.struct("d", "u", "at")).alias("first"))
+    kinds = scratch.keep(kinds, "kinds")
+    # a gram whose fragments all have two places needs no index, nor does one with a single fragment that is not in itself again
+    grams = kinds.groupBy("h").agg(F.count("*").alias("m"), F.min("n").alias("least"), F.max(F.col("again") & (F.col("n") == 1)).alias("own"), F.sum("size").alias("bytes"))
+    grams = grams.filter("(m > 1 and least = 1) or own").select("h", (F.col("bytes") > DENSE).alias("dense"))
+    pick = F.collect_list(F.struct("h", "f", F.col("first.at").alias("at"), "size", "n", "dense")).alias("picks")
+    picks = kinds.join(grams, "h").groupBy(F.col("first.d").alias("d"), F.col("first.u").alias("u")).agg(pick)
+    parts = held.select("d", "u", "z").join(picks, ["d", "u"]).select("z", "picks").mapInArrow(_cut, "h long, f long, part binary, n long, dense boolean")
+    crowded = grams.filter("dense").first() is not None
+    if crowded:
+        parts = scratch.keep(parts, "parts")
+    marks = (parts.filter("not dense") if crowded else parts).select("h", "f", "part", "n").repartition("h").mapInArrow(_indexed, "h long, f long, `from` long, `to` long")
+    marks = marks.unionByName(kinds.filter("n > 1").select("h", "f", F.lit(0).cast("long").alias("from"), F.col("size").alias("to")))
+    if crowded:
+        strings = scratch.keep(parts.filter("dense").select("h", "f", "part").mapInArrow(_strings, "h long, f long, v long, w long, at long"), "strings")
+        twice = strings.groupBy("v", "w").agg(F.count("*").alias("n")).filter("n > 1").select("v", "w")
+        marks = marks.unionByName(strings.join(twice, ["v", "w"]).select("h", "f", F.col("at").alias("from"), (F.col("at") + LENGTH).alias("to")))
+    marks = scratch.keep(marks, "marks")
+    spans = places.select("h", "f", "d", "u", "at").join(marks, ["h", "f"]).groupBy("d", "u").agg(F.collect_set(F.struct((F.col("at") + F.col("from")).alias("from"), (F.col("at") + F.col("to")).alias("to"))).alias("spans"))
+    spans = spans.join(copies.select("d", "u").distinct(), ["d", "u"], "left_anti")
     out = held.select("d", "u", "z").join(spans, ["d", "u"]).mapInArrow(_rewritten, "d long, u long, n_removed long, n_spans long, kept_sha256 string, kept string")
-    return out.dropDuplicates(["d", "u"])
+    none = F.sha2(F.lit("").cast("binary"), 256)
+    gone = copies.select("d", "u", F.col("n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), none.alias("kept_sha256"), F.lit("").alias("kept")).distinct()
+    return out.unionByName(gone)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
