@@ -48,6 +48,8 @@ SPAN = LENGTH - K + 1
 SLICE, INDEX = 1 << 19, 1 << 20
 #: Distinct bytes of one gram's fragments above which its strings meet by hash.
 DENSE = 1 << 21
+#: Buckets of their hashes.
+BUCKETS = 1024
 OTHER = 0xC2B2AE3D27D4EB4F
 
 
@@ -311,13 +313,38 @@ def _indexed(batches):
 
 
 def _strings(batches):
-    """Dense fragments to the 128-bit hashes of their strings."""
-    for b in batches:
-        for h, f, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
+    """Dense fragments to the 128-bit hashes of their strings, packed by bucket of the hash."""
+    for b in sliced(batches, 2048):
+        rows = []
+        for h, f, part, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
             for at in range(0, len(part) - LENGTH + 1, SLICE):
                 x = np.frombuffer(part[at : at + SLICE + LENGTH - 1], np.uint8)
                 v, w = (mix(_rolling(x, LENGTH, base)).view(np.int64) for base in (BASE, OTHER))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), h)), pa.array(np.full(len(v), f)), pa.array(v), pa.array(w), pa.array(np.arange(at, at + len(v)))], ["h", "f", "v", "w", "at"])
+                rows.append(np.stack([v, w, np.full(len(v), h), np.full(len(v), f), np.arange(at, at + len(v)), np.full(len(v), n)], axis=1))
+        if rows:
+            every = np.concatenate(rows)
+            bucket = (every[:, 0].view(np.uint64) % np.uint64(BUCKETS)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            every, bucket = every[order], bucket[order]
+            edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+            packed = [every[x:y].tobytes() for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]]), pa.array(packed, pa.binary())], ["bucket", "strings"])
+
+
+def _met(batches):
+    """Strings that occur twice, of fragments that have one place."""
+    parts = [np.frombuffer(x.as_py(), np.int64).reshape(-1, 6) for b in batches for x in b.column(1)]
+    if not parts:
+        return
+    every = np.concatenate(parts)
+    parts.clear()
+    every = every[np.lexsort((every[:, 1], every[:, 0]))]
+    same = (every[1:, :2] == every[:-1, :2]).all(axis=1)
+    twice = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    found = every[twice & (every[:, 5] == 1)]
+    for s in range(0, len(found), 50_000):
+        part = found[s : s + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part[:, 2]), pa.array(part[:, 3]), pa.array(part[:, 4]), pa.array(part[:, 4] + LENGTH)], ["h", "f", "from", "to"])
 
 
 def _rewritten(batches):
@@ -371,9 +398,8 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     marks = (parts.filter("not dense") if crowded else parts).select("h", "f", "part", "n").repartition("h").mapInArrow(_indexed, "h long, f long, `from` long, `to` long")
     marks = marks.unionByName(kinds.filter("n > 1").select("h", "f", F.lit(0).cast("long").alias("from"), F.col("size").alias("to")))
     if crowded:
-        strings = scratch.keep(parts.filter("dense").select("h", "f", "part").mapInArrow(_strings, "h long, f long, v long, w long, at long"), "strings")
-        twice = strings.groupBy("v", "w").agg(F.count("*").alias("n")).filter("n > 1").select("v", "w")
-        marks = marks.unionByName(strings.join(twice, ["v", "w"]).select("h", "f", F.col("at").alias("from"), (F.col("at") + LENGTH).alias("to")))
+        strings = parts.filter("dense").select("h", "f", "part", "n").mapInArrow(_strings, "bucket long, strings binary")
+        marks = marks.unionByName(strings.repartition("bucket").mapInArrow(_met, "h long, f long, `from` long, `to` long"))
     marks = scratch.keep(marks, "marks")
     spans = places.select("h", "f", "d", "u", "at").join(marks, ["h", "f"]).groupBy("d", "u").agg(F.collect_set(F.struct((F.col("at") + F.col("from")).alias("from"), (F.col("at") + F.col("to")).alias("to"))).alias("spans"))
     spans = spans.join(copies.select("d", "u").distinct(), ["d", "u"], "left_anti")
