@@ -144,7 +144,7 @@ def run_job(spark: SparkSession, given: dict, instances: dict | None = None, ord
         rows.drop("_png").write.parquet(staging)
         try:
             made = spark.read.parquet(staging)
-            total, failed, n = made.agg(F.count_if("_t = -1"), F.count_if("_error is not null"), F.count_if("_t >= 0")).first()
+            total, failed, n = made.agg(F.count_if(F.col("_t") == -1), F.count_if(F.col("_error").isNotNull()), F.count_if(F.col("_t") >= 0)).first()
             if total and failed / total > job.errors["max_failure_rate"]:
                 raise RuntimeError(f"{selection}: {failed} of {total} samples could not be decoded; the limit is {job.errors['max_failure_rate']:.0%}")
             summary[selection] = n
