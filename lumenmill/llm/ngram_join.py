@@ -3,7 +3,8 @@
 Two documents link if their shingle sets x, y have 100 |x n y| >= 80 |x u y|.
 In any common order of all shingles, linked sets share at least l shingles
 within the first |x| - ceil(0.8 |x|) + l of each (l = 1, 2, ...). The order
-puts shingles that very many documents hold last. A document's candidate cost
+puts shingles of rare words first, those of common words (which meet by chance)
+later, and shingles that very many documents hold last. A document's candidate cost
 is estimated from the frequencies in its prefix; the higher it is, the longer
 the prefix and the more shared prefix shingles a pair needs before its sets are
 compared (the smaller requirement of the two documents counts).
@@ -38,16 +39,20 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, sliced
 from .components import components
-from .shingles import shingle_sets
+from .shingles import Rarity, shingle_sets, text_words
 
 #: Similarity as a fraction.
 PART, WHOLE = 80, 100
 #: A shingle is frequent from so many documents, or from this share of them.
 FREQUENT, SHARE = 64, 4000
+#: Most common words whose counts rank the shingles.
+WORDS = 1 << 16
 #: Largest group whose pairs are all counted; most shared prefix shingles asked for.
 GROUP, MOST_MATCHES = 40, 6
 #: Digests that a task remembers.
 MEMO = 200_000
+#: Orders by which groups choose their leaders: groups that share members then share leaders.
+LEADERS = 16
 #: Expected probes of a document above which it asks for a second shared shingle; each doubling asks for one more.
 PROBES = 8
 
@@ -61,12 +66,23 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _frequencies(share: float):
+def _words(batches):
+    """Counts of a batch's more common words."""
+    for b in batches:
+        found = [h for part in sliced([b]) for h in text_words([t or "" for t in part.column(0).to_pylist()])]
+        every = np.concatenate([*found, np.zeros(0, np.uint64)])
+        found.clear()
+        values, counts = np.unique(every, return_counts=True)
+        some = counts >= max(2, len(every) / (4 * WORDS))
+        yield pa.RecordBatch.from_arrays([_signed(values[some]), pa.array(counts[some])], ["token", "n"])
+
+
+def _frequencies(share: float, rarity):
     """Per batch: shingles that are more common than a quarter of what the bound allows."""
 
     def run(batches):
         for b in batches:
-            sets = [x for part in sliced([b]) for x in shingle_sets([t or "" for t in part.column(0).to_pylist()])]
+            sets = [x for part in sliced([b]) for x in shingle_sets([t or "" for t in part.column(0).to_pylist()], rarity.value)]
             every = np.concatenate([*sets, np.zeros(0, np.uint64)])
             sets.clear()
             every.sort()
@@ -78,7 +94,7 @@ def _frequencies(share: float):
     return run
 
 
-def _described(held):
+def _described(held, rarity):
     """(doc_id, n, sig, node, matches, rare, common): the prefix's shingles, frequent ones apart.
 
     node: 64 bits of the set's digest; a task lists the shingles of a set once.
@@ -90,7 +106,7 @@ def _described(held):
         for b in sliced(batches):
             texts = [t or "" for t in b.column(1).to_pylist()]
             size, sig, need, rares, commons = [], [], [], [], []
-            for x in shingle_sets(texts):
+            for x in shingle_sets(texts, rarity.value):
                 n = len(x)
                 size.append(n)
                 if not n:
@@ -204,11 +220,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     total = max(1, docs.count())
     least = max(FREQUENT, total / SHARE)
-    listed = texts.select("_text").mapInArrow(_frequencies(least / total), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= 0.75 * least).toPandas()
+    common = texts.select("_text").mapInArrow(_words, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "token").limit(WORDS).toPandas()
+    rarity = spark.sparkContext.broadcast(Rarity(common["token"].to_numpy(np.int64).view(np.uint64), common["n"].to_numpy(float)))
+    listed = texts.select("_text").mapInArrow(_frequencies(least / total, rarity), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= 0.75 * least).toPandas()
     values = listed["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(values)
     held = spark.sparkContext.broadcast((values[order], listed["n"].to_numpy(np.int64)[order]))
-    rows = scratch.keep(texts.mapInArrow(_described(held), "doc_id long, n int, sig binary, node long, matches int, rare array<long>, common array<long>"), "prefixes")
+    rows = scratch.keep(texts.mapInArrow(_described(held, rarity), "doc_id long, n int, sig binary, node long, matches int, rare array<long>, common array<long>"), "prefixes")
 
     # equal sets are one class, named by its smallest id
     usable = rows.filter("sig is not null and doc_id is not null")
@@ -229,7 +247,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     asked = lambda side: sizes.select(F.col("rep").alias(side), F.col("matches").alias(f"_{side}"))
     enough = lambda pairs: pairs.join(asked("a"), "a").join(asked("b"), "b").filter(F.col("n") >= F.least("_a", "_b")).select("a", "b")
     # larger groups: every holder with the group's leader
-    lead = F.min(F.struct(F.xxhash64("rep", "token").alias("h"), "rep", "n"))
+    lead = F.min(F.struct(F.xxhash64("rep", F.pmod("token", F.lit(LEADERS))).alias("h"), "rep", "n"))
     leaders = scratch.keep(large.groupBy("token").agg(lead.alias("l")).select("token", F.col("l.rep").alias("leader"), F.col("l.n").alias("m")), "leaders")
     alike = lambda m, n: F.least(m, n) * WHOLE >= F.greatest(m, n) * PART
     stars = large.join(leaders, "token").filter((F.col("rep") != F.col("leader")) & alike(F.col("m"), F.col("n"))).select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b"))
@@ -258,4 +276,4 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     member = rows.select("doc_id", "n", "sig").join(classes.select("sig", "rep"), "sig", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("class_id"))
     # an id on several rows has several classes; they are one document
     joined = member.join(parts.withColumnRenamed("node", "class_id"), "class_id", "left")
-    return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"), "class_id")
+    return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id")).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))

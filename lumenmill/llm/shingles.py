@@ -9,6 +9,8 @@ BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 UNBASE = pow(BASE, -1, 1 << 64)
 WIDTH = 5
+#: Highest level of a common word.
+TOP = 12
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -54,19 +56,60 @@ def _combined(words: np.ndarray, n: int, width: int) -> np.ndarray:
     return x
 
 
-def shingle_sets(texts: list[str], width: int = WIDTH, letters: int = 500_000):
-    """For each text its sorted distinct shingle hashes; a shorter text is one shingle."""
+class Rarity:
+    """How common words are, so that a shingle's hash can sort by how common its words are.
+
+    ``words``: sorted hashes of the most common words; ``level``: 0 for words
+    that are not listed, rising with the logarithm of the count.
+    """
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray):
+        order = np.argsort(words)
+        self.words = words[order]
+        least = counts.min() if len(counts) else 1
+        self.level = np.minimum(1 + np.log2(counts[order] / least), TOP).astype(np.int64)
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        return np.where(self.words[at] == hashes, self.level[at], 0)
+
+
+def _ordered(runs: np.ndarray, levels: np.ndarray, width: int) -> np.ndarray:
+    """Hashes whose top bits are the sum of the words' levels: rare wording sorts first."""
+    total = np.concatenate([[0], np.cumsum(levels)])
+    group = (total[width:] - total[:-width])[: len(runs)] * 63 // (TOP * width)
+    return runs >> np.uint64(6) | group.astype(np.uint64) << np.uint64(58)
+
+
+def text_words(texts: list[str], letters: int = 500_000):
+    """Word hashes of the texts, some texts at a time."""
+    for part in _portions(texts, letters):
+        yield word_hashes(b"\n".join([t.encode("utf-8", "surrogatepass") for t in part]))[0]
+
+
+def _portions(texts: list[str], letters: int):
     start = 0
     while start < len(texts):
         stop, total = start, 0
         while stop < len(texts) and (stop == start or total + len(texts[stop]) < letters):
             total += len(texts[stop])
             stop += 1
-        encoded = [t.encode("utf-8", "surrogatepass") for t in texts[start:stop]]
+        yield texts[start:stop]
+        start = stop
+
+
+def shingle_sets(texts: list[str], rarity: Rarity | None = None, width: int = WIDTH, letters: int = 500_000):
+    """For each text its sorted distinct shingle hashes; a shorter text is one shingle."""
+    for part in _portions(texts, letters):
+        encoded = [t.encode("utf-8", "surrogatepass") for t in part]
         ends = np.cumsum([len(e) + 1 for e in encoded])
         words, at = word_hashes(b"\n".join(encoded) + b"\n")
         last = np.searchsorted(at, ends)
         runs = _combined(words, max(0, len(words) - width + 1), width)
+        if rarity is not None and len(runs):
+            runs = _ordered(runs, rarity.of(words), width)
         first = 0
         for stop_word in last.tolist():
             n = stop_word - first
@@ -77,4 +120,3 @@ def shingle_sets(texts: list[str], width: int = WIDTH, letters: int = 500_000):
             else:
                 yield np.zeros(0, np.uint64)
             first = stop_word
-        start = stop
