@@ -99,7 +99,7 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _linked(width: int, threshold: float):
+def _linked(width: int, threshold: float, shared: int):
     """For one list or pair of blocks: links' weights by vector, and a spanning forest."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -130,7 +130,7 @@ def _linked(width: int, threshold: float):
                     a, b = i[c : c + (1 << 17)], j[c : c + (1 << 17)]
                     same = (near[a][:, :, None] == near[b][:, None, :]).any(axis=2) & (near[a] >= 0)
                     least = np.where(same, near[a], np.iinfo(np.int32).max).min(axis=1)
-                    able = (same.sum(axis=1) >= min(SHARED, NEAREST)) & (least == pivot)
+                    able = (same.sum(axis=1) >= shared) & (least == pivot)
                     a, b = a[able], b[able]
                     true = np.einsum("nd,nd->n", x[a], x[b]) >= threshold
                     a, b = a[true], b[true]
@@ -169,7 +169,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
             blocks = F.when(F.col("pivot") == pivot, -(-n // BLOCK)).otherwise(blocks)
         listed = listed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         paired = listed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("pivot", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "rep", "weight", "v", "near")
-        links = scratch.keep(paired.groupBy("pivot", "p", "q").applyInArrow(_linked(width, threshold), "a long, b long, links long"), "links")
+        links = scratch.keep(paired.groupBy("pivot", "p", "q").applyInArrow(_linked(width, threshold, min(SHARED, len(pivots))), "a long, b long, links long"), "links")
     else:
         links = vectors.sparkSession.createDataFrame([], "a long, b long, links long")
     degree = links.filter("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
