@@ -32,8 +32,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 #: Entries in a worker's memo of chunks; it is emptied when full.
-MEMO = 300_000
+MEMO = 150_000
 #: Unicode white space (White_Space=yes).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
@@ -248,7 +250,7 @@ def tokenize(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
 
     def run(batches):
         own = encoder(vocabulary)
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for text in batch.column(1):
                 ids, decoded = own.encode(text.as_py() or "")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import held_out, seeded_hash
+from .common import held_out, seeded_hash, sliced
 from .textmath import COMMON, DIGIT, LINE, LOWER, SPACE, SYMBOL, UPPER, char_classes, chunks, points
 
 #: Bounds of the fitting sample.
@@ -114,7 +114,7 @@ def margin(x: np.ndarray, weights: list[np.ndarray]) -> np.ndarray:
 
 
 def _measured(batches):
-    for b in batches:
+    for b in sliced(batches):
         x = statistics([t or "" for t in b.column(0).to_pylist()])
         yield pa.RecordBatch.from_arrays([b.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["u", "x"])
 
@@ -153,7 +153,7 @@ def score(docs: DataFrame, model: dict, fold, id_col="doc_id", text_col="text",
 
     def run(batches):
         weights = model["weights"]
-        for b in batches:
+        for b in sliced(batches):
             texts = [t or "" for t in b.column(2).to_pylist()]
             if weights is None:
                 s = np.full(len(texts), model["prior"])
