@@ -105,8 +105,9 @@ def _described(held, rarity):
         met: set[bytes] = set()
         for b in sliced(batches):
             texts = [t or "" for t in b.column(1).to_pylist()]
+            named = b.column(0).is_valid().to_pylist()
             size, sig, need, rares, commons = [], [], [], [], []
-            for x in shingle_sets(texts, rarity.value):
+            for x, own in zip(shingle_sets(texts, rarity.value), named, strict=True):
                 n = len(x)
                 size.append(n)
                 if not n:
@@ -125,7 +126,7 @@ def _described(held, rarity):
                 digest = hashlib.blake2b(x.tobytes(), digest_size=16).digest()
                 sig.append(digest)
                 need.append(matches)
-                if digest in met:
+                if not own or digest in met:  # rows without an id link with nothing: their listing is not used
                     rares.append(None)
                     commons.append(None)
                     continue

@@ -125,6 +125,14 @@ def test_jaccard_join_empty(empty):
     assert ngram_join.jaccard_components(empty).collect() == []
 
 
+def test_jaccard_join_null_id_copy_ahead_of_its_group(spark):
+    rng = random.Random(8)
+    base = sentence(rng, 120)
+    rows = [(None, base, None, None, None), (7, base, None, None, None), (3, base + " edit", None, None, None), (9, base, None, None, None)]
+    got = [r.component_id for r in ngram_join.jaccard_components(spark.createDataFrame(rows, DOCS).coalesce(1)).collect() if r.doc_id is not None]
+    assert got == [3, 3, 3]
+
+
 # --- 2, 9, 7 --------------------------------------------------------------------------
 
 
