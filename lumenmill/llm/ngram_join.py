@@ -17,6 +17,12 @@ leaders are minima with map-side combining, and frequent shingles are known
 beforehand and kept apart from the rest. So a group of n near copies costs n
 comparisons a shingle, and no link between components is missed.
 
+Links are counted afterwards, as both ends of a link lie in one component: a
+component's sets are dealt into salted blocks, each pair of blocks meets once
+and compares all its sets, and only sums leave it. A document's ``n_links`` is
+the number of other documents with a set that links with one of its own, equal
+sets included.
+
 The list of frequent shingles is bounded: only those in ``1 / SHARE`` of the
 documents (and ``FREQUENT`` at least) are listed, at most SHARE times the mean
 set size.
@@ -55,6 +61,8 @@ MEMO = 200_000
 LEADERS = 16
 #: Expected probes of a document above which it asks for a second shared shingle; each doubling asks for one more.
 PROBES = 8
+#: Sets and shingles of a block in which links are counted, about; columns of a product.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 2048, 1 << 20, 4096
 
 
 def prefix_length(n, matches):
@@ -136,7 +144,7 @@ def _described(held, rarity):
                 length = prefix_length(n, matches)
                 rares.append(x[~common][:length].view(np.int64))
                 commons.append(x[common][: max(0, length - rare)].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int32()), pa.array(sig, pa.binary()), pa.array([d and int.from_bytes(d[:8], "little", signed=True) for d in sig], pa.int64()), pa.array(need, pa.int32()), *(pa.array(h, pa.list_(pa.int64())) for h in (rares, commons))], ["doc_id", "n", "sig", "node", "matches", "rare", "common"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int32()), pa.array(sig, pa.binary()), pa.array([d and _node(d) for d in sig], pa.int64()), pa.array(need, pa.int32()), *(pa.array(h, pa.list_(pa.int64())) for h in (rares, commons))], ["doc_id", "n", "sig", "node", "matches", "rare", "common"])
 
     return run
 
@@ -190,11 +198,21 @@ def _packed(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([squeeze.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()], pa.binary())], ["_id", "z"])
 
 
-def _sets(batches):
-    expand = zstandard.ZstdDecompressor()
-    for b in sliced(batches):
-        texts = [expand.decompress(z.as_py()).decode("utf-8", "surrogatepass") for z in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in shingle_sets(texts)], pa.binary())], ["rep", "x"])
+def _node(digest: bytes) -> int:
+    """64 bits that name a set."""
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
+def _sets(rarity):
+    def run(batches):
+        expand = zstandard.ZstdDecompressor()
+        for b in sliced(batches):
+            texts = [expand.decompress(z.as_py()).decode("utf-8", "surrogatepass") for z in b.column(1)]
+            sets = [x.tobytes() for x in shingle_sets(texts, rarity.value)]
+            nodes = [_node(hashlib.blake2b(x, digest_size=16).digest()) if x else None for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary()), pa.array(nodes, pa.int64())], ["rep", "x", "node"])
+
+    return run
 
 
 def _verified(batches):
@@ -214,8 +232,88 @@ def _check(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long").distinct()
 
 
+def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Numbers of common shingles of the sets at ``left`` and those at ``right``."""
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, col, holders = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    some = holders > 1
+    row, col = row[some[col]], (np.cumsum(some) - 1)[col[some[col]]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, int(some.sum()), COLUMNS):
+        a, b = np.searchsorted(col, [first, first + COLUMNS])
+        held = np.zeros((len(sets), min(COLUMNS, int(some.sum()) - first)), np.float32)
+        held[row[a:b], col[a:b] - first] = 1
+        out += held[left] @ held[right].T
+    return out.astype(np.int64)
+
+
+def _linked(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Links within a pair of blocks: (node, other, n).
+
+    other null: n documents lie behind the node's links; else a link with a
+    node that has ids with several sets.
+    """
+    lo, hi = key[1].as_py(), key[2].as_py()
+    node, first = np.unique(table["node"].to_numpy(), return_index=True)
+    block, docs, several = (table[c].to_numpy()[first] for c in ("block", "docs", "several"))
+    raw = table["x"].take(pa.array(first)).to_pylist()
+    sets = [np.frombuffer(x, np.uint64) for x in raw]
+    left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    if not len(left) or not len(right):
+        return pa.table({"node": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+    size = np.array([len(x) for x in sets], np.int64)
+    common = _shared(sets, left, right)
+    link = WHOLE * common >= PART * (size[left][:, None] + size[right] - common)
+    if lo == hi:
+        np.fill_diagonal(link, False)
+    names, sums = [node[left]], [link @ docs[right]]
+    if lo != hi:
+        names.append(node[right])
+        sums.append(docs[left] @ link)
+    i, j = np.nonzero(link & (several[left][:, None] | several[right]))
+    p, q = node[left][i], node[right][j]
+    if lo != hi:
+        p, q = np.concatenate([p, q]), np.concatenate([q, p])
+    names, sums = np.concatenate(names), np.concatenate(sums)
+    some = sums > 0
+    names, sums = names[some], sums[some]
+    other = pa.concat_arrays([pa.nulls(len(names), pa.int64()), pa.array(q)])
+    return pa.table({"node": np.concatenate([names, p]), "other": other, "n": np.concatenate([sums, np.ones(len(p), np.int64)])})
+
+
+def _link_counts(rows: DataFrame, classes: DataFrame, parts: DataFrame, sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(node, near) of documents with one set, and (doc_id, more) of ids that stand on rows with different sets."""
+    at = F.coalesce("node", F.lit(0))
+    kinds = scratch.keep(rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min(at).alias("node"), F.max(at).alias("to")), "kinds")
+    ids = kinds.filter("node <> to").select("doc_id")
+    several = scratch.keep(rows.filter("node is not null").join(ids, "doc_id").select("doc_id", "node").distinct(), "several")
+    docs = kinds.filter("node = to and node <> 0").groupBy("node").agg(F.count("*").alias("docs"))
+    nodes = classes.select("node", "rep", "n").join(docs, "node", "left").join(several.select("node", F.lit(True).alias("several")).distinct(), "node", "left")
+    nodes = nodes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("part"), "n", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("several", F.lit(False)).alias("several"))
+    nodes = scratch.keep(nodes, "nodes")
+    blocks = nodes.groupBy("part").agg(F.count("*").alias("m"), F.sum(F.col("n").cast("long")).alias("all")).filter("m > 1")
+    blocks = blocks.select("part", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("all") / BLOCK_SHINGLES)).cast("int").alias("k"))
+    dealt = nodes.join(blocks, "part").select("part", "node", "docs", "several", "k", F.pmod(F.xxhash64("node"), F.col("k")).cast("int").alias("block"))
+    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least("block", j).alias("lo"), F.greatest("block", j).alias("hi")))).alias("at")
+    met = dealt.join(sets.select("node", "x"), "node").select("part", "node", "docs", "several", "block", "x", meets).select("part", "at.lo", "at.hi", "node", "docs", "several", "block", "x")
+    found = scratch.keep(met.groupBy("part", "lo", "hi").applyInArrow(_linked, "node long, other long, n long"), "linked")
+    near = nodes.select("node", F.col("docs").alias("n")).unionByName(found.filter("other is null").select("node", "n")).groupBy("node").agg(F.sum("n").alias("near"))
+    # ids on several sets are counted apart, each once however many of its sets are linked
+    around = found.filter("other is not null").select("node", "other").unionByName(several.select("node", F.col("node").alias("other"))).distinct()
+    around = scratch.keep(around, "around")
+    behind = several.select(F.col("doc_id").alias("them"), F.col("node").alias("other"))
+    extra = around.join(behind, "other").groupBy("node").agg(F.count_distinct("them").alias("extra"))
+    near = near.join(extra, "node", "left").select("node", (F.col("near") + F.coalesce("extra", F.lit(0)) - 1).alias("near"))
+    reached = scratch.keep(several.join(around, "node").select("doc_id", "other").distinct(), "reached")
+    single = reached.join(nodes.select(F.col("node").alias("other"), "docs"), "other").groupBy("doc_id").agg(F.sum("docs").alias("docs"))
+    multiple = reached.join(behind, "other").groupBy("doc_id").agg(F.count_distinct("them").alias("ids"))
+    return near, single.join(multiple, "doc_id").select("doc_id", (F.col("docs") + F.col("ids") - 1).alias("more"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: size of its set, class (smallest id with the same set), component."""
+    """One row per document: size of its set, class (smallest id with the same set), component, number of linked documents."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram")
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
@@ -254,9 +352,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stars = large.join(leaders, "token").filter((F.col("rep") != F.col("leader")) & alike(F.col("m"), F.col("n"))).select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b"))
     pairs = scratch.keep(enough(counted).unionByName(stars).distinct(), "pairs")
     # only texts of documents that may link move, compressed
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(large.select("rep")).distinct()
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(large.select("rep")).unionByName(classes.groupBy("rep").count().filter("count > 1").select("rep")).distinct()
     moved = texts.mapInArrow(_packed, "_id long, z binary").join(nodes, F.col("_id") == F.col("rep")).select("rep", "z")
-    sets = scratch.keep(moved.mapInArrow(_sets, "rep long, x binary"), "sets")
+    sets = scratch.keep(moved.mapInArrow(_sets(rarity), "rep long, x binary, node long"), "sets")
     links = scratch.keep(_check(pairs, sets), "links")
     parts = scratch.keep(components(links, scratch), "parts")
 
@@ -274,7 +372,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if open_pairs.first() is not None:
         links = scratch.keep(links.unionByName(_check(open_pairs, sets)).distinct(), "all-links")
         parts = scratch.keep(components(links, scratch), "all-parts")
-    member = rows.select("doc_id", "n", "sig").join(classes.select("sig", "rep"), "sig", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("class_id"))
+    near, more = _link_counts(rows, classes, parts, sets, scratch)
+    counts = scratch.keep(classes.select("sig", "rep", "node").join(near, "node", "left").select("sig", "rep", "near"), "counts")
+    member = rows.select("doc_id", "n", "sig").join(counts, "sig", "left").select("doc_id", "n", "near", F.coalesce("rep", "doc_id").alias("class_id"))
     # an id on several rows has several classes; they are one document
-    joined = member.join(parts.withColumnRenamed("node", "class_id"), "class_id", "left")
-    return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id")).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
+    joined = member.join(parts.withColumnRenamed("node", "class_id"), "class_id", "left").join(scratch.keep(more, "more"), "doc_id", "left")
+    return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id")).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("more", "near", F.lit(0))).cast("long").alias("n_links"))

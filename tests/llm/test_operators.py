@@ -133,6 +133,30 @@ def test_jaccard_join_null_id_copy_ahead_of_its_group(spark):
     assert got == [3, 3, 3]
 
 
+def link_counts(rows):
+    sets = collections.defaultdict(set)
+    for i, t, *_ in rows:
+        if i is not None:
+            sets[i].add(shingles(t))
+    near = lambda x, y: x and y and 100 * len(x & y) >= 80 * len(x | y)
+    return {i: sum(j != i and any(near(x, y) for x in sets[i] for y in sets[j]) for j in sets) for i in sets}
+
+
+@pytest.mark.parametrize("group, block", [(40, 2048), (4, 16)])
+def test_jaccard_join_counts_every_link(spark, docs, monkeypatch, group, block):
+    monkeypatch.setattr(ngram_join, "GROUP", group)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "COLUMNS", 100)
+    rows = corpus()
+    # ids on several texts: copies, near copies and texts of others
+    more = [(7, rows[100][1], None, None, None), (30, rows[31][1], None, None, None), (31, rows[0][1] + " tail", None, None, None), (900, rows[40][1], None, None, None), (900, "", None, None, None), (901, rows[150][1], None, None, None), (901, rows[151][1], None, None, None), (901, rows[151][1] + " t", None, None, None)]
+    want = link_counts(rows + more)
+    assert sum(want.values()) > 3000
+    got = ngram_join.jaccard_components(docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(more, DOCS))).collect()
+    assert len(got) == len(rows + more)
+    assert all(r.n_links == want.get(r.doc_id) for r in got)
+
+
 # --- 2, 9, 7 --------------------------------------------------------------------------
 
 
