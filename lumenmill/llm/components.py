@@ -4,7 +4,8 @@ Large-star and small-star rounds (Kiveris et al. 2014) rewrite the edges until
 every node points at the smallest node it reaches. A round is two aggregations
 with map-side minima and two joins, so a node with very many edges is never
 gathered in one task. Edges go to a scratch table after each round: lineage
-stays short and a lost executor costs a retry.
+stays short and a lost executor costs a retry. Rounds go on until one changes
+nothing.
 """
 
 from __future__ import annotations
@@ -14,8 +15,6 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-MOST_ROUNDS = 60
-
 
 def _state(edges: DataFrame) -> tuple:
     r = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first()
@@ -27,7 +26,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = scratch.keep(e, "edges-0")
     seen, k = _state(e), 0
-    while seen[0] and k < MOST_ROUNDS:
+    while seen[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()

@@ -69,6 +69,12 @@ def test_components(spark):
     assert all(got[x] == find(x) for e in edges if e[0] != e[1] for x in e)
 
 
+def test_components_take_the_rounds_they_need(spark, monkeypatch):
+    monkeypatch.setattr("lumenmill.llm.components.MOST_ROUNDS", 1, raising=False)
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    assert {r.component for r in components(edges, Scratch(spark, "t")).collect()} == {0}
+
+
 # --- 1 ----------------------------------------------------------------------------
 
 
