@@ -5,8 +5,9 @@ letters, and by repeating letters. Every run of characters that may be such a
 word is expanded into a lattice: at each character the letters it may stand
 for, or nothing where it may be a separator or a repeat. A Viterbi search under
 a letter 4-gram language model, counted over all documents, finds the likeliest
-source text; the channel charges each change. A classifier then scores the
-restored texts.
+source text; the channel charges each change. Runs of any length are restored,
+in linear time. As a restored run may hold several words, its features are taken
+from every letter on. A classifier then scores the restored texts.
 
 The language model has a fixed alphabet (26 letters and the word border), so
 its table never exceeds 27^4 counts; the counts grow with the corpus. The
@@ -20,6 +21,7 @@ ids and other columns don't matter.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, seeded_hash
+from .common import Scratch, held_out, seeded_hash
 from .textmath import chunks, latin_letters, points
 
 ORDER, SYMBOLS = 4, 27
@@ -43,7 +45,8 @@ LOOKALIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "
 SEPARATOR = ".-_*~'"
 #: Costs in natural logs of the channel.
 CHANGE, DROP, REPEAT = 1.0, 0.7, 0.4
-BEAM = 64
+#: A word's feature hashes its letters from the last to the first, so those of all its ends cost one pass.
+WORD = zlib.crc32(b"w:")
 
 #: Single characters parted by spaces or separators, at least four of them.
 SPACED = re.compile(r"(?<!\S)(?:[^\W_][\s._*\-~]{1,2}){3,}[^\W_](?!\S)", re.UNICODE)
@@ -98,26 +101,36 @@ def plain(word: str) -> str:
 def restore(run: str, model: LetterModel) -> str:
     """The likeliest a..z word behind a run of characters: a Viterbi search over its lattice."""
     table = latin_letters()
-    # (last three letters) -> (score, word, last source character)
-    states: dict[tuple[int, int, int], tuple[float, str]] = {(0, 0, 0): (0.0, "")}
+    # last three letters -> (score, word as (word before, letter))
+    states: dict[tuple[int, int, int], tuple[float, tuple | None]] = {(0, 0, 0): (0.0, None)}
     before = ""
     for c in run:
         own = int(table[ord(c)]) if ord(c) < len(table) else 0
         options = [(own, 0.0)] if own else [(ord(x) - 96, CHANGE) for x in LOOKALIKE.get(c, "")]
         drop = DROP if c in SEPARATOR or c.isspace() else REPEAT if own and c == before else None if options else DROP
-        grown: dict[tuple[int, int, int], tuple[float, str]] = {}
+        grown: dict[tuple[int, int, int], tuple[float, tuple | None]] = {}
         for (x, y, z), (s, word) in states.items():
             for letter, cost in options:
                 t = s - cost + float(model.log[((x * SYMBOLS + y) * SYMBOLS + z) * SYMBOLS + letter])
                 key = (y, z, letter)
                 if key not in grown or t > grown[key][0]:
-                    grown[key] = (t, word + chr(96 + letter))
-            if drop is not None and (s - drop > grown.get((x, y, z), (-1e9,))[0]):
+                    grown[key] = (t, (word, letter))
+            if drop is not None and (s - drop > grown.get((x, y, z), (-math.inf,))[0]):
                 grown[x, y, z] = (s - drop, word)
-        states = dict(sorted(grown.items(), key=lambda kv: (-kv[1][0], kv[1][1]))[:BEAM]) if len(grown) > BEAM else grown
+        states = grown
         before = c
-    end = [(s + float(model.log[((x * SYMBOLS + y) * SYMBOLS + z) * SYMBOLS]), word) for (x, y, z), (s, word) in states.items()]
-    return max(end, key=lambda e: (e[0], e[1]), default=(0.0, ""))[1]
+    end = [(s + float(model.log[((x * SYMBOLS + y) * SYMBOLS + z) * SYMBOLS]), (x, y, z)) for (x, y, z), (s, _) in states.items()]
+    word = states[max(end)[1]][1]
+    letters = []
+    while word:
+        word, letter = word
+        letters.append(chr(96 + letter))
+    return "".join(reversed(letters))
+
+
+def beginnings(word: str) -> set[int]:
+    """Features of a word's first 4, 5 and 6 letters."""
+    return {zlib.crc32(f"{n}:{word[:n]}".encode()) & (SLOTS - 1) for n in (4, 5, 6)}
 
 
 class Restorer:
@@ -126,21 +139,32 @@ class Restorer:
     def __init__(self, model: LetterModel, kept: set[int] | None = None):
         self.model, self.kept, self.memo = model, kept, {}
 
-    def words(self, chunk: str) -> list[str]:
-        """Words that a chunk between spaces may be: as written, and restored."""
-        found = [plain(w) for w in LETTERS.findall(chunk)]
-        if len(chunk) < 48 and (HIDDEN.search(chunk) or REPEATED.search(chunk)):
-            found.append(restore(chunk.strip(".,;:!?*'\"()-_"), self.model))
-            found.append(restore(chunk, self.model))
-        return [w for w in found if len(w) > 1]
+    def restored(self, run: str) -> set[int]:
+        """Features of a run's restored letters from every start on: where its words begin is not known."""
+        found = {restore(run, self.model)}
+        found |= {restore(w, self.model) for w in found if REPEATED.search(w)}
+        ids: set[int] = set()
+        for w in found:
+            rest = WORD
+            for k in range(len(w) - 1, -1, -1):
+                rest = zlib.crc32(w[k].encode(), rest)
+                if k < len(w) - 1:
+                    ids.add(rest & (SLOTS - 1))
+                    ids |= beginnings(w[k : k + 6])
+        return ids
 
     def ids(self, chunk: str) -> tuple[int, ...]:
+        """Features of the words that a chunk between spaces may be: as written, and restored."""
         found = self.memo.get(chunk)
         if found is None:
-            names = set()
-            for w in self.words(chunk):
-                names |= {f"w:{w}", f"4:{w[:4]}", f"5:{w[:5]}", f"6:{w[:6]}"}
-            ids = {zlib.crc32(n.encode()) & (SLOTS - 1) for n in names}
+            ids: set[int] = set()
+            words = [plain(w) for w in LETTERS.findall(chunk)]
+            if len(chunk) < 48 and (HIDDEN.search(chunk) or REPEATED.search(chunk)):
+                words += [restore(run, self.model) for run in (chunk, chunk.strip(".,;:!?*'\"()-_"))]
+            for w in words:
+                if len(w) > 1:
+                    ids.add(zlib.crc32(w[::-1].encode(), WORD) & (SLOTS - 1))
+                    ids |= beginnings(w)
             found = tuple(sorted(ids if self.kept is None else ids & self.kept))
             if len(chunk) < 48:
                 if len(self.memo) >= MEMO:
@@ -156,9 +180,8 @@ class Restorer:
         for m in SPACED.finditer(text):
             run = m.group()
             for part in {run, *re.split(r"\s{2,}", run)}:
-                w = restore(part, self.model)
-                for k in range(max(1, min(len(w), 24) - 3)):  # a word may follow single letters that belong to none
-                    out.update(self.ids(w[k:]))
+                ids = self.restored(part)
+                out |= ids if self.kept is None else ids & self.kept
         return out
 
 
@@ -237,21 +260,40 @@ def fit(docs: DataFrame, labels: DataFrame, train, id_col="doc_id", text_col="te
             ids = [np.array(sorted(restorer.features(t or "")), np.int32).tobytes() for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(ids, pa.binary())], ["y", "ids"])
 
-    found = chosen.select("text", "y").mapInArrow(features, "y int, ids binary").toPandas()
-    y = found["y"].to_numpy(float) if len(found) else np.zeros(0)
-    if not y.sum() or y.all():
+    def counts(batches):
+        yes, every = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
+        for b in batches:
+            for y, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                at = np.frombuffer(ids, np.int32)
+                every[at] += 1
+                yes[at] += y
+        some = np.flatnonzero(every)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(yes[some]), pa.array(every[some])], ["slot", "yes", "n"])
+
+    # features stay on the executors until those that count are known
+    table = Scratch(docs.sparkSession, "toxicity").keep(chosen.select("text", "y").mapInArrow(features, "y int, ids binary"), "features")
+    n, ones = table.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    if not ones or ones == n:
         return {"model": model, "ids": [], "weights": [], "bias": -4.0}
+    slots = table.mapInArrow(counts, "slot long, yes long, n long").groupBy("slot").agg(F.sum("yes").alias("yes"), F.sum("n").alias("n")).filter(F.col("yes") >= LEAST).toPandas().sort_values("slot")
+    slot, yes, every = (slots[c].to_numpy(np.int64) for c in ("slot", "yes", "n"))
+    a, b = float(ones), float(n - ones)
+    evidence = np.log((yes + 0.1) / (a + 0.2)) - np.log((every - yes + 0.5) / (b + 1))
+    able = np.flatnonzero(evidence >= EVIDENCE)
+    able = np.sort(slot[able[np.lexsort((slot[able], -evidence[able] * yes[able]))][:KEPT]])
+
+    def counted(batches):
+        for b in batches:
+            ids = [np.intersect1d(np.frombuffer(v, np.int32), able, assume_unique=True).astype(np.int32).tobytes() for v in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["y", "ids"])
+
+    found = table.mapInArrow(counted, "y int, ids binary").toPandas().sort_values(["y", "ids"])
+    y = found["y"].to_numpy(float)
     lists = [np.frombuffer(v, np.int32) for v in found["ids"]]
     rows, cols = np.repeat(np.arange(len(lists)), [len(v) for v in lists]), np.concatenate(lists)
-    yes, every = np.bincount(cols, weights=y[rows], minlength=SLOTS), np.bincount(cols, minlength=SLOTS)
-    a, b = y.sum(), len(y) - y.sum()
-    evidence = np.log((yes + 0.1) / (a + 0.2)) - np.log((every - yes + 0.5) / (b + 1))
-    able = np.flatnonzero((yes >= LEAST) & (evidence >= EVIDENCE))
-    able = np.sort(able[np.lexsort((able, -evidence[able] * yes[able]))][:KEPT])
     place = np.full(SLOTS, -1)
     place[able] = np.arange(len(able))
-    keep = place[cols] >= 0
-    w, bias = logistic(rows[keep], place[cols[keep]], y, len(able), np.zeros(len(able)))
+    w, bias = logistic(rows, place[cols], y, len(able), np.zeros(len(able)))
     return {"model": model, "ids": able.tolist(), "weights": w.tolist(), "bias": bias}
 
 

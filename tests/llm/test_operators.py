@@ -260,6 +260,25 @@ def test_restoring():
     assert np.allclose(table, 1, atol=1e-4)
 
 
+def letter_model():
+    """A model of a few words, and a function that tells whether a text has all features of a word."""
+    counts = np.zeros(toxicity.TABLE)
+    for w in ["idiot", "you", "are", "total", "the", "cat", "sat", "letter", "book", "and", "not"] * 50:
+        c = [0, 0, 0, *(ord(x) - 96 for x in w), 0]
+        for k in range(3, len(c)):
+            counts[((c[k - 3] * 27 + c[k - 2]) * 27 + c[k - 1]) * 27 + c[k]] += 1
+    model = toxicity.LetterModel(counts)
+    return model, lambda text, word="idiot": toxicity.Restorer(model).features(word) <= toxicity.Restorer(model).features(text)
+
+
+def test_a_late_word_of_a_spaced_run_counts():
+    _, holds = letter_model()
+    for n in (1, 5, 40):
+        spaced = " ".join("thecatsatandthecatisnotabook" * n + "idiot")
+        assert holds(spaced) and holds(spaced.replace(" ", "."))
+    assert not holds(" ".join("thecatsatandthecatisnotabook"))
+
+
 # --- 3, 5 --------------------------------------------------------------------------------
 
 
