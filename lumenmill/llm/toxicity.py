@@ -158,13 +158,13 @@ class Restorer:
         found = self.memo.get(chunk)
         if found is None:
             ids: set[int] = set()
-            words = [plain(w) for w in LETTERS.findall(chunk)]
-            if len(chunk) < 48 and (HIDDEN.search(chunk) or REPEATED.search(chunk)):
-                words += [restore(run, self.model) for run in (chunk, chunk.strip(".,;:!?*'\"()-_"))]
-            for w in words:
+            for w in (plain(w) for w in LETTERS.findall(chunk)):
                 if len(w) > 1:
                     ids.add(zlib.crc32(w[::-1].encode(), WORD) & (SLOTS - 1))
                     ids |= beginnings(w)
+            if HIDDEN.search(chunk) or REPEATED.search(chunk):
+                for run in {chunk, chunk.strip(".,;:!?*'\"()-_")}:
+                    ids |= self.restored(run)
             found = tuple(sorted(ids if self.kept is None else ids & self.kept))
             if len(chunk) < 48:
                 if len(self.memo) >= MEMO:

@@ -279,6 +279,13 @@ def test_a_late_word_of_a_spaced_run_counts():
     assert not holds(" ".join("thecatsatandthecatisnotabook"))
 
 
+def test_hidden_words_anywhere_in_a_chunk_count():
+    _, holds = letter_model()
+    assert holds("total.1d10t") and holds("total_1diiiot") and not holds("total.b00k")
+    for n in (8, 300):
+        assert holds("the-cat." * n + "1d10t") and holds("thecat" * n + "1d10t")
+
+
 # --- 3, 5 --------------------------------------------------------------------------------
 
 
