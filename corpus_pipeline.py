@@ -6,7 +6,8 @@ the columns of ``documents``. ``run`` writes each stage's result to the folder
 that ``spark.checkpoint.dir`` names and reads it again for the next.
 
 Decisions: documents predicted as bad quality go; of each component of near
-duplicates the smallest id stays (documents that repeat it row by row go too);
+duplicates the smallest id stays (rows that repeat its id and text go too; where
+an id has several texts, each is judged by itself, all but one after all ids);
 byte ranges that repeat elsewhere are cut out; a document is there as often as
 the mix takes it (0, 1 or 2 times), in training order; the last stage returns
 token counts and digests.
@@ -35,8 +36,16 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the smallest id."""
     ship(spark)
-    found = ngram_join.jaccard_components(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
-    named = docs.filter("doc_id is not null").join(found, F.col("doc_id") == F.col("_stays")).drop("_stays").dropDuplicates(["doc_id"])
+    text = F.xxhash64("text")
+    many = Scratch(spark, "texts").keep(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias("_first"), F.max(text).alias("_last")).filter("_first <> _last").select("doc_id", "_first"), "many")
+    keyed = docs.withColumn("_key", F.col("doc_id").cast("long"))
+    if many.first() is not None:
+        # further texts of an id are documents of their own, after all ids
+        further = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2)
+        keyed = docs.join(many, "doc_id", "left").withColumn("_key", F.when(F.col("_first") != text, further).otherwise(F.col("doc_id").cast("long"))).select(*docs.columns, "_key")
+        keyed = Scratch(spark, "keyed").keep(keyed, "documents")
+    found = ngram_join.jaccard_components(keyed, id_col="_key").filter("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
+    named = keyed.join(found, F.col("_key") == F.col("_stays")).groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("_kept")).select("_kept.*")
     return named.unionByName(docs.filter("doc_id is null"))
 
 

@@ -283,8 +283,8 @@ def _linked(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"node": np.concatenate([names, p]), "other": other, "n": np.concatenate([sums, np.ones(len(p), np.int64)])})
 
 
-def _link_counts(rows: DataFrame, classes: DataFrame, parts: DataFrame, sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(node, near) of documents with one set, and (doc_id, more) of ids that stand on rows with different sets."""
+def _link_counts(rows: DataFrame, classes: DataFrame, parts: DataFrame, sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(node, near) of documents with one set; (doc_id, more) and (doc_id, node) of ids that stand on rows with different sets."""
     at = F.coalesce("node", F.lit(0))
     kinds = scratch.keep(rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min(at).alias("node"), F.max(at).alias("to")), "kinds")
     ids = kinds.filter("node <> to").select("doc_id")
@@ -309,7 +309,7 @@ def _link_counts(rows: DataFrame, classes: DataFrame, parts: DataFrame, sets: Da
     reached = scratch.keep(several.join(around, "node").select("doc_id", "other").distinct(), "reached")
     single = reached.join(nodes.select(F.col("node").alias("other"), "docs"), "other").groupBy("doc_id").agg(F.sum("docs").alias("docs"))
     multiple = reached.join(behind, "other").groupBy("doc_id").agg(F.count_distinct("them").alias("ids"))
-    return near, single.join(multiple, "doc_id").select("doc_id", (F.col("docs") + F.col("ids") - 1).alias("more"))
+    return near, single.join(multiple, "doc_id").select("doc_id", (F.col("docs") + F.col("ids") - 1).alias("more")), several
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -372,9 +372,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if open_pairs.first() is not None:
         links = scratch.keep(links.unionByName(_check(open_pairs, sets)).distinct(), "all-links")
         parts = scratch.keep(components(links, scratch), "all-parts")
-    near, more = _link_counts(rows, classes, parts, sets, scratch)
+    near, more, several = _link_counts(rows, classes, parts, sets, scratch)
     counts = scratch.keep(classes.select("sig", "rep", "node").join(near, "node", "left").select("sig", "rep", "near"), "counts")
     member = rows.select("doc_id", "n", "sig").join(counts, "sig", "left").select("doc_id", "n", "near", F.coalesce("rep", "doc_id").alias("class_id"))
     # an id on several rows has several classes; they are one document
+    same = several.join(classes.select("node", "rep"), "node").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
+    if same.first() is not None:
+        parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(same), Scratch(spark, "ngram-ids"))
     joined = member.join(parts.withColumnRenamed("node", "class_id"), "class_id", "left").join(scratch.keep(more, "more"), "doc_id", "left")
     return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id")).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("more", "near", F.lit(0))).cast("long").alias("n_links"))

@@ -161,6 +161,8 @@ def test_jaccard_join_counts_every_link(spark, docs, monkeypatch, group, block):
     got = ngram_join.jaccard_components(docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(more, DOCS))).collect()
     assert len(got) == len(rows + more)
     assert all(r.n_links == want.get(r.doc_id) for r in got)
+    parts = jaccard_components(rows + more)
+    assert all(r.component_id == parts.get(r.doc_id) for r in got)
 
 
 # --- 2, 9, 7 --------------------------------------------------------------------------

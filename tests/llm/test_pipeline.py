@@ -1,10 +1,11 @@
 """The pipeline's stages on a small folder of tables."""
 
 import collections
+import random
 
 import pytest
 
-from .test_operators import DOCS, WORDS, jaccard_components, labelled, repeats
+from .test_operators import DOCS, WORDS, jaccard_components, labelled, repeats, sentence
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -44,6 +45,18 @@ def test_stages(spark, folder):
     assert collections.Counter(r.doc_id for r in tokens.collect()) == count
 
 
+def test_texts_of_a_repeated_id_are_judged_one_by_one(spark, folder):
+    rng = random.Random(4)
+    a, b, c, d, e = (sentence(rng, 80) for _ in range(5))
+    rows = [(1, a), (2, a + " tail"), (2, b), (3, b + " tail"), (4, c), (4, d), (4, d), (5, d), (5, e), (6, c), (None, a)]
+    docs = spark.createDataFrame([(i, t, f"l{k}", None, None) for k, (i, t) in enumerate(rows)], DOCS)
+    found = [sorted(pipeline.one_of_each(spark, part, folder).collect(), key=str) for part in (docs, docs.repartition(5))]
+    assert found[0] == found[1]
+    named = [r.text for r in found[0] if r.doc_id is not None]
+    assert collections.Counter(t.removesuffix(" tail") for t in named) == collections.Counter([a, b, c, d, e])
+    assert len(found[0]) == 6
+
+
 def test_run(spark, folder):
     a, b = (sorted(tuple(r) for r in pipeline.run(spark, folder).collect()) for _ in range(2))
     assert a == b and a
