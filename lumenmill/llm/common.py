@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,16 +20,20 @@ class Scratch:
     """Tables written to the folder that ``spark.checkpoint.dir`` names.
 
     Every executor and the driver can read them, so a lost executor costs
-    nothing but a retry. Only where the setting is absent (tests) is a local
-    temporary folder used.
+    nothing but a retry. Where the setting is absent a local temporary folder
+    is used in local mode; on a cluster that is refused. Tables go when they are
+    dropped, and all that are left when the driver's Python ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = tempfile.gettempdir() + "/lumenmill-checkpoints"
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        atexit.register(self._clear)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it back: lineage is cut, work is done once."""
@@ -33,18 +41,51 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Delete a table that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more."""
+        for name in names:
+            self._delete(f"{self.root}/{name}")
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def _clear(self) -> None:
+        with contextlib.suppress(Exception):  # the session may be gone
+            self._delete(self.root)
+
 
-def sliced(batches, rows: int = 512):
-    """Parts of so many rows: what is derived from a batch of long texts is held for a part at a time."""
+def sliced(batches, rows: int = 512, size: int = 4 << 20):
+    """Parts of so many rows and bytes at most (one row at least): what is derived from long texts is held for a part at a time."""
     for b in batches:
         for start in range(0, b.num_rows, rows):
-            yield b.slice(start, rows)
+            open_parts = [b.slice(start, rows)]
+            while open_parts:
+                part = open_parts.pop()
+                half = part.num_rows // 2
+                if half and part.nbytes > size:
+                    open_parts += [part.slice(half), part.slice(0, half)]
+                else:
+                    yield part
+
+
+def trim() -> None:
+    """Give memory that is no longer used back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def frugal(run):
+    """``run`` for mapInArrow; what its task has freed is given back at its end, not when the worker ends."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return whole
 
 
 def seeded_hash(seed: str, *cols: Column) -> Column:

@@ -4,28 +4,36 @@ Two documents link if their shingle sets x, y have 100 |x n y| >= 80 |x u y|.
 In any common order of all shingles, linked sets share at least l shingles
 within the first |x| - ceil(0.8 |x|) + l of each (l = 1, 2, ...). The order
 puts shingles of rare words first, those of common words (which meet by chance)
-later, and shingles that very many documents hold last. A document's candidate cost
-is estimated from the frequencies in its prefix; the higher it is, the longer
-the prefix and the more shared prefix shingles a pair needs before its sets are
-compared (the smaller requirement of the two documents counts).
-
-Documents with equal sets are one class from the start. Within the group of a
-shingle with few holders all pairs are counted. In a larger group each holder
-is compared with one leader; afterwards only holders that still lie in
-different components are compared pair by pair. No group is gathered in a task:
-leaders are minima with map-side combining, and frequent shingles are known
-beforehand and kept apart from the rest. So a group of n near copies costs n
-comparisons a shingle, and no link between components is missed.
-
-Links are counted afterwards, as both ends of a link lie in one component: a
-component's sets are dealt into salted blocks, each pair of blocks meets once
-and compares all its sets, and only sums leave it. A document's ``n_links`` is
-the number of other documents with a set that links with one of its own, equal
-sets included.
+later. A document's candidate cost is estimated from the frequencies in its
+prefix; the higher it is, the longer the prefix and the more shared prefix
+shingles a pair needs before its sets are compared (the smaller requirement of
+the two documents counts).
+
+Documents with equal sets are one class from the start; what follows works on
+classes.
+
+1. The prefix shingles are sorted, and those that two classes hold stay. In
+   each group of holders one leads; holders that share enough shingles with a
+   leader are compared with it. This joins groups of near copies at the price of
+   a comparison or a few for each class, however large they are.
+2. Only classes that still lie in different components can have a link that is
+   not found. Among the holders of a shingle that span several components, pairs
+   across components are counted and those with enough shared prefix shingles
+   are compared. A larger group than ``GROUP`` is not written out as pairs: its
+   holders are dealt into blocks, and every pair of blocks compares its sets in
+   place (groups with the same holders once).
+3. Links are counted, as both ends of a link lie in one component: a component's
+   sets are dealt into salted blocks, each pair of blocks meets once and
+   compares all its sets, and only sums leave it.
+
+No group is gathered in a task: groups are streamed in sorted order, and
+shingles that very many documents hold are known beforehand and led by minima
+with map-side combining. A document's ``n_links`` is the number of other
+documents with a set that links with one of its own, equal sets included.
 
 The list of frequent shingles is bounded: only those in ``1 / SHARE`` of the
 documents (and ``FREQUENT`` at least) are listed, at most SHARE times the mean
-set size.
+set size. It steers costs and skew, not results.
 
 Cases: null, empty and wordless texts have an empty set, link with nothing and
 are their own component; a text of fewer than five words is one shingle; rows
@@ -43,7 +51,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, sliced
+from .common import Scratch, frugal, sliced
 from .components import components
 from .shingles import Rarity, shingle_sets, text_words
 
@@ -53,7 +61,7 @@ PART, WHOLE = 80, 100
 FREQUENT, SHARE = 64, 4000
 #: Most common words whose counts rank the shingles.
 WORDS = 1 << 16
-#: Largest group whose pairs are all counted; most shared prefix shingles asked for.
+#: Largest group whose pairs across components are written out; most shared prefix shingles asked for.
 GROUP, MOST_MATCHES = 40, 6
 #: Digests that a task remembers.
 MEMO = 200_000
@@ -62,7 +70,9 @@ LEADERS = 16
 #: Expected probes of a document above which it asks for a second shared shingle; each doubling asks for one more.
 PROBES = 8
 #: Sets and shingles of a block in which links are counted, about; columns of a product.
-BLOCK, BLOCK_SHINGLES, COLUMNS = 2048, 1 << 20, 4096
+BLOCK, BLOCK_SHINGLES, COLUMNS = 2048, 1 << 19, 2048
+#: Members that a copy of their leader serves.
+FOLLOWERS = 2048
 
 
 def prefix_length(n, matches):
@@ -74,56 +84,71 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Values with their counts from parts of both."""
+    values = np.concatenate([*(v for v, _ in found), np.zeros(0, np.uint64)])
+    counts = np.concatenate([*(c for _, c in found), np.zeros(0, np.int64)])
+    order = np.argsort(values, kind="stable")
+    values, counts = values[order], counts[order]
+    first = np.flatnonzero(np.diff(values, prepend=values[:1] ^ np.uint64(1)))
+    return values[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
 def _words(batches):
     """Counts of a batch's more common words."""
     for b in batches:
-        found = [h for part in sliced([b]) for h in text_words([t or "" for t in part.column(0).to_pylist()])]
-        every = np.concatenate([*found, np.zeros(0, np.uint64)])
-        found.clear()
-        values, counts = np.unique(every, return_counts=True)
-        some = counts >= max(2, len(every) / (4 * WORDS))
+        found, total = [], 0
+        for part in sliced([b]):
+            for h in text_words([t or "" for t in part.column(0).to_pylist()]):
+                found.append(np.unique(h, return_counts=True))
+                total += len(h)
+            if len(found) > 16:
+                found = [_merged(found)]
+        values, counts = _merged(found)
+        some = counts >= max(2, total / (4 * WORDS))
         yield pa.RecordBatch.from_arrays([_signed(values[some]), pa.array(counts[some])], ["token", "n"])
 
 
 def _frequencies(share: float, rarity):
-    """Per batch: shingles that are more common than a quarter of what the bound allows."""
+    """Shingles that are more common in a part of a batch than a quarter of what the bound allows."""
 
     def run(batches):
-        for b in batches:
-            sets = [x for part in sliced([b]) for x in shingle_sets([t or "" for t in part.column(0).to_pylist()], rarity.value)]
-            every = np.concatenate([*sets, np.zeros(0, np.uint64)])
-            sets.clear()
+        for part in sliced(batches, 4096, 8 << 20):
+            every = np.concatenate([*shingle_sets([t or "" for t in part.column(0).to_pylist()], rarity.value), np.zeros(0, np.uint64)])
             every.sort()
-            edge = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1], [True]])) if len(every) else np.zeros(1, int)
-            values, counts = every[edge[:-1]], np.diff(edge)
-            some = counts >= max(2, b.num_rows * share / 4)
-            yield pa.RecordBatch.from_arrays([_signed(values[some]), pa.array(counts[some])], ["token", "n"])
+            values, counts = _merged([(every, np.ones(len(every), np.int32))])
+            some = counts >= max(2, part.num_rows * share / 4)
+            yield pa.RecordBatch.from_arrays([_signed(values[some]), pa.array(counts[some].astype(np.int64))], ["token", "n"])
 
     return run
 
 
 def _described(held, rarity):
-    """(doc_id, n, sig, node, matches, rare, common): the prefix's shingles, frequent ones apart.
+    """(doc_id, n, sig, node, matches, rare, common, z): the prefix's shingles, frequent ones apart; the text, compressed.
 
-    node: 64 bits of the set's digest; a task lists the shingles of a set once.
+    node: 64 bits of the set's digest; a task lists the shingles and the text of a set once.
     """
 
     def run(batches):
         frequent, holders = held.value
         met: set[bytes] = set()
+        squeeze = zstandard.ZstdCompressor(level=3)
         for b in sliced(batches):
             texts = [t or "" for t in b.column(1).to_pylist()]
             named = b.column(0).is_valid().to_pylist()
-            size, sig, need, rares, commons = [], [], [], [], []
-            for x, own in zip(shingle_sets(texts, rarity.value), named, strict=True):
+            size, sig, need, rares, commons, packed = [], [], [], [], [], []
+            for x, own, text in zip(shingle_sets(texts, rarity.value), named, texts, strict=True):
                 n = len(x)
                 size.append(n)
-                if not n:
-                    sig.append(None)
-                    need.append(0)
-                    rares.append(None)
-                    commons.append(None)
+                digest = hashlib.blake2b(x.tobytes(), digest_size=16).digest() if n else None
+                sig.append(digest)
+                if not n or not own or digest in met:  # rows without an id link with nothing: their listing is not used
+                    for column in (need, rares, commons, packed):
+                        column.append(None)
                     continue
+                if len(met) >= MEMO:
+                    met.clear()
+                met.add(digest)
                 at = np.minimum(np.searchsorted(frequent, x), max(0, len(frequent) - 1))
                 common = frequent[at] == x if len(frequent) else np.zeros(n, bool)
                 rare = n - int(common.sum())
@@ -131,20 +156,12 @@ def _described(held, rarity):
                 # a rare shingle has few holders, a frequent one as many as were counted
                 cost = min(short, rare) + int(holders[at[common]][: max(0, short - rare)].sum())
                 matches = min(1 + min(MOST_MATCHES - 1, (cost // PROBES).bit_length()), n - short + 1)
-                digest = hashlib.blake2b(x.tobytes(), digest_size=16).digest()
-                sig.append(digest)
-                need.append(matches)
-                if not own or digest in met:  # rows without an id link with nothing: their listing is not used
-                    rares.append(None)
-                    commons.append(None)
-                    continue
-                if len(met) >= MEMO:
-                    met.clear()
-                met.add(digest)
                 length = prefix_length(n, matches)
+                need.append(matches)
                 rares.append(x[~common][:length].view(np.int64))
                 commons.append(x[common][: max(0, length - rare)].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int32()), pa.array(sig, pa.binary()), pa.array([d and _node(d) for d in sig], pa.int64()), pa.array(need, pa.int32()), *(pa.array(h, pa.list_(pa.int64())) for h in (rares, commons))], ["doc_id", "n", "sig", "node", "matches", "rare", "common"])
+                packed.append(squeeze.compress(text.encode("utf-8", "surrogatepass")))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int32()), pa.array(sig, pa.binary()), pa.array([d and _node(d) for d in sig], pa.int64()), pa.array(need, pa.int32()), *(pa.array(h, pa.list_(pa.int64())) for h in (rares, commons)), pa.array(packed, pa.binary())], ["doc_id", "n", "sig", "node", "matches", "rare", "common", "z"])
 
     return run
 
@@ -154,82 +171,74 @@ def _alike(m: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.minimum(m, n) * WHOLE >= np.maximum(m, n) * PART
 
 
-def _grouped(batches):
-    """One partition of rare-shingle rows: counted pairs of small groups, members of larger ones.
-
-    Out: (a, b, n, token). A pair has its count in n; a member of a larger
-    group has b null and the shingle in token.
-    """
-    parts = [[c.to_numpy() for c in b.columns] for b in batches]
-    if not parts:
-        return
-    token, rep, n = (np.concatenate(c) for c in zip(*parts, strict=True))
-    parts.clear()
-    order = np.lexsort((rep, token))
-    token, rep, n = token[order], rep[order], n[order]
-    new = np.concatenate([[True], (token[1:] != token[:-1]) | (rep[1:] != rep[:-1])]) if len(token) else np.zeros(0, bool)
-    token, rep, n = token[new], rep[new], n[new]
-    start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, int)
-    size = np.diff(np.concatenate([start, [len(token)]]))
-    firsts, seconds = [], []
-    for g in np.unique(size):
-        if 1 < g <= GROUP:
-            i, j = np.triu_indices(g, 1)
-            for s in range(0, len(at := start[size == g]), max(1, 2_000_000 // len(i))):
-                part = at[s : s + max(1, 2_000_000 // len(i))]
-                p, q = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
-                able = _alike(n[p], n[q]) & (rep[p] != rep[q])
-                firsts.append(rep[p[able]])
-                seconds.append(rep[q[able]])
-    if firsts:
-        pair, counts = np.unique(np.stack([np.concatenate(firsts), np.concatenate(seconds)], 1), axis=0, return_counts=True)
-        for s in range(0, len(pair), 100_000):
-            p = pair[s : s + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(counts[s : s + 100_000].astype(np.int64)), pa.nulls(len(p), pa.int64())], ["a", "b", "n", "token"])
-    large = np.repeat(size > GROUP, size)
-    for s in range(0, int(large.sum()), 100_000):
-        r, t = rep[large][s : s + 100_000], token[large][s : s + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(r), pa.nulls(len(r), pa.int64()), pa.nulls(len(r), pa.int64()), pa.array(t)], ["a", "b", "n", "token"])
-
-
-def _packed(batches):
-    squeeze = zstandard.ZstdCompressor(level=3)
-    for b in sliced(batches):
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([squeeze.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()], pa.binary())], ["_id", "z"])
-
-
 def _node(digest: bytes) -> int:
     """64 bits that name a set."""
     return int.from_bytes(digest[:8], "little", signed=True)
 
 
-def _sets(rarity):
-    def run(batches):
-        expand = zstandard.ZstdDecompressor()
-        for b in sliced(batches):
-            texts = [expand.decompress(z.as_py()).decode("utf-8", "surrogatepass") for z in b.column(1)]
-            sets = [x.tobytes() for x in shingle_sets(texts, rarity.value)]
-            nodes = [_node(hashlib.blake2b(x, digest_size=16).digest()) if x else None for x in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary()), pa.array(nodes, pa.int64())], ["rep", "x", "node"])
+def _grouped(batches):
+    """Sorted rows (token, node, n) of a partition: those of tokens with two nodes, with the first of them as leader.
 
-    return run
+    Streams: of the token that a batch ends in only its leader is held.
+    """
+    last = np.zeros((3, 0), np.int64)
+    told = False
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = np.concatenate([last, np.stack([c.to_numpy() for c in b.columns[:3]]).astype(np.int64)], axis=1)
+        new = np.concatenate([[True], (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)])
+        had = last.shape[1] > 0
+        rows = rows[:, new]
+        token = rows[0]
+        start = np.flatnonzero(np.diff(token, prepend=token[:1] ^ 1))
+        size = np.diff(np.append(start, len(token)))
+        first = np.repeat(start, size)
+        keep = np.repeat(size > 1, size)
+        if had and told:
+            # the group's leader was sent before; what comes again of its group counts though it be one row
+            keep[: size[0]] = True
+            keep[0] = False
+        told = bool(size[-1] > 1 or (told and len(start) == 1 and had))
+        last = rows[:, start[-1]][:, None]
+        lead = first[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(rows[1][keep]), pa.array(rows[2][keep].astype(np.int32)), pa.array(rows[1][lead]), pa.array(rows[2][lead].astype(np.int32))], ["token", "node", "n", "leader", "m"])
+
+
+def _expanded(column, rarity) -> list[np.ndarray]:
+    """Sets of compressed texts."""
+    expand = zstandard.ZstdDecompressor()
+    return list(shingle_sets([expand.decompress(z.as_py()).decode("utf-8", "surrogatepass") for z in column], rarity.value))
+
+
+def _followed(rarity):
+    """Sorted rows (a, salt, b, z), leaders' own (b null) first: pairs (a, b) whose sets link."""
 
+    def run(batches):
+        leader, x = None, None
+        for part in sliced(batches, 256, 1 << 20):
+            ones, others = [], []
+            for a, b, y in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), _expanded(part.column(3), rarity), strict=True):
+                if b is None:
+                    leader, x = a, y
+                elif a == leader:
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    if WHOLE * common >= PART * (len(x) + len(y) - common):
+                        ones.append(a)
+                        others.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(ones, pa.int64()), pa.array(others, pa.int64())], ["a", "b"])
 
-def _verified(batches):
-    for b in sliced(batches):
-        keep = []
-        for u, v in zip(b.column(2), b.column(3), strict=True):
-            x, y = np.frombuffer(u.as_buffer(), np.uint64), np.frombuffer(v.as_buffer(), np.uint64)
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(bool(len(x) and len(y)) and WHOLE * common >= PART * (len(x) + len(y) - common))
-        mask = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
+    return run
 
 
-def _check(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
-    left, right = sets.select(F.col("rep").alias("a"), F.col("x").alias("x")), sets.select(F.col("rep").alias("b"), F.col("x").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long").distinct()
+def _check(pairs: DataFrame, held: DataFrame, rarity) -> DataFrame:
+    """The distinct pairs (a, b) whose sets link; a's set is sent once for many b."""
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / FOLLOWERS).cast("int").alias("k"))
+    members = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("salt"), "b")
+    members = members.join(held.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "z")
+    own = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt")).join(held.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "z")
+    dealt = own.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return dealt.mapInArrow(frugal(_followed(rarity)), "a long, b long")
 
 
 def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -249,56 +258,97 @@ def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
     return out.astype(np.int64)
 
 
-def _linked(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Links within a pair of blocks: (node, other, n).
-
-    other null: n documents lie behind the node's links; else a link with a
-    node that has ids with several sets.
-    """
-    lo, hi = key[1].as_py(), key[2].as_py()
-    node, first = np.unique(table["node"].to_numpy(), return_index=True)
-    block, docs, several = (table[c].to_numpy()[first] for c in ("block", "docs", "several"))
-    raw = table["x"].take(pa.array(first)).to_pylist()
-    sets = [np.frombuffer(x, np.uint64) for x in raw]
-    left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-    if not len(left) or not len(right):
-        return pa.table({"node": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+def _linking(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether the sets at ``left`` link with those at ``right``; nothing links with itself."""
     size = np.array([len(x) for x in sets], np.int64)
     common = _shared(sets, left, right)
-    link = WHOLE * common >= PART * (size[left][:, None] + size[right] - common)
-    if lo == hi:
-        np.fill_diagonal(link, False)
+    return (WHOLE * common >= PART * (size[left][:, None] + size[right] - common)) & (left[:, None] != right)
+
+
+def _across(rarity):
+    """Within a pair of blocks of one shingle's holders: links across components, one for each pair of them."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        lo, hi = key[1].as_py(), key[2].as_py()
+        node, part, block = (table[c].to_numpy() for c in ("node", "part", "block"))
+        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        if not len(left) or not len(right):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        i, j = np.nonzero(_linking(_expanded(table["z"], rarity), left, right) & (part[left][:, None] != part[right]))
+        both = np.sort(np.stack([part[left][i], part[right][j]], 1), axis=1)
+        _, first = np.unique(both, axis=0, return_index=True)
+        return pa.table({"a": pa.array(node[left][i[first]]), "b": pa.array(node[right][j[first]])})
+
+    return run
+
+
+def _counted(node, docs, several, sets, left, right, twice: bool):
+    """Rows (node, other, n) for the links between two lists of sets."""
+    link = _linking(sets, left, right)
     names, sums = [node[left]], [link @ docs[right]]
-    if lo != hi:
+    if twice:
         names.append(node[right])
         sums.append(docs[left] @ link)
     i, j = np.nonzero(link & (several[left][:, None] | several[right]))
     p, q = node[left][i], node[right][j]
-    if lo != hi:
+    if twice:
         p, q = np.concatenate([p, q]), np.concatenate([q, p])
     names, sums = np.concatenate(names), np.concatenate(sums)
     some = sums > 0
-    names, sums = names[some], sums[some]
-    other = pa.concat_arrays([pa.nulls(len(names), pa.int64()), pa.array(q)])
-    return pa.table({"node": np.concatenate([names, p]), "other": other, "n": np.concatenate([sums, np.ones(len(p), np.int64)])})
+    return [(names[some], None, sums[some]), (p, q, np.ones(len(p), np.int64))]
+
+
+def _linked(rarity):
+    """Links within a pair of blocks, or within each of several small components (lo < 0): (node, other, n).
+
+    other null: n documents lie behind the node's links; else a link with a
+    node that has ids with several sets.
+    """
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        lo, hi = key[1].as_py(), key[2].as_py()
+        part, node, block, docs, several = (table[c].to_numpy(zero_copy_only=False) for c in ("part", "node", "block", "docs", "several"))
+        found = []
+        if lo >= 0:
+            left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+            if len(left) and len(right):
+                found = _counted(node, docs, several, _expanded(table["z"], rarity), left, right, lo != hi)
+        else:
+            order = np.argsort(part, kind="stable")
+            node, docs, several, part = node[order], docs[order], several[order], part[order]
+            sets = _expanded(table["z"].take(pa.array(order)), rarity)
+            edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])).tolist()
+            for u, v in zip(edge[:-1], edge[1:], strict=True):
+                own = np.arange(v - u)
+                found += _counted(node[u:v], docs[u:v], several[u:v], sets[u:v], own, own, False)
+        if not found:
+            return pa.table({"node": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+        other = pa.concat_arrays([pa.nulls(len(a), pa.int64()) if b is None else pa.array(b, pa.int64()) for a, b, _ in found])
+        return pa.table({"node": np.concatenate([a for a, _, _ in found]), "other": other, "n": np.concatenate([n for _, _, n in found])})
+
+    return run
 
 
-def _link_counts(rows: DataFrame, classes: DataFrame, parts: DataFrame, sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _link_counts(rows: DataFrame, classes: DataFrame, parts: DataFrame, held: DataFrame, scratch: Scratch, rarity) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(node, near) of documents with one set; (doc_id, more) and (doc_id, node) of ids that stand on rows with different sets."""
     at = F.coalesce("node", F.lit(0))
     kinds = scratch.keep(rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min(at).alias("node"), F.max(at).alias("to")), "kinds")
     ids = kinds.filter("node <> to").select("doc_id")
     several = scratch.keep(rows.filter("node is not null").join(ids, "doc_id").select("doc_id", "node").distinct(), "several")
     docs = kinds.filter("node = to and node <> 0").groupBy("node").agg(F.count("*").alias("docs"))
-    nodes = classes.select("node", "rep", "n").join(docs, "node", "left").join(several.select("node", F.lit(True).alias("several")).distinct(), "node", "left")
-    nodes = nodes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("part"), "n", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("several", F.lit(False)).alias("several"))
+    nodes = classes.select("node", "n").join(docs, "node", "left").join(several.select("node", F.lit(True).alias("several")).distinct(), "node", "left")
+    nodes = nodes.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("part"), "n", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("several", F.lit(False)).alias("several"))
     nodes = scratch.keep(nodes, "nodes")
     blocks = nodes.groupBy("part").agg(F.count("*").alias("m"), F.sum(F.col("n").cast("long")).alias("all")).filter("m > 1")
-    blocks = blocks.select("part", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("all") / BLOCK_SHINGLES)).cast("int").alias("k"))
-    dealt = nodes.join(blocks, "part").select("part", "node", "docs", "several", "k", F.pmod(F.xxhash64("node"), F.col("k")).cast("int").alias("block"))
+    blocks = scratch.keep(blocks.select("part", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("all") / BLOCK_SHINGLES)).cast("int").alias("k"), "all"), "blocks")
+    # components of one block share groups
+    bins = max(1, (blocks.filter("k = 1").agg(F.sum("all")).first()[0] or 0) * 2 // BLOCK_SHINGLES)
+    dealt = nodes.join(blocks.drop("all"), "part").join(held, "node")
+    small = dealt.filter("k = 1").select(F.pmod(F.xxhash64("part"), F.lit(bins)).alias("group"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"), "part", "node", "docs", "several", F.lit(0).alias("block"), "z")
+    block = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
     meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least("block", j).alias("lo"), F.greatest("block", j).alias("hi")))).alias("at")
-    met = dealt.join(sets.select("node", "x"), "node").select("part", "node", "docs", "several", "block", "x", meets).select("part", "at.lo", "at.hi", "node", "docs", "several", "block", "x")
-    found = scratch.keep(met.groupBy("part", "lo", "hi").applyInArrow(_linked, "node long, other long, n long"), "linked")
+    large = dealt.filter("k > 1").withColumn("block", block).select("part", "node", "docs", "several", "block", "z", meets).select(F.col("part").alias("group"), "at.lo", "at.hi", "part", "node", "docs", "several", "block", "z")
+    found = scratch.keep(small.unionByName(large).groupBy("group", "lo", "hi").applyInArrow(_linked(rarity), "node long, other long, n long"), "linked")
     near = nodes.select("node", F.col("docs").alias("n")).unionByName(found.filter("other is null").select("node", "n")).groupBy("node").agg(F.sum("n").alias("near"))
     # ids on several sets are counted apart, each once however many of its sets are linked
     around = found.filter("other is not null").select("node", "other").unionByName(several.select("node", F.col("node").alias("other"))).distinct()
@@ -312,6 +362,35 @@ def _link_counts(rows: DataFrame, classes: DataFrame, parts: DataFrame, sets: Da
     return near, single.join(multiple, "doc_id").select("doc_id", (F.col("docs") + F.col("ids") - 1).alias("more")), several
 
 
+def _completed(shared: DataFrame, parts: DataFrame, classes: DataFrame, held: DataFrame, scratch: Scratch, rarity) -> DataFrame:
+    """Links between different components: (a, b)."""
+    placed = shared.join(parts, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("part"))
+    placed = scratch.keep(placed, "placed")
+    holders = (F.count("*").alias("size"), F.struct(F.min("node"), F.max("node"), F.sum(F.shiftright(F.xxhash64("node"), 32))).alias("who"))
+    split = placed.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q"), *holders).filter("p <> q")
+    split = scratch.keep(split.select("token", "size", "who"), "split")
+    still = placed.join(split.filter(F.col("size") <= GROUP).select("token"), "token")
+    need = classes.select("node", "matches")
+    left = still.select("token", F.col("node").alias("a"), F.col("n").alias("m"), F.col("part").alias("o"))
+    right = still.select(F.col("token").alias("_token"), F.col("node").alias("b"), "n", "part")
+    alike = F.least("m", "n") * WHOLE >= F.greatest("m", "n") * PART
+    met = left.join(right, (F.col("token") == F.col("_token")) & (F.col("a") < F.col("b")) & (F.col("o") != F.col("part")) & alike).groupBy("a", "b").agg(F.count("*").alias("c"))
+    asked = lambda side: need.select(F.col("node").alias(side), F.col("matches").alias(f"_{side}"))
+    # a pair that shares no shingle of a large group has all its shared ones counted here; any other is compared there
+    pairs = met.join(asked("a"), "a").join(asked("b"), "b").filter(F.col("c") >= F.least("_a", "_b")).select("a", "b")
+    found = _check(scratch.keep(pairs, "across"), held, rarity)
+    large = split.filter(F.col("size") > GROUP)
+    if large.first() is None:
+        return found
+    # groups with the same holders are one
+    once = large.groupBy("size", "who").agg(F.min("token").alias("token"), F.first("size").alias("g")).select("token", F.ceil(F.col("g") / BLOCK).cast("int").alias("k"))
+    rows = placed.join(once, "token").withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least("block", j).alias("lo"), F.greatest("block", j).alias("hi")))).alias("at")
+    rows = rows.select("token", "node", "part", "block", meets).join(held, "node").select("token", "at.lo", "at.hi", "node", "part", "block", "z")
+    dense = rows.groupBy("token", "lo", "hi").applyInArrow(_across(rarity), "a long, b long")
+    return found.unionByName(dense).distinct()
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: size of its set, class (smallest id with the same set), component, number of linked documents."""
     spark = docs.sparkSession
@@ -319,65 +398,49 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     total = max(1, docs.count())
     least = max(FREQUENT, total / SHARE)
-    common = texts.select("_text").mapInArrow(_words, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "token").limit(WORDS).toPandas()
+    common = texts.select("_text").mapInArrow(frugal(_words), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "token").limit(WORDS).toPandas()
     rarity = spark.sparkContext.broadcast(Rarity(common["token"].to_numpy(np.int64).view(np.uint64), common["n"].to_numpy(float)))
-    listed = texts.select("_text").mapInArrow(_frequencies(least / total, rarity), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= 0.75 * least).toPandas()
+    listed = texts.select("_text").mapInArrow(frugal(_frequencies(least / total, rarity)), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= 0.75 * least).toPandas()
     values = listed["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(values)
-    held = spark.sparkContext.broadcast((values[order], listed["n"].to_numpy(np.int64)[order]))
-    rows = scratch.keep(texts.mapInArrow(_described(held, rarity), "doc_id long, n int, sig binary, node long, matches int, rare array<long>, common array<long>"), "prefixes")
-
-    # equal sets are one class, named by its smallest id
-    usable = rows.filter("sig is not null and doc_id is not null")
-    classes = usable.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min("node").alias("node"), F.min("n").alias("n"), F.min("matches").alias("matches"))
-    classes = scratch.keep(classes, "classes")
-    named = lambda side, to: classes.select(F.col("node").alias(side), F.col("rep").alias(to))
-    grouped = usable.select(F.explode("rare").alias("token"), F.col("node").alias("rep"), "n").repartition("token").mapInArrow(_grouped, "a long, b long, n long, token long")
-    found = scratch.keep(grouped, "groups")
-    sizes = classes.groupBy("rep").agg(F.max("n").alias("size"), F.min("matches").alias("matches"))
-    large = found.filter("b is null").select("token", F.col("a").alias("node"))
-    large = large.unionByName(usable.select(F.explode("common").alias("token"), "node").distinct())
-    large = scratch.keep(large.join(classes.select("node", "rep", "n"), "node").select("token", "rep", "n"), "large")
-
-    # small groups: pairs with enough shared prefix shingles
-    counted = found.filter("b is not null").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    counted = counted.join(named("a", "p"), "a").join(named("b", "q"), "b").filter("p <> q")
-    counted = scratch.keep(counted.groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.sum("n").alias("n")), "counted")
-    asked = lambda side: sizes.select(F.col("rep").alias(side), F.col("matches").alias(f"_{side}"))
-    enough = lambda pairs: pairs.join(asked("a"), "a").join(asked("b"), "b").filter(F.col("n") >= F.least("_a", "_b")).select("a", "b")
-    # larger groups: every holder with the group's leader
-    lead = F.min(F.struct(F.xxhash64("rep", F.pmod("token", F.lit(LEADERS))).alias("h"), "rep", "n"))
-    leaders = scratch.keep(large.groupBy("token").agg(lead.alias("l")).select("token", F.col("l.rep").alias("leader"), F.col("l.n").alias("m")), "leaders")
-    alike = lambda m, n: F.least(m, n) * WHOLE >= F.greatest(m, n) * PART
-    stars = large.join(leaders, "token").filter((F.col("rep") != F.col("leader")) & alike(F.col("m"), F.col("n"))).select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b"))
-    pairs = scratch.keep(enough(counted).unionByName(stars).distinct(), "pairs")
-    # only texts of documents that may link move, compressed
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(large.select("rep")).unionByName(classes.groupBy("rep").count().filter("count > 1").select("rep")).distinct()
-    moved = texts.mapInArrow(_packed, "_id long, z binary").join(nodes, F.col("_id") == F.col("rep")).select("rep", "z")
-    sets = scratch.keep(moved.mapInArrow(_sets(rarity), "rep long, x binary, node long"), "sets")
-    links = scratch.keep(_check(pairs, sets), "links")
+    frequent = spark.sparkContext.broadcast((values[order], listed["n"].to_numpy(np.int64)[order]))
+    rows = scratch.keep(texts.mapInArrow(frugal(_described(frequent, rarity)), "doc_id long, n int, sig binary, node long, matches int, rare array<long>, common array<long>, z binary"), "prefixes")
+
+    # equal sets are one class; a task lists a class once, so few rows of a class are listed
+    usable = rows.filter("node is not null and doc_id is not null")
+    classes = scratch.keep(usable.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("matches").alias("matches")), "classes")
+    sorted_by = F.xxhash64("node", F.pmod("token", F.lit(LEADERS)))
+    rare = usable.filter("rare is not null").select(F.explode("rare").alias("token"), "node", "n").withColumn("h", sorted_by)
+    rare = rare.repartition("token").sortWithinPartitions("token", "h", "node").mapInArrow(frugal(_grouped), "token long, node long, n int, leader long, m int")
+    often = scratch.keep(usable.filter("size(common) > 0").select(F.explode("common").alias("token"), "node", "n").distinct(), "often")
+    lead = F.min(F.struct(sorted_by.alias("h"), "node", "n"))
+    leaders = often.groupBy("token").agg(lead.alias("l")).select("token", F.col("l.node").alias("leader"), F.col("l.n").alias("m"))
+    shared = scratch.keep(rare.unionByName(often.join(leaders, "token").select("token", "node", "n", "leader", "m")), "shared")
+    held = rows.filter("z is not null").join(shared.select("node").distinct(), "node", "left_semi").select("node", "z").dropDuplicates(["node"])
+    held = scratch.keep(held, "held")
+
+    # holders with the leaders of their groups
+    alike = F.least("m", "n") * WHOLE >= F.greatest("m", "n") * PART
+    stars = shared.filter((F.col("node") != F.col("leader")) & alike).groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("c"), F.max("n").alias("n"))
+    stars = scratch.keep(stars.filter("c > 1 or n < 10").select("a", "b"), "stars")
+    links = scratch.keep(_check(stars, held, rarity), "links")
     parts = scratch.keep(components(links, scratch), "parts")
-
-    # larger groups that still lie in several components: pairs across them
-    placed = large.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("part"))
-    placed = scratch.keep(placed, "placed")
-    split = placed.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("token")
-    main = leaders.join(parts, leaders["leader"] == parts["node"], "left").select("token", F.coalesce("component", "leader").alias("main")).join(split, "token")
-    still = placed.join(main, "token")
-    own = still.filter("part <> main").select("token", F.col("rep").alias("r"), F.col("n").alias("m"), F.col("part").alias("o"))
-    across = own.join(still, "token").filter((F.col("o") != F.col("part")) & alike(F.col("m"), F.col("n")) & ((F.col("part") == F.col("main")) | (F.col("r") < F.col("rep"))))
-    across = across.groupBy(F.least("r", "rep").alias("a"), F.greatest("r", "rep").alias("b")).agg(F.count("*").alias("n"))
-    both = across.join(counted.withColumnRenamed("n", "more"), ["a", "b"], "left").select("a", "b", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
-    open_pairs = scratch.keep(enough(both), "across")
-    if open_pairs.first() is not None:
-        links = scratch.keep(links.unionByName(_check(open_pairs, sets)).distinct(), "all-links")
-        parts = scratch.keep(components(links, scratch), "all-parts")
-    near, more, several = _link_counts(rows, classes, parts, sets, scratch)
-    counts = scratch.keep(classes.select("sig", "rep", "node").join(near, "node", "left").select("sig", "rep", "near"), "counts")
-    member = rows.select("doc_id", "n", "sig").join(counts, "sig", "left").select("doc_id", "n", "near", F.coalesce("rep", "doc_id").alias("class_id"))
+    # what these don't tell: links between different components
+    more = scratch.keep(_completed(shared, parts, classes, held, scratch, rarity), "more-links")
+    if more.first() is not None:
+        parts = scratch.keep(components(links.unionByName(more), scratch), "all-parts")
+    scratch.drop("shared", "often", "placed", "stars")
+    near, extra, several = _link_counts(rows, classes, parts, held, scratch, rarity)
+    # components are named by nodes so far: their name is the smallest id
+    named = classes.select("node", "rep").join(parts, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
+    least_id = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = scratch.keep(named.join(least_id, "component").join(near, "node", "left").select("node", "rep", "component_id", "near"), "counts")
+    member = rows.select("doc_id", "n", "node").join(named, "node", "left").select("doc_id", "n", "near", F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
     # an id on several rows has several classes; they are one document
-    same = several.join(classes.select("node", "rep"), "node").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
+    same = several.join(named, "node").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).filter("a <> b")
     if same.first() is not None:
-        parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(same), Scratch(spark, "ngram-ids"))
-    joined = member.join(parts.withColumnRenamed("node", "class_id"), "class_id", "left").join(scratch.keep(more, "more"), "doc_id", "left")
-    return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id")).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("more", "near", F.lit(0))).cast("long").alias("n_links"))
+        joined = components(same, Scratch(spark, "ngram-ids")).withColumnRenamed("component", "whole")
+        member = member.join(joined, member["component_id"] == joined["node"], "left").drop("node").withColumn("component_id", F.coalesce("whole", "component_id"))
+    member = member.join(scratch.keep(extra, "extra"), "doc_id", "left")
+    known = lambda c: F.when(F.col("doc_id").isNotNull(), c)
+    return member.select("doc_id", F.col("n").cast("long").alias("n_shingles"), known(F.col("component_id")).alias("component_id"), known(F.col("class_id")).alias("class_id"), known(F.coalesce("more", "near", F.lit(0))).cast("long").alias("n_links"))

@@ -7,11 +7,12 @@ import numpy as np
 #: Fixed odd multipliers of the polynomial and mixing hashes.
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
-UNBASE = pow(BASE, -1, 1 << 64)
 WIDTH = 5
 #: Highest level of a common word.
 TOP = 12
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: By byte: whether it belongs to a word. By length: the bytes of a block that count.
+_IN_WORD = np.array([k != 32 and not 9 <= k <= 13 for k in range(256)])
+_HEADS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -21,31 +22,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE^i and BASE^-i for i < n, mod 2^64."""
-    size = 1 << max(16, (n - 1).bit_length())
-    if size not in _POWERS:
-        both = []
-        for base in (BASE, UNBASE):
-            p = np.ones(1, np.uint64)
-            while len(p) < size:
-                p = np.concatenate([p, p * np.uint64(pow(base, len(p), 1 << 64))])
-            both.append(p)
-        _POWERS.clear()
-        _POWERS[size] = both[0], both[1]
-    return _POWERS[size]
-
-
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of ASCII-lower-cased bytes, and where they start."""
+    """Hashes of the words of ASCII-lower-cased bytes, and where they start.
+
+    A word is read in blocks of eight bytes; each is mixed with a key of its
+    place before the blocks are added up, so that no arrangement of the same
+    letters cancels out, as it may in a polynomial modulo 2^64.
+    """
+    data = data.lower() + bytes(8)
     b = np.frombuffer(data, np.uint8)
-    b = np.where((b >= 65) & (b <= 90), b + np.uint8(32), b)
-    word = np.concatenate([[False], (b != 32) & ((b < 9) | (b > 13)), [False]])
-    edge = np.flatnonzero(word[1:] != word[:-1])
+    edge = np.flatnonzero(np.diff(_IN_WORD[b[:-8]], prepend=False, append=False))
     start, end = edge[::2], edge[1::2]
-    power, inverse = _powers(len(b) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)], dtype=np.uint64)])
-    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), start
+    size = end - start
+    eight = np.ndarray((len(b) - 7,), "<u8", data, strides=(1,))
+    out = mix((eight[start] & _HEADS[np.minimum(size, 8)]) + _place(np.zeros(1, np.int64)))
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = (size[long] - 1) // 8
+        of = np.repeat(np.arange(len(long)), more)
+        first = np.cumsum(more) - more
+        k = np.arange(len(of)) - first[of] + 1
+        at, left = start[long][of] + 8 * k, size[long][of] - 8 * k
+        blocks = mix((eight[at] & _HEADS[np.minimum(left, 8)]) + _place(k))
+        out[long] += np.add.reduceat(blocks, first)
+    return mix(out + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), start
+
+
+def _place(k: np.ndarray) -> np.ndarray:
+    """The key of a word's k-th block."""
+    return mix((k.astype(np.uint64) + np.uint64(1)) * np.uint64(BASE))
 
 
 def _combined(words: np.ndarray, n: int, width: int) -> np.ndarray:
