@@ -10,12 +10,26 @@ nothing.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
 
+def spanning(link: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """A spanning forest (rows a, b) of the edges that a matrix of ``left`` by ``right`` tells, between n nodes."""
+    tree, out = np.arange(n), []
+    for i, row in zip(left.tolist(), link, strict=True):
+        reached = right[row]
+        trees, first = np.unique(tree[reached], return_index=True)
+        other = trees != tree[i]
+        if other.any():
+            out += [(i, int(j)) for j in reached[first[other]]]
+            tree[np.isin(tree, trees[other])] = tree[i]
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
 def _state(edges: DataFrame) -> tuple:
     r = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first()
     return r[0], r[1]

@@ -14,17 +14,19 @@ classes.
 
 1. The prefix shingles are sorted, and those that two classes hold stay. In
    each group of holders one leads; holders that share enough shingles with a
-   leader are compared with it. This joins groups of near copies at the price of
-   a comparison or a few for each class, however large they are.
-2. Only classes that still lie in different components can have a link that is
-   not found. Among the holders of a shingle that span several components, pairs
-   across components are counted and those with enough shared prefix shingles
-   are compared. A larger group than ``GROUP`` is not written out as pairs: its
-   holders are dealt into blocks, and every pair of blocks compares its sets in
-   place (groups with the same holders once).
-3. Links are counted, as both ends of a link lie in one component: a component's
-   sets are dealt into salted blocks, each pair of blocks meets once and
-   compares all its sets, and only sums leave it.
+   leader are candidates with it. This joins groups of near copies at the price
+   of a pair or a few for each class, however large they are.
+2. Only classes that still lie in different groups of candidates can have a link
+   that is not covered. Among the holders of a shingle that span several groups,
+   pairs across groups are counted; those with enough shared prefix shingles are
+   candidates. A large set of holders is not written out as pairs: they are
+   dealt into blocks, and every pair of blocks is compared in place (the same
+   holders once, whatever number of shingles they share).
+3. Verification. A bitmap of each set bounds from above what two sets can share,
+   so most pairs that met by chance leave without their texts being moved. Then
+   each group's sets are dealt into salted blocks, each pair of blocks meets once
+   and compares all its sets exactly; sums of links and a spanning forest leave
+   it. As both ends of a link lie in one group, no link is missed.
 
 No group is gathered in a task: groups are streamed in sorted order, and
 shingles that very many documents hold are known beforehand and led by minima
@@ -48,11 +50,11 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, frugal, sliced
-from .components import components
+from .components import components, spanning
 from .shingles import Rarity, shingle_sets, text_words
 
 #: Similarity as a fraction.
@@ -61,7 +63,7 @@ PART, WHOLE = 80, 100
 FREQUENT, SHARE = 64, 4000
 #: Most common words whose counts rank the shingles.
 WORDS = 1 << 16
-#: Largest group whose pairs across components are written out; most shared prefix shingles asked for.
+#: Most holders of a shingle whose pairs across groups are written out; most shared prefix shingles asked for.
 GROUP, MOST_MATCHES = 40, 6
 #: Digests that a task remembers.
 MEMO = 200_000
@@ -71,8 +73,6 @@ LEADERS = 16
 PROBES = 8
 #: Sets and shingles of a block in which links are counted, about; columns of a product.
 BLOCK, BLOCK_SHINGLES, COLUMNS = 2048, 1 << 19, 2048
-#: Members that a copy of their leader serves.
-FOLLOWERS = 2048
 
 
 def prefix_length(n, matches):
@@ -124,31 +124,30 @@ def _frequencies(share: float, rarity):
 
 
 def _described(held, rarity):
-    """(doc_id, n, sig, node, matches, rare, common, z): the prefix's shingles, frequent ones apart; the text, compressed.
+    """(doc_id, n, node, matches, rare, common, bits): the prefix's shingles, frequent ones apart; a bitmap of the set.
 
-    node: 64 bits of the set's digest; a task lists the shingles and the text of a set once.
+    node: 64 bits of the set's digest; a task lists a set once.
     """
 
     def run(batches):
         frequent, holders = held.value
-        met: set[bytes] = set()
-        squeeze = zstandard.ZstdCompressor(level=3)
+        met: set[int] = set()
         for b in sliced(batches):
             texts = [t or "" for t in b.column(1).to_pylist()]
             named = b.column(0).is_valid().to_pylist()
-            size, sig, need, rares, commons, packed = [], [], [], [], [], []
-            for x, own, text in zip(shingle_sets(texts, rarity.value), named, texts, strict=True):
+            size, nodes, need, rares, commons, bits = [], [], [], [], [], []
+            for x, own in zip(shingle_sets(texts, rarity.value), named, strict=True):
                 n = len(x)
                 size.append(n)
-                digest = hashlib.blake2b(x.tobytes(), digest_size=16).digest() if n else None
-                sig.append(digest)
-                if not n or not own or digest in met:  # rows without an id link with nothing: their listing is not used
-                    for column in (need, rares, commons, packed):
+                node = _node(x)
+                nodes.append(node)
+                if not n or not own or node in met:  # rows without an id link with nothing: their listing is not used
+                    for column in (need, rares, commons, bits):
                         column.append(None)
                     continue
                 if len(met) >= MEMO:
                     met.clear()
-                met.add(digest)
+                met.add(node)
                 at = np.minimum(np.searchsorted(frequent, x), max(0, len(frequent) - 1))
                 common = frequent[at] == x if len(frequent) else np.zeros(n, bool)
                 rare = n - int(common.sum())
@@ -160,85 +159,89 @@ def _described(held, rarity):
                 need.append(matches)
                 rares.append(x[~common][:length].view(np.int64))
                 commons.append(x[common][: max(0, length - rare)].view(np.int64))
-                packed.append(squeeze.compress(text.encode("utf-8", "surrogatepass")))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int32()), pa.array(sig, pa.binary()), pa.array([d and _node(d) for d in sig], pa.int64()), pa.array(need, pa.int32()), *(pa.array(h, pa.list_(pa.int64())) for h in (rares, commons)), pa.array(packed, pa.binary())], ["doc_id", "n", "sig", "node", "matches", "rare", "common", "z"])
+                bits.append(_bitmap(x))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int32()), pa.array(nodes, pa.int64()), pa.array(need, pa.int32()), *(pa.array(h, pa.list_(pa.int64())) for h in (rares, commons)), pa.array(bits, pa.binary())], ["doc_id", "n", "node", "matches", "rare", "common", "bits"])
 
     return run
 
 
-def _alike(m: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Sizes that allow a link."""
-    return np.minimum(m, n) * WHOLE >= np.maximum(m, n) * PART
+def _node(x: np.ndarray) -> int | None:
+    """64 bits of digest that name a set."""
+    return int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True) if len(x) else None
 
 
-def _node(digest: bytes) -> int:
-    """64 bits that name a set."""
-    return int.from_bytes(digest[:8], "little", signed=True)
+def _bitmap(x: np.ndarray) -> bytes:
+    """A bit for each shingle's hash, in as many bits as the next power of two from the set's size (64 at least)."""
+    width = max(64, 1 << (len(x) - 1).bit_length())
+    held = np.zeros(width, np.uint8)
+    held[(x & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(held).tobytes()
+
+
+def _folded(bits: np.ndarray, width: int) -> np.ndarray:
+    return np.bitwise_or.reduce(bits.reshape(-1, width), axis=0)
+
+
+def possible(m: int, n: int, x: bytes, y: bytes) -> bool:
+    """Whether sets of m and n shingles with these bitmaps may link: shingles whose bit the other lacks aren't shared."""
+    width = min(len(x), len(y)) // 8
+    u, v = (_folded(np.frombuffer(z, np.uint64), width) for z in (x, y))
+    shared = min(m - int(np.bitwise_count(u & ~v).sum()), n - int(np.bitwise_count(v & ~u).sum()))
+    return WHOLE * shared >= PART * (m + n - shared)
 
 
 def _grouped(batches):
-    """Sorted rows (token, node, n) of a partition: those of tokens with two nodes, with the first of them as leader.
+    """Sorted rows (token, h, node) of a partition: (token, node, leader) where a token has two nodes; the first leads.
 
     Streams: of the token that a batch ends in only its leader is held.
     """
-    last = np.zeros((3, 0), np.int64)
-    told = False
+    last, told = np.zeros((2, 0), np.int64), False
     for b in batches:
         if not b.num_rows:
             continue
-        rows = np.concatenate([last, np.stack([c.to_numpy() for c in b.columns[:3]]).astype(np.int64)], axis=1)
-        new = np.concatenate([[True], (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)])
         had = last.shape[1] > 0
-        rows = rows[:, new]
-        token = rows[0]
+        rows = np.concatenate([last, np.stack([b.column(0).to_numpy(), b.column(2).to_numpy()])], axis=1)
+        rows = rows[:, np.concatenate([[True], (rows[:, 1:] != rows[:, :-1]).any(axis=0)])]
+        token, node = rows
         start = np.flatnonzero(np.diff(token, prepend=token[:1] ^ 1))
         size = np.diff(np.append(start, len(token)))
-        first = np.repeat(start, size)
         keep = np.repeat(size > 1, size)
-        if had and told:
-            # the group's leader was sent before; what comes again of its group counts though it be one row
+        if had and told:  # its leader was sent before; what comes again of its group counts though it be one row
             keep[: size[0]] = True
             keep[0] = False
-        told = bool(size[-1] > 1 or (told and len(start) == 1 and had))
-        last = rows[:, start[-1]][:, None]
-        lead = first[keep]
-        yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(rows[1][keep]), pa.array(rows[2][keep].astype(np.int32)), pa.array(rows[1][lead]), pa.array(rows[2][lead].astype(np.int32))], ["token", "node", "n", "leader", "m"])
+        told = bool(size[-1] > 1 or (had and told and len(start) == 1))
+        last = rows[:, start[-1] :][:, :1]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (token[keep], node[keep], node[np.repeat(start, size)[keep]])], ["token", "node", "leader"])
 
 
-def _expanded(column, rarity) -> list[np.ndarray]:
-    """Sets of compressed texts."""
-    expand = zstandard.ZstdDecompressor()
-    return list(shingle_sets([expand.decompress(z.as_py()).decode("utf-8", "surrogatepass") for z in column], rarity.value))
+def _possible(batches):
+    """Pairs (a, b, m, n, x, y) that their bitmaps allow."""
+    for part in sliced(batches, 4096):
+        a, b, m, n, x, y = (c.to_pylist() for c in part.columns)
+        some = pa.array([possible(*r) for r in zip(m, n, x, y, strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([part.column(0).filter(some), part.column(1).filter(some)], ["a", "b"])
+
 
+def _packed(batches):
+    squeeze = zstandard.ZstdCompressor(level=3)
+    for b in sliced(batches):
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([squeeze.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()], pa.binary())], ["_id", "z"])
 
-def _followed(rarity):
-    """Sorted rows (a, salt, b, z), leaders' own (b null) first: pairs (a, b) whose sets link."""
+
+def _held(rarity):
+    """Compressed texts with their sets' nodes."""
 
     def run(batches):
-        leader, x = None, None
-        for part in sliced(batches, 256, 1 << 20):
-            ones, others = [], []
-            for a, b, y in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), _expanded(part.column(3), rarity), strict=True):
-                if b is None:
-                    leader, x = a, y
-                elif a == leader:
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    if WHOLE * common >= PART * (len(x) + len(y) - common):
-                        ones.append(a)
-                        others.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(ones, pa.int64()), pa.array(others, pa.int64())], ["a", "b"])
+        for b in sliced(batches, 256, 1 << 20):
+            yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in _expanded(b.column(0), rarity)], pa.int64()), b.column(0)], ["node", "z"])
 
     return run
 
 
-def _check(pairs: DataFrame, held: DataFrame, rarity) -> DataFrame:
-    """The distinct pairs (a, b) whose sets link; a's set is sent once for many b."""
-    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / FOLLOWERS).cast("int").alias("k"))
-    members = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("salt"), "b")
-    members = members.join(held.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "z")
-    own = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt")).join(held.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "z")
-    dealt = own.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return dealt.mapInArrow(frugal(_followed(rarity)), "a long, b long")
+def _expanded(column, rarity) -> list[np.ndarray]:
+    """Sets of compressed texts."""
+    expand = zstandard.ZstdDecompressor()
+    return list(shingle_sets([expand.decompress(z.as_py()).decode("utf-8", "surrogatepass") for z in column], rarity.value))
 
 
 def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -265,25 +268,26 @@ def _linking(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.
     return (WHOLE * common >= PART * (size[left][:, None] + size[right] - common)) & (left[:, None] != right)
 
 
-def _across(rarity):
-    """Within a pair of blocks of one shingle's holders: links across components, one for each pair of them."""
-
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        lo, hi = key[1].as_py(), key[2].as_py()
-        node, part, block = (table[c].to_numpy() for c in ("node", "part", "block"))
-        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        if not len(left) or not len(right):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        i, j = np.nonzero(_linking(_expanded(table["z"], rarity), left, right) & (part[left][:, None] != part[right]))
-        both = np.sort(np.stack([part[left][i], part[right][j]], 1), axis=1)
-        _, first = np.unique(both, axis=0, return_index=True)
-        return pa.table({"a": pa.array(node[left][i[first]]), "b": pa.array(node[right][j[first]])})
-
-    return run
-
-
-def _counted(node, docs, several, sets, left, right, twice: bool):
-    """Rows (node, other, n) for the links between two lists of sets."""
+def _across(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Within a pair of blocks of one shingle's holders: candidates across groups, one for each pair of them."""
+    lo, hi = key[1].as_py(), key[2].as_py()
+    node, part, block, n = (table[c].to_numpy() for c in ("node", "part", "block", "n"))
+    left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    bits, met, ones, others = table["bits"].to_pylist(), set(), [], []
+    for i in left.tolist():
+        able = right[(part[right] != part[i]) & (WHOLE * np.minimum(n[right], n[i]) >= PART * np.maximum(n[right], n[i]))]
+        for j in able.tolist():
+            pair = (min(part[i], part[j]), max(part[i], part[j]))
+            if pair not in met and possible(int(n[i]), int(n[j]), bits[i], bits[j]):
+                met.add(pair)
+                ones.append(int(node[i]))
+                others.append(int(node[j]))
+    return pa.table({"a": pa.array(ones, pa.int64()), "b": pa.array(others, pa.int64())})
+
+
+def _counted(node, docs, several, sets, left, right):
+    """Rows (kind, node, other, n) for the links between two lists of sets, or within one (see ``_linked``)."""
+    twice = left is not right
     link = _linking(sets, left, right)
     names, sums = [node[left]], [link @ docs[right]]
     if twice:
@@ -294,25 +298,26 @@ def _counted(node, docs, several, sets, left, right, twice: bool):
     if twice:
         p, q = np.concatenate([p, q]), np.concatenate([q, p])
     names, sums = np.concatenate(names), np.concatenate(sums)
-    some = sums > 0
-    return [(names[some], None, sums[some]), (p, q, np.ones(len(p), np.int64))]
+    forest = spanning(link, left, right, len(sets))
+    return [(0, names, names, sums), (1, p, q, np.ones(len(p), np.int64)), (2, node[forest[:, 0]], node[forest[:, 1]], np.zeros(len(forest), np.int64))]
 
 
 def _linked(rarity):
-    """Links within a pair of blocks, or within each of several small components (lo < 0): (node, other, n).
+    """Links within a pair of blocks, or within each of several small groups (lo < 0): (kind, node, other, n).
 
-    other null: n documents lie behind the node's links; else a link with a
-    node that has ids with several sets.
+    kind 0: n documents lie behind the node's links (it is named if there are
+    none, too); 1: a link with a node that has ids with several sets; 2: a link
+    of a spanning forest.
     """
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         lo, hi = key[1].as_py(), key[2].as_py()
         part, node, block, docs, several = (table[c].to_numpy(zero_copy_only=False) for c in ("part", "node", "block", "docs", "several"))
-        found = []
+        found = [(0, node[:0], node[:0], docs[:0])]
         if lo >= 0:
             left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
             if len(left) and len(right):
-                found = _counted(node, docs, several, _expanded(table["z"], rarity), left, right, lo != hi)
+                found += _counted(node, docs, several, _expanded(table["z"], rarity), left, left if lo == hi else right)
         else:
             order = np.argsort(part, kind="stable")
             node, docs, several, part = node[order], docs[order], several[order], part[order]
@@ -320,75 +325,89 @@ def _linked(rarity):
             edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])).tolist()
             for u, v in zip(edge[:-1], edge[1:], strict=True):
                 own = np.arange(v - u)
-                found += _counted(node[u:v], docs[u:v], several[u:v], sets[u:v], own, own, False)
-        if not found:
-            return pa.table({"node": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        other = pa.concat_arrays([pa.nulls(len(a), pa.int64()) if b is None else pa.array(b, pa.int64()) for a, b, _ in found])
-        return pa.table({"node": np.concatenate([a for a, _, _ in found]), "other": other, "n": np.concatenate([n for _, _, n in found])})
+                found += _counted(node[u:v], docs[u:v], several[u:v], sets[u:v], own, own)
+        kind = np.repeat(np.array([f[0] for f in found], np.int32), [len(f[1]) for f in found])
+        return pa.table({"kind": kind} | {name: np.concatenate([f[k] for f in found]) for k, name in ((1, "node"), (2, "other"), (3, "n"))})
 
     return run
 
 
-def _link_counts(rows: DataFrame, classes: DataFrame, parts: DataFrame, held: DataFrame, scratch: Scratch, rarity) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(node, near) of documents with one set; (doc_id, more) and (doc_id, node) of ids that stand on rows with different sets."""
+def _meetings(block) -> Column:
+    """Blocks of k to the pairs of blocks that they are in."""
+    return F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least(block, j).alias("lo"), F.greatest(block, j).alias("hi")))).alias("at")
+
+
+def _documents(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(node, docs): documents with that set alone; (doc_id, node) of ids that stand on rows with different sets."""
     at = F.coalesce("node", F.lit(0))
     kinds = scratch.keep(rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min(at).alias("node"), F.max(at).alias("to")), "kinds")
-    ids = kinds.filter("node <> to").select("doc_id")
-    several = scratch.keep(rows.filter("node is not null").join(ids, "doc_id").select("doc_id", "node").distinct(), "several")
-    docs = kinds.filter("node = to and node <> 0").groupBy("node").agg(F.count("*").alias("docs"))
-    nodes = classes.select("node", "n").join(docs, "node", "left").join(several.select("node", F.lit(True).alias("several")).distinct(), "node", "left")
-    nodes = nodes.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("part"), "n", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("several", F.lit(False)).alias("several"))
-    nodes = scratch.keep(nodes, "nodes")
-    blocks = nodes.groupBy("part").agg(F.count("*").alias("m"), F.sum(F.col("n").cast("long")).alias("all")).filter("m > 1")
+    several = scratch.keep(rows.filter("node is not null").join(kinds.filter("node <> to").select("doc_id"), "doc_id").select("doc_id", "node").distinct(), "several")
+    return kinds.filter("node = to and node <> 0").groupBy("node").agg(F.count("*").alias("docs")), several
+
+
+def _links(classes: DataFrame, parts: DataFrame, docs: DataFrame, several: DataFrame, texts: DataFrame, scratch: Scratch, rarity) -> DataFrame:
+    """All links within groups of candidates, as ``_linked`` tells them."""
+    nodes = classes.select("node", "rep", "n").join(parts.withColumnRenamed("component", "part"), "node").join(docs, "node", "left").join(several.select("node", F.lit(True).alias("several")).distinct(), "node", "left")
+    nodes = scratch.keep(nodes.select("node", "rep", "part", "n", F.coalesce("docs", F.lit(0).cast("long")).alias("docs"), F.coalesce("several", F.lit(False)).alias("several")), "nodes")
+    # only texts of candidates move, compressed, and of each set one
+    moved = texts.mapInArrow(frugal(_packed), "_id long, z binary").join(nodes.select(F.col("rep").alias("_id")).distinct(), "_id").select("z").mapInArrow(frugal(_held(rarity)), "node long, z binary")
+    held = scratch.keep(moved.join(nodes.select("node"), "node").dropDuplicates(["node"]), "held")
+    blocks = nodes.groupBy("part").agg(F.count("*").alias("m"), F.sum(F.col("n").cast("long")).alias("all"))
     blocks = scratch.keep(blocks.select("part", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("all") / BLOCK_SHINGLES)).cast("int").alias("k"), "all"), "blocks")
-    # components of one block share groups
+    # groups of one block share tasks
     bins = max(1, (blocks.filter("k = 1").agg(F.sum("all")).first()[0] or 0) * 2 // BLOCK_SHINGLES)
     dealt = nodes.join(blocks.drop("all"), "part").join(held, "node")
-    small = dealt.filter("k = 1").select(F.pmod(F.xxhash64("part"), F.lit(bins)).alias("group"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"), "part", "node", "docs", "several", F.lit(0).alias("block"), "z")
-    block = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
-    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least("block", j).alias("lo"), F.greatest("block", j).alias("hi")))).alias("at")
-    large = dealt.filter("k > 1").withColumn("block", block).select("part", "node", "docs", "several", "block", "z", meets).select(F.col("part").alias("group"), "at.lo", "at.hi", "part", "node", "docs", "several", "block", "z")
-    found = scratch.keep(small.unionByName(large).groupBy("group", "lo", "hi").applyInArrow(_linked(rarity), "node long, other long, n long"), "linked")
-    near = nodes.select("node", F.col("docs").alias("n")).unionByName(found.filter("other is null").select("node", "n")).groupBy("node").agg(F.sum("n").alias("near"))
+    names = ["part", "node", "docs", "several", "block", "z"]
+    small = dealt.filter("k = 1").withColumn("block", F.lit(0)).select(F.pmod(F.xxhash64("part"), F.lit(bins)).alias("group"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"), *names)
+    large = dealt.filter("k > 1").withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).select(*names, _meetings(F.col("block"))).select(F.col("part").alias("group"), "at.lo", "at.hi", *names)
+    return scratch.keep(small.unionByName(large).groupBy("group", "lo", "hi").applyInArrow(_linked(rarity), "kind int, node long, other long, n long"), "linked")
+
+
+def _link_counts(found: DataFrame, docs: DataFrame, several: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(node, near): other documents linked, of documents with one set; (doc_id, more) of the others."""
+    near = docs.select("node", F.col("docs").alias("n")).unionByName(found.filter("kind = 0").select("node", "n")).groupBy("node").agg(F.sum("n").alias("near"))
     # ids on several sets are counted apart, each once however many of its sets are linked
-    around = found.filter("other is not null").select("node", "other").unionByName(several.select("node", F.col("node").alias("other"))).distinct()
+    around = found.filter("kind = 1").select("node", "other").unionByName(several.select("node", F.col("node").alias("other"))).distinct()
     around = scratch.keep(around, "around")
     behind = several.select(F.col("doc_id").alias("them"), F.col("node").alias("other"))
     extra = around.join(behind, "other").groupBy("node").agg(F.count_distinct("them").alias("extra"))
     near = near.join(extra, "node", "left").select("node", (F.col("near") + F.coalesce("extra", F.lit(0)) - 1).alias("near"))
     reached = scratch.keep(several.join(around, "node").select("doc_id", "other").distinct(), "reached")
-    single = reached.join(nodes.select(F.col("node").alias("other"), "docs"), "other").groupBy("doc_id").agg(F.sum("docs").alias("docs"))
+    single = reached.join(docs.select(F.col("node").alias("other"), "docs"), "other", "left").groupBy("doc_id").agg(F.sum(F.coalesce("docs", F.lit(0))).alias("docs"))
     multiple = reached.join(behind, "other").groupBy("doc_id").agg(F.count_distinct("them").alias("ids"))
-    return near, single.join(multiple, "doc_id").select("doc_id", (F.col("docs") + F.col("ids") - 1).alias("more")), several
+    return near, single.join(multiple, "doc_id").select("doc_id", (F.col("docs") + F.col("ids") - 1).alias("more"))
 
 
-def _completed(shared: DataFrame, parts: DataFrame, classes: DataFrame, held: DataFrame, scratch: Scratch, rarity) -> DataFrame:
-    """Links between different components: (a, b)."""
-    placed = shared.join(parts, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("part"))
+def _allowed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps allow."""
+    side = lambda node, n, bits: classes.select(F.col("node").alias(node), F.col("n").alias(n), F.col("bits").alias(bits))
+    sized = pairs.join(side("a", "m", "x"), "a").join(side("b", "n", "y"), "b")
+    return sized.select("a", "b", "m", "n", "x", "y").mapInArrow(frugal(_possible), "a long, b long")
+
+
+def _completed(shared: DataFrame, parts: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Candidates in different groups: (a, b)."""
+    placed = shared.select("token", "node").join(parts, "node", "left").select("token", "node", F.coalesce("component", "node").alias("part"))
     placed = scratch.keep(placed, "placed")
     holders = (F.count("*").alias("size"), F.struct(F.min("node"), F.max("node"), F.sum(F.shiftright(F.xxhash64("node"), 32))).alias("who"))
     split = placed.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q"), *holders).filter("p <> q")
     split = scratch.keep(split.select("token", "size", "who"), "split")
-    still = placed.join(split.filter(F.col("size") <= GROUP).select("token"), "token")
-    need = classes.select("node", "matches")
-    left = still.select("token", F.col("node").alias("a"), F.col("n").alias("m"), F.col("part").alias("o"))
-    right = still.select(F.col("token").alias("_token"), F.col("node").alias("b"), "n", "part")
+    still = placed.join(split.filter(F.col("size") <= GROUP).select("token"), "token").join(classes.select("node", "n", "matches"), "node")
+    left = still.select("token", F.col("node").alias("a"), F.col("n").alias("m"), F.col("part").alias("o"), F.col("matches").alias("asked"))
+    right = still.select(F.col("token").alias("_token"), F.col("node").alias("b"), "n", "part", "matches")
     alike = F.least("m", "n") * WHOLE >= F.greatest("m", "n") * PART
-    met = left.join(right, (F.col("token") == F.col("_token")) & (F.col("a") < F.col("b")) & (F.col("o") != F.col("part")) & alike).groupBy("a", "b").agg(F.count("*").alias("c"))
-    asked = lambda side: need.select(F.col("node").alias(side), F.col("matches").alias(f"_{side}"))
-    # a pair that shares no shingle of a large group has all its shared ones counted here; any other is compared there
-    pairs = met.join(asked("a"), "a").join(asked("b"), "b").filter(F.col("c") >= F.least("_a", "_b")).select("a", "b")
-    found = _check(scratch.keep(pairs, "across"), held, rarity)
+    met = left.join(right, (F.col("token") == F.col("_token")) & (F.col("a") < F.col("b")) & (F.col("o") != F.col("part")) & alike)
+    # a pair that shares no shingle of many holders has all its shared ones counted here; any other is compared there
+    pairs = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.min(F.least("asked", "matches")).alias("need")).filter("c >= need").select("a", "b")
+    found = _allowed(pairs, classes)
     large = split.filter(F.col("size") > GROUP)
     if large.first() is None:
         return found
-    # groups with the same holders are one
-    once = large.groupBy("size", "who").agg(F.min("token").alias("token"), F.first("size").alias("g")).select("token", F.ceil(F.col("g") / BLOCK).cast("int").alias("k"))
+    # the same holders meet once
+    once = large.groupBy("size", "who").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("k"))
     rows = placed.join(once, "token").withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least("block", j).alias("lo"), F.greatest("block", j).alias("hi")))).alias("at")
-    rows = rows.select("token", "node", "part", "block", meets).join(held, "node").select("token", "at.lo", "at.hi", "node", "part", "block", "z")
-    dense = rows.groupBy("token", "lo", "hi").applyInArrow(_across(rarity), "a long, b long")
-    return found.unionByName(dense).distinct()
+    rows = rows.select("token", "node", "part", "block", _meetings(F.col("block"))).join(classes.select("node", "n", "bits"), "node").select("token", "at.lo", "at.hi", "node", "part", "block", "n", "bits")
+    return found.unionByName(rows.groupBy("token", "lo", "hi").applyInArrow(_across, "a long, b long"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -404,35 +423,36 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     values = listed["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(values)
     frequent = spark.sparkContext.broadcast((values[order], listed["n"].to_numpy(np.int64)[order]))
-    rows = scratch.keep(texts.mapInArrow(frugal(_described(frequent, rarity)), "doc_id long, n int, sig binary, node long, matches int, rare array<long>, common array<long>, z binary"), "prefixes")
+    rows = scratch.keep(texts.mapInArrow(frugal(_described(frequent, rarity)), "doc_id long, n int, node long, matches int, rare array<long>, common array<long>, bits binary"), "prefixes")
 
     # equal sets are one class; a task lists a class once, so few rows of a class are listed
     usable = rows.filter("node is not null and doc_id is not null")
-    classes = scratch.keep(usable.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("matches").alias("matches")), "classes")
-    sorted_by = F.xxhash64("node", F.pmod("token", F.lit(LEADERS)))
-    rare = usable.filter("rare is not null").select(F.explode("rare").alias("token"), "node", "n").withColumn("h", sorted_by)
-    rare = rare.repartition("token").sortWithinPartitions("token", "h", "node").mapInArrow(frugal(_grouped), "token long, node long, n int, leader long, m int")
-    often = scratch.keep(usable.filter("size(common) > 0").select(F.explode("common").alias("token"), "node", "n").distinct(), "often")
-    lead = F.min(F.struct(sorted_by.alias("h"), "node", "n"))
-    leaders = often.groupBy("token").agg(lead.alias("l")).select("token", F.col("l.node").alias("leader"), F.col("l.n").alias("m"))
-    shared = scratch.keep(rare.unionByName(often.join(leaders, "token").select("token", "node", "n", "leader", "m")), "shared")
-    held = rows.filter("z is not null").join(shared.select("node").distinct(), "node", "left_semi").select("node", "z").dropDuplicates(["node"])
-    held = scratch.keep(held, "held")
+    ids = usable.groupBy("node").agg(F.min("doc_id").alias("rep"))
+    classes = scratch.keep(usable.filter("bits is not null").select("node", "n", "matches", "bits").dropDuplicates(["node"]).join(ids, "node"), "classes")
+    lead = F.xxhash64("node", F.pmod("token", F.lit(LEADERS)))
+    rare = usable.select(F.explode("rare").alias("token"), "node").repartition("token").select("token", lead.alias("h"), "node")
+    rare = rare.sortWithinPartitions("token", "h", "node").mapInArrow(frugal(_grouped), "token long, node long, leader long")
+    often = scratch.keep(usable.select(F.explode("common").alias("token"), "node").distinct(), "often")
+    leaders = often.groupBy("token").agg(F.min(F.struct(lead.alias("h"), "node")).alias("l")).select("token", F.col("l.node").alias("leader"))
+    shared = scratch.keep(rare.unionByName(often.join(leaders, "token").select("token", "node", "leader")), "shared")
 
     # holders with the leaders of their groups
-    alike = F.least("m", "n") * WHOLE >= F.greatest("m", "n") * PART
-    stars = shared.filter((F.col("node") != F.col("leader")) & alike).groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("c"), F.max("n").alias("n"))
-    stars = scratch.keep(stars.filter("c > 1 or n < 10").select("a", "b"), "stars")
-    links = scratch.keep(_check(stars, held, rarity), "links")
-    parts = scratch.keep(components(links, scratch), "parts")
-    # what these don't tell: links between different components
-    more = scratch.keep(_completed(shared, parts, classes, held, scratch, rarity), "more-links")
+    stars = shared.filter("node <> leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("c"))
+    few = classes.filter("n < 10").select(F.col("node").alias("b"), F.lit(True).alias("few"))
+    stars = stars.join(few, "b", "left").filter("c > 1 or few").select("a", "b")
+    near = scratch.keep(_allowed(stars, classes), "stars")
+    parts = scratch.keep(components(near, scratch), "stars-parts")
+    # what these leave open: candidates in different groups
+    more = scratch.keep(_completed(shared, parts, classes, scratch), "across")
     if more.first() is not None:
-        parts = scratch.keep(components(links.unionByName(more), scratch), "all-parts")
-    scratch.drop("shared", "often", "placed", "stars")
-    near, extra, several = _link_counts(rows, classes, parts, held, scratch, rarity)
+        parts = scratch.keep(components(near.unionByName(more), scratch), "parts")
+    scratch.drop("shared", "often", "placed", "split", "across", "stars")
+    only, several = _documents(rows, scratch)
+    found = _links(classes, parts, only, several, texts, scratch, rarity)
+    near, extra = _link_counts(found, only, several, scratch)
+    linked = components(found.filter("kind = 2").select(F.col("node").alias("a"), F.col("other").alias("b")), scratch)
     # components are named by nodes so far: their name is the smallest id
-    named = classes.select("node", "rep").join(parts, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
+    named = classes.select("node", "rep").join(linked, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     least_id = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = scratch.keep(named.join(least_id, "component").join(near, "node", "left").select("node", "rep", "component_id", "near"), "counts")
     member = rows.select("doc_id", "n", "node").join(named, "node", "left").select("doc_id", "n", "near", F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
