@@ -9,19 +9,24 @@ the corpus is marked. The work is split so that equal strings always meet:
    fragments are one, with all their places; a fragment with two places is
    marked whole, as are texts that are copies of each other.
 3. The distinct fragments of a gram are indexed together, where one of them has
-   a single place: their suffixes are
-   sorted, the Burrows-Wheeler transform is read off as runs, and the text
-   positions at run ends are sampled with the length of the match to the
-   neighbouring suffix. Streaming along the text, the matching statistic falls
-   by one a byte from one sample to the next, so a sample of length l at p
-   stands for the matches of all positions in between, and [p, p + l) is marked
-   if l >= LENGTH. The work after sorting follows the number of runs, which in
-   repetitive text is far below its length.
+   a single place. The index is the Burrows-Wheeler transform as runs, with the
+   text positions of both ends of each run as samples and the length of the
+   match between the ends of neighbouring runs of one byte. The fragments are
+   then streamed from their last byte to their first: a backward step maps a row
+   by its run; inside a run the neighbouring row steps along and the match grows
+   by a byte, at a run's end the next run's sampled end takes its place. So every
+   byte gets its matching statistic with the other places, and strings that reach
+   ``LENGTH`` are marked. After it is built, the index needs memory for its runs
+   alone, which in repetitive text are far fewer than its bytes.
 4. Marks of fragments return to their places, and documents are rewritten.
 
-A gram that would gather too many distinct fragments for one index (a passage
-that a large part of all documents hold in different surroundings) is split
-further: its strings meet by 128 bits of hash instead.
+Fragments are told apart by 128 bits: the hash of the gram and a digest.
+
+A gram that would gather more distinct bytes than ``DENSE`` (a passage that a
+large part of all documents hold in different surroundings) has no bounded
+index. Its strings meet by 128 bits of hash instead, with the same marks: a task
+marks what repeats among its own fragments and sends each string once, so a
+string that all documents hold gathers in no task.
 
 Cases: null texts are empty; texts shorter than LENGTH keep all bytes; matches
 never cross documents; repeated rows are copies of each other; rows are told
@@ -39,7 +44,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, sliced
+from .common import Scratch, frugal, sliced
 from .shingles import BASE, mix
 
 LENGTH, K = 200, 32
@@ -48,8 +53,10 @@ SPAN = LENGTH - K + 1
 SLICE, INDEX = 1 << 19, 1 << 20
 #: Distinct bytes of one gram's fragments above which its strings meet by hash.
 DENSE = 1 << 21
-#: Buckets of their hashes.
-BUCKETS = 1024
+#: Bytes of strings' hashes that meet in one bucket, about.
+BUCKET = 16 << 20
+#: Bytes between the starts of streams through a long fragment.
+STRIDE = 512
 OTHER = 0xC2B2AE3D27D4EB4F
 
 
@@ -131,14 +138,8 @@ def _utf8(texts) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in texts.to_pylist()]
 
 
-def _gram_counts(batches):
-    for b in batches:
-        found = [_Grams(p).selected()[0] for part in sliced([b]) for p in _pieces(_utf8(part.column(0)))]
-        h, n = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
-
-
 def _gram_places(batches):
+    """(h, d, u, n): the grams of a text, and whether once (1) or more (2)."""
     for b in sliced(batches):
         d, u = b.column(1).to_numpy(), b.column(2).to_numpy()
         for p in _pieces(_utf8(b.column(0))):
@@ -146,9 +147,10 @@ def _gram_places(batches):
             row = np.array([k for k, _, _ in p])[piece]
             order = np.lexsort((h, row))
             h, row = h[order], row[order]
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])]) if len(h) else np.zeros(0, bool)
-            h, row = h[new], row[new]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(d[row]), pa.array(u[row])], ["h", "d", "u"])
+            first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])) if len(h) else np.zeros(0, int)
+            n = np.minimum(np.diff(np.append(first, len(h))), 2).astype(np.int32)
+            h, row = h[first], row[first]
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(d[row]), pa.array(u[row]), pa.array(n)], ["h", "d", "u", "n"])
 
 
 def _packed(batches):
@@ -231,120 +233,225 @@ def suffix_order(text: np.ndarray, fragment: np.ndarray, ends: np.ndarray) -> np
         depth *= 2
 
 
-def index_marks(parts: list[bytes], length: int = LENGTH) -> list[list[tuple[int, int]]]:
-    """For each distinct fragment the byte ranges of strings that occur twice among all of them."""
-    sizes = np.array([len(p) + 1 for p in parts])
-    raw = np.frombuffer(b"\0".join(parts) + b"\0" * 9, np.uint8)
-    n = int(sizes.sum())
-    fragment = np.repeat(np.arange(len(parts)), sizes)
-    stop = np.cumsum(sizes) - 1
-    ends = stop[fragment] - np.arange(n)
-    text = np.where(ends > 0, raw[:n].astype(np.int16) + 1, 0).astype(np.int16)
-    order = suffix_order(text, fragment, ends)
-    # the transform's runs: rows whose preceding symbol differs from the row above; separators differ from all
-    before = text[order - 1]
-    head = np.flatnonzero((before[1:] != before[:-1]) | (before[1:] == 0)) + 1
-    p, q = order[head], order[head - 1]
+class RunIndex:
+    """The run-length Burrows-Wheeler transform of distinct fragments, with samples at run ends."""
+
+    def __init__(self, parts: list[bytes]):
+        sizes = np.array([len(p) + 1 for p in parts])
+        raw = np.frombuffer(b"\0".join(parts) + b"\0" * 17, np.uint8)
+        self.size = n = int(sizes.sum())
+        self.fragment = np.repeat(np.arange(len(parts)), sizes)
+        self.stop = np.cumsum(sizes) - 1
+        self.base = np.concatenate([[0], self.stop[:-1] + 1])
+        ends = self.stop[self.fragment] - np.arange(n)
+        text = np.where(ends > 0, raw[:n].astype(np.int16) + 1, 0).astype(np.int16)
+        order = suffix_order(text, self.fragment, ends)
+        symbols = text[order - 1]
+        # separators differ from all symbols, from each other too
+        first = np.flatnonzero(np.concatenate([[True], (symbols[1:] != symbols[:-1]) | (symbols[1:] == 0)]))
+        last = np.append(first[1:], n) - 1
+        self.first, self.last, self.symbol = first, last, symbols[first]
+        self.sample_first, self.sample_last = order[first], order[last]
+        # a backward step: rows of a run keep their distances
+        of = np.argsort(self.symbol, kind="stable")
+        size = last - first + 1
+        self.step = np.empty(len(first), np.int64)
+        self.step[of] = np.cumsum(size[of]) - size[of] - first[of]
+        eight = np.ndarray((n + 9,), "<u8", raw.tobytes(), strides=(1,))
+        match = lambda p, q: _match(eight, ends, p, q)
+        # matches of a run's ends with the next runs of the same symbol
+        same = self.symbol[of[1:]] == self.symbol[of[:-1]]
+        above, below = of[:-1][same], of[1:][same]
+        met = match(self.sample_last[above], self.sample_first[below]) + 1
+        self.up, self.down = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        self.up[below], self.down[above] = met, met
+        # where streams start: at the separators, and inside long fragments
+        inner = np.arange(n)[(ends > 0) & (ends % STRIDE == 0)]
+        self.starts = np.concatenate([self.stop, inner])
+        row = np.empty(n, np.int64)
+        row[order] = np.arange(n)
+        self.rows = row[self.starts]
+        beside = lambda r: np.where((r >= 0) & (r < n), match(self.starts, order[np.clip(r, 0, n - 1)]), 0)
+        self.matches = beside(self.rows - 1), beside(self.rows + 1)
+        self.ways = np.minimum(self.starts - self.base[self.fragment[self.starts]], STRIDE - (-ends[self.starts] % STRIDE))
+
+    @property
+    def runs(self) -> int:
+        return len(self.first)
+
+    def statistics(self) -> np.ndarray:
+        """For each byte the longest match of the text from it on with another place, within fragments."""
+        out = np.zeros(self.size, np.int64)
+        order = np.argsort(-self.ways, kind="stable")
+        at, row, left = self.starts[order], self.rows[order], self.ways[order]
+        up, down = self.matches[0][order], self.matches[1][order]
+        out[at] = np.maximum(up, down)
+        for k in range(int(left.max(initial=0))):
+            live = int(np.searchsorted(-left, -k, side="left"))
+            at, row, up, down = at[:live], row[:live], up[:live], down[:live]
+            run = np.searchsorted(self.first, row, side="right") - 1
+            up = np.where(row == self.first[run], self.up[run], up + 1)
+            down = np.where(row == self.last[run], self.down[run], down + 1)
+            row = row + self.step[run]
+            at = at - 1
+            out[at] = np.maximum(up, down)
+        return out
+
+
+def _match(eight: np.ndarray, ends: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Lengths of the matches of pairs of suffixes, up to their fragments' ends, eight bytes at a time."""
     most = np.minimum(ends[p], ends[q])
-    able = most >= length
-    p, q, most = p[able], q[able], most[able]
-    words = np.zeros(n + 8, np.uint64)
-    padded = np.concatenate([raw[:n], np.zeros(16, np.uint8)]).astype(np.uint64)
-    for j in range(8):
-        words = words << np.uint64(8) | padded[j : j + n + 8]
-    # lengths of the sampled matches, eight bytes at a time; those under the length leave early
-    match = np.zeros(len(p), np.int64)
-    live = np.arange(len(p))
-    at = 0
+    out, live, at = most.copy(), np.flatnonzero(most > 0), 0
     while len(live):
-        full = at + 8 <= most[live]
-        x = words[np.minimum(p[live] + at, n)] ^ words[np.minimum(q[live] + at, n)]
-        same = np.full(len(live), 8)
-        for j in range(8):
-            same = np.where((same == 8) & (x >> np.uint64(56 - 8 * j) != 0), j, same)
-        match[live] = np.minimum(at + same, most[live])
-        live = live[full & (same == 8)]
+        x = eight[p[live] + at] ^ eight[q[live] + at]
+        some = x != 0
+        # the lowest byte that differs: bits below the lowest set bit, in bytes
+        low = x[some]
+        same = np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)) >> np.uint8(3)
+        out[live[some]] = np.minimum(at + same.astype(np.int64), most[live[some]])
         at += 8
-    good = match >= length
-    p, q, match = p[good], q[good], match[good]
-    level = np.zeros(n + 1, np.int64)
-    for side in (p, q):
-        np.add.at(level, side, 1)
-        np.add.at(level, side + match, -1)
-    cover = np.concatenate([[False], np.cumsum(level[:n]) > 0, [False]])
-    a, b = np.flatnonzero(cover[1:] & ~cover[:-1]), np.flatnonzero(~cover[1:] & cover[:-1])
-    out: list[list[tuple[int, int]]] = [[] for _ in parts]
-    base = np.concatenate([[0], stop[:-1] + 1])
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        f = int(fragment[x])
-        out[f].append((x - int(base[f]), y - int(base[f])))
+        live = live[~some]
+        live = live[most[live] > at]
+    return out
+
+
+def index_marks(parts: list[bytes], length: int = LENGTH) -> list[list[tuple[int, int]]]:
+    """For each distinct fragment the byte ranges of strings that occur twice among all of them."""
+    index = RunIndex(parts)
+    at = np.flatnonzero(index.statistics() >= length)
+    level = np.zeros(index.size + 1, np.int64)
+    level[at] += 1
+    level[at + length] -= 1
+    return [[(x - f, y - f) for x, y in ranges] for f, ranges in zip(index.base.tolist(), _ranges(np.cumsum(level[:-1]) > 0, index.stop), strict=True)]
+
+
+def _ranges(cover: np.ndarray, stops: np.ndarray) -> list[list[tuple[int, int]]]:
+    """Covered ranges, by the fragment (up to its stop) that they lie in."""
+    edge = np.flatnonzero(np.diff(cover, prepend=False, append=False))
+    a, b = edge[::2], edge[1::2]
+    out: list[list[tuple[int, int]]] = [[] for _ in stops]
+    for x, y, f in zip(a.tolist(), b.tolist(), np.searchsorted(stops, a).tolist(), strict=True):
+        out[f].append((x, y))
     return out
 
 
+MARKS = "h long, f long, marks array<struct<`from`: long, `to`: long>>"
+_MARKS = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
+
+
+def _marked(rows: list[tuple[int, int, list[tuple[int, int]]]]) -> pa.RecordBatch:
+    marks = [[{"from": a, "to": b} for a, b in r[2]] for r in rows]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(marks, _MARKS)], ["h", "f", "marks"])
+
+
 def _indexed(batches):
-    """Partition rows (h, f, part, n) to (h, f, from, to): marks of fragments that have one place."""
-    rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-    rows.sort(key=lambda r: r[:2])
-    out: list[tuple[int, int, int, int]] = []
+    """Rows (h, f, part, n), sorted by h, to (h, f, marks) of fragments that have one place.
+
+    Whole grams are indexed together, up to INDEX bytes or one gram.
+    """
 
     def index(block):
-        for (h, f, _, n), marks in zip(block, index_marks([r[2] for r in block]), strict=True):
-            if n == 1:
-                out.extend((h, f, a, b) for a, b in marks)
-
-    block, size, start = [], 0, 0
-    while start < len(rows):
-        stop = start
-        while stop < len(rows) and rows[stop][0] == rows[start][0]:
-            stop += 1
-        group = rows[start:stop]
-        start = stop
-        own = sum(len(r[2]) for r in group)
-        if block and size + own > INDEX:
-            index(block)
-            block, size = [], 0
-        block += group
-        size += own
-    if block:
-        index(block)
-    for s in range(0, len(out), 50_000):
-        part = out[s : s + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], pa.int64()) for k in range(4)], ["h", "f", "from", "to"])
-
-
-def _strings(batches):
-    """Dense fragments to the 128-bit hashes of their strings, packed by bucket of the hash."""
-    for b in sliced(batches, 2048):
-        rows = []
-        for h, f, part, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            for at in range(0, len(part) - LENGTH + 1, SLICE):
-                x = np.frombuffer(part[at : at + SLICE + LENGTH - 1], np.uint8)
-                v, w = (mix(_rolling(x, LENGTH, base)).view(np.int64) for base in (BASE, OTHER))
-                rows.append(np.stack([v, w, np.full(len(v), h), np.full(len(v), f), np.arange(at, at + len(v)), np.full(len(v), n)], axis=1))
-        if rows:
-            every = np.concatenate(rows)
-            bucket = (every[:, 0].view(np.uint64) % np.uint64(BUCKETS)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            every, bucket = every[order], bucket[order]
-            edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-            packed = [every[x:y].tobytes() for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]]), pa.array(packed, pa.binary())], ["bucket", "strings"])
-
-
-def _met(batches):
-    """Strings that occur twice, of fragments that have one place."""
-    parts = [np.frombuffer(x.as_py(), np.int64).reshape(-1, 6) for b in batches for x in b.column(1)]
-    if not parts:
-        return
-    every = np.concatenate(parts)
-    parts.clear()
+        found = [(h, f, marks) for (h, f, _, n), marks in zip(block, index_marks([r[2] for r in block]), strict=True) if n == 1 and marks]
+        block.clear()
+        return _marked(found)
+
+    block, group, size, own = [], [], 0, 0
+    for b in batches:
+        for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if group and r[0] != group[0][0]:
+                if block and size + own > INDEX:
+                    yield index(block)
+                    size = 0
+                block += group
+                size += own
+                group, own = [], 0
+            group.append(r)
+            own += len(r[2])
+    for last in ([block, group] if size + own > INDEX else [block + group]):
+        if last:
+            yield index(last)
+
+
+def _blobs(kind: int, key: np.ndarray, rows: np.ndarray):
+    """Rows of numbers, packed by key: (kind, key, blob)."""
+    order = np.argsort(key, kind="stable")
+    key, rows = key[order], rows[order]
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, int)
+    packed = [rows[x:y].tobytes() for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(packed), kind, np.int32)), pa.array(key[edge[:-1]].astype(np.int64)), pa.array(packed, pa.binary())], ["kind", "key", "blob"])
+
+
+def _repeated(every: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (two hashes, h, f, at, n; n over 1: marked or needing no mark) by string; whether it comes again; the first of each."""
     every = every[np.lexsort((every[:, 1], every[:, 0]))]
-    same = (every[1:, :2] == every[:-1, :2]).all(axis=1)
-    twice = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    found = every[twice & (every[:, 5] == 1)]
-    for s in range(0, len(found), 50_000):
-        part = found[s : s + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part[:, 2]), pa.array(part[:, 3]), pa.array(part[:, 4]), pa.array(part[:, 4] + LENGTH)], ["h", "f", "from", "to"])
+    new = np.concatenate([[True], (every[1:, :2] != every[:-1, :2]).any(axis=1)]) if len(every) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(every)))
+    return every, np.repeat(size > 1, size), first
+
+
+def _strings(buckets: int):
+    """Dense fragments to strings' hashes (kind 1, by bucket), and to the marks that their task sees (kind 0, by gram).
+
+    Of the strings that repeat here one is sent on, as one that has its mark.
+    """
+
+    def run(batches):
+        for b in sliced(batches, 1024, 1 << 20):
+            rows = []
+            for h, f, part, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for at in range(0, len(part) - LENGTH + 1, SLICE):
+                    x = np.frombuffer(part[at : at + SLICE + LENGTH - 1], np.uint8)
+                    v, w = (mix(_rolling(x, LENGTH, base)).view(np.int64) for base in (BASE, OTHER))
+                    rows.append(np.stack([v, w, np.full(len(v), h), np.full(len(v), f), np.arange(at, at + len(v)), np.full(len(v), n)], axis=1))
+            if rows:
+                every, twice, first = _repeated(np.concatenate(rows))
+                found = every[twice & (every[:, 5] == 1)]
+                yield from _blobs(0, found[:, 2] % buckets, found[:, 2:5])
+                sent = every[first]
+                sent[:, 5] = np.where(twice[first], 2, sent[:, 5])
+                yield from _blobs(1, (sent[:, 0].view(np.uint64) % np.uint64(buckets)).astype(np.int64), sent)
+
+    return run
+
+
+def _by_key(batches):
+    """The blobs of one key after another, joined; batches are sorted by key."""
+    last, blobs = None, []
+    for b in batches:
+        for key, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            if blobs and key != last:
+                yield b"".join(blobs)
+                blobs = []
+            last = key
+            blobs.append(blob.as_buffer().to_pybytes())
+    if blobs:
+        yield b"".join(blobs)
+
+
+def _met(buckets: int):
+    """Buckets of strings to marks by gram."""
+
+    def run(batches):
+        for blob in _by_key(batches):
+            every, twice, _ = _repeated(np.frombuffer(blob, np.int64).reshape(-1, 6))
+            found = every[twice & (every[:, 5] == 1)]
+            yield from _blobs(0, found[:, 2] % buckets, found[:, 2:5])
+
+    return run
+
+
+def _gathered(batches):
+    """Strings' marks by gram to ranges of fragments."""
+    for blob in _by_key(batches):
+        rows = np.unique(np.frombuffer(blob, np.int64).reshape(-1, 3), axis=0)
+        edge = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1), [True]]))
+        out = []
+        for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            at = rows[x:y, 2]
+            cut = np.flatnonzero(np.diff(at) > LENGTH) + 1
+            out.append((int(rows[x, 0]), int(rows[x, 1]), [(int(p[0]), int(p[-1]) + LENGTH) for p in np.split(at, cut)]))
+        yield _marked(out)
 
 
 def _rewritten(batches):
@@ -354,7 +461,7 @@ def _rewritten(batches):
         for z, spans in zip(b.column(2), b.column(3).to_pylist(), strict=True):
             data = expand.decompress(z.as_py())
             merged: list[list[int]] = []
-            for s in sorted((s["from"], s["to"]) for s in spans):
+            for s in sorted((p["at"] + s["from"], p["at"] + s["to"]) for p in spans for s in p["marks"]):
                 if merged and s[0] <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], s[1])
                 else:
@@ -379,31 +486,39 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     place = F.struct("d", "u")
     alike = texts.groupBy(digest).agg(F.count("*").alias("n"), F.min(place).alias("stays")).filter("n > 1").select("digest", "stays")
     copies = scratch.keep(texts.select(digest, "d", "u", F.octet_length("t").cast("long").alias("n")).join(alike, "digest").select("d", "u", "n", (place != F.col("stays")).alias("spare")), "copies")
-    shared = scratch.keep(texts.select("t").mapInArrow(_gram_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), "shared")
-    wanted = texts.mapInArrow(_gram_places, "h long, d long, u long").join(shared, "h").groupBy("d", "u").agg(F.collect_set("h").alias("hs"))
+    grams = scratch.keep(texts.mapInArrow(frugal(_gram_places), "h long, d long, u long, n int"), "grams")
+    shared = grams.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
+    wanted = grams.join(shared, "h").groupBy("d", "u").agg(F.collect_set("h").alias("hs"))
     wanted = wanted.join(copies.filter("spare").select("d", "u").distinct(), ["d", "u"], "left_anti")
-    held = scratch.keep(texts.mapInArrow(_packed, "d long, u long, z binary").join(wanted, ["d", "u"]).dropDuplicates(["d", "u"]), "held")
-    places = scratch.keep(held.mapInArrow(_fragments, "h long, f long, d long, u long, at long, size long, again boolean"), "places")
+    held = scratch.keep(texts.mapInArrow(frugal(_packed), "d long, u long, z binary").join(wanted, ["d", "u"]).dropDuplicates(["d", "u"]), "held")
+    scratch.drop("grams")
+    places = scratch.keep(held.mapInArrow(frugal(_fragments), "h long, f long, d long, u long, at long, size long, again boolean"), "places")
     kinds = places.groupBy("h", "f").agg(F.count("*").alias("n"), F.min("size").alias("size"), F.max("again").alias("again"), F.min(F.struct("d", "u", "at")).alias("first"))
     kinds = scratch.keep(kinds, "kinds")
     # a gram whose fragments all have two places needs no index, nor does one with a single fragment that is not in itself again
-    grams = kinds.groupBy("h").agg(F.count("*").alias("m"), F.min("n").alias("least"), F.max(F.col("again") & (F.col("n") == 1)).alias("own"), F.sum("size").alias("bytes"))
-    grams = grams.filter("(m > 1 and least = 1) or own").select("h", (F.col("bytes") > DENSE).alias("dense"))
+    wants = kinds.groupBy("h").agg(F.count("*").alias("m"), F.min("n").alias("least"), F.max(F.col("again") & (F.col("n") == 1)).alias("own"), F.sum("size").alias("bytes"))
+    wants = scratch.keep(wants.filter("(m > 1 and least = 1) or own").select("h", "bytes", (F.col("bytes") > DENSE).alias("dense")), "wants")
+    crowd = wants.filter("dense").agg(F.sum("bytes")).first()[0] or 0
     pick = F.collect_list(F.struct("h", "f", F.col("first.at").alias("at"), "size", "n", "dense")).alias("picks")
-    picks = kinds.join(grams, "h").groupBy(F.col("first.d").alias("d"), F.col("first.u").alias("u")).agg(pick)
-    parts = held.select("d", "u", "z").join(picks, ["d", "u"]).select("z", "picks").mapInArrow(_cut, "h long, f long, part binary, n long, dense boolean")
-    crowded = grams.filter("dense").first() is not None
-    if crowded:
+    picks = kinds.join(wants.drop("bytes"), "h").groupBy(F.col("first.d").alias("d"), F.col("first.u").alias("u")).agg(pick)
+    parts = held.select("d", "u", "z").join(picks, ["d", "u"]).select("z", "picks").mapInArrow(frugal(_cut), "h long, f long, part binary, n long, dense boolean")
+    if crowd:
         parts = scratch.keep(parts, "parts")
-    marks = (parts.filter("not dense") if crowded else parts).select("h", "f", "part", "n").repartition("h").mapInArrow(_indexed, "h long, f long, `from` long, `to` long")
-    marks = marks.unionByName(kinds.filter("n > 1").select("h", "f", F.lit(0).cast("long").alias("from"), F.col("size").alias("to")))
-    if crowded:
-        strings = parts.filter("dense").select("h", "f", "part", "n").mapInArrow(_strings, "bucket long, strings binary")
-        marks = marks.unionByName(strings.repartition("bucket").mapInArrow(_met, "h long, f long, `from` long, `to` long"))
+    fields = ["h", "f", "part", "n"]
+    marks = (parts.filter("not dense") if crowd else parts).select(*fields).repartition("h").sortWithinPartitions("h", "f").mapInArrow(frugal(_indexed), MARKS)
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("from"), F.col("size").alias("to"))).alias("marks")
+    marks = marks.unionByName(kinds.filter("n > 1").select("h", "f", whole))
+    if crowd:
+        buckets = -(-crowd * 48 // BUCKET)
+        blobs = "kind int, key long, blob binary"
+        strings = scratch.keep(parts.filter("dense").select(*fields).mapInArrow(frugal(_strings(buckets)), blobs), "strings")
+        dealt = lambda df: df.select("key", "blob").repartition("key").sortWithinPartitions("key")
+        told = strings.filter("kind = 0").unionByName(dealt(strings.filter("kind = 1")).mapInArrow(frugal(_met(buckets)), blobs))
+        marks = marks.unionByName(dealt(told).mapInArrow(frugal(_gathered), MARKS))
     marks = scratch.keep(marks, "marks")
-    spans = places.select("h", "f", "d", "u", "at").join(marks, ["h", "f"]).groupBy("d", "u").agg(F.collect_set(F.struct((F.col("at") + F.col("from")).alias("from"), (F.col("at") + F.col("to")).alias("to"))).alias("spans"))
+    spans = places.select("h", "f", "d", "u", "at").join(marks, ["h", "f"]).groupBy("d", "u").agg(F.collect_list(F.struct("at", "marks")).alias("spans"))
     spans = spans.join(copies.select("d", "u").distinct(), ["d", "u"], "left_anti")
-    out = held.select("d", "u", "z").join(spans, ["d", "u"]).mapInArrow(_rewritten, "d long, u long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    out = held.select("d", "u", "z").join(spans, ["d", "u"]).mapInArrow(frugal(_rewritten), "d long, u long, n_removed long, n_spans long, kept_sha256 string, kept string")
     none = F.sha2(F.lit("").cast("binary"), 256)
     gone = copies.select("d", "u", F.col("n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), none.alias("kept_sha256"), F.lit("").alias("kept")).distinct()
     return out.unionByName(gone)
