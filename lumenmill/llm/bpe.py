@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import frugal, sliced
 
 #: Entries in a worker's memo of chunks; it is emptied when full.
 MEMO = 150_000
@@ -259,4 +259,4 @@ def tokenize(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
             columns = [batch.column(0), *([pa.array(list(c), f[1]) for c, f in zip(zip(*rows, strict=True), fields[1:], strict=True)] if rows else [pa.array([], f[1]) for f in fields[1:]])]
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(frugal(run), schema)

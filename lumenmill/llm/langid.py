@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, seeded_hash
+from .common import frugal, held_out, seeded_hash, sliced
 from .textmath import chunks, lower_letters, points
 
 BITS = 12
@@ -76,13 +76,13 @@ def fit(docs: DataFrame, train, id_col="doc_id", text_col="text", lang_col="lang
 
     def frequencies(batches):
         total = np.zeros(WIDTH, np.int64)
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column(0).to_pylist()
             for _, part in chunks(texts):
                 total += (gram_counts(part) > 0).sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(WIDTH, dtype=np.int32)), pa.array(total)], ["g", "n"])
 
-    counts = rows.select("text").mapInArrow(frequencies, "g int, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()
+    counts = rows.select("text").mapInArrow(frugal(frequencies), "g int, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(WIDTH)
     for r in counts:
         df[r["g"]] = r["n"]
@@ -93,12 +93,12 @@ def fit(docs: DataFrame, train, id_col="doc_id", text_col="text", lang_col="lang
         share = F.when(F.col("lang") == lang, min(1.0, 1.3 * each / n)).otherwise(share)
 
     def vectors(batches):
-        for b in batches:
+        for b in sliced(batches):
             for start, part in chunks(b.column(0).to_pylist()):
                 x = gram_counts(part).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(start, len(part)), b.column(2).slice(start, len(part)), pa.array([v.tobytes() for v in x])], ["lang", "u", "v"])
 
-    sample = rows.filter(F.col("u") < share).mapInArrow(vectors, "lang string, u double, v binary").toPandas()
+    sample = rows.filter(F.col("u") < share).mapInArrow(frugal(vectors), "lang string, u double, v binary").toPandas()
     rng, centres, langs, least = np.random.default_rng(seed), [], [], []
     for lang, group in sorted(sample.groupby("lang")):
         group = group.sort_values(["u", "v"], kind="stable").head(each)
@@ -118,7 +118,7 @@ def predict(docs: DataFrame, model: dict, fold, id_col="doc_id", text_col="text"
 
     def run(batches):
         names, centres, idf, least = model["langs"], model["centres"], model["idf"], model["least"]
-        for b in batches:
+        for b in sliced(batches):
             texts = [t or "" for t in b.column(2).to_pylist()]
             lang, score, far = [], [], []
             for _, part in chunks(texts):
@@ -133,7 +133,7 @@ def predict(docs: DataFrame, model: dict, fold, id_col="doc_id", text_col="text"
                 far += [not k or bool(t < least[j]) for j, k, t in zip(best, known, top, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(far, pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), fold.alias("held_out"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), fold.alias("held_out"), F.col(text_col).alias("text")).mapInArrow(frugal(run), schema)
 
 
 def identify(docs: DataFrame, modulus: int = 3, rest: int = 1, id_col="doc_id", text_col="text", lang_col="lang") -> DataFrame:

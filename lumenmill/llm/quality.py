@@ -25,11 +25,12 @@ import operator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import held_out, seeded_hash, sliced
+from .common import frugal, held_out, seeded_hash, sliced
 from .textmath import COMMON, DIGIT, LINE, LOWER, SPACE, SYMBOL, UPPER, char_classes, chunks, points
 
 #: Bounds of the fitting sample.
@@ -134,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, train, id_col="doc_id", text_col="te
     other = rows.select("text", (seeded_hash("unlabelled", F.col("doc_id")) / float(2**60)).alias("u")).filter(F.col("u") < min(1.0, UNLABELLED / total))
 
     def drawn(df, most):
-        found = df.select("text", "u").mapInArrow(_measured, "u double, x array<double>").toPandas()
+        found = df.select("text", "u").mapInArrow(frugal(_measured), "u double, x array<double>").toPandas()
         x = np.array(found["x"].tolist(), float).reshape(-1, FEATURES)
         return x[np.lexsort([*x.T, found["u"].to_numpy()])][: most + most // 8]
 
@@ -147,24 +148,26 @@ def fit(docs: DataFrame, labels: DataFrame, train, id_col="doc_id", text_col="te
 
 
 def score(docs: DataFrame, model: dict, fold, id_col="doc_id", text_col="text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Scores of all documents; ``keep`` carries further columns through."""
+    """Scores of all documents; ``keep`` carries further columns through (the text once, if it is one of them)."""
     carried = docs.select(*keep).schema if keep else None
     schema = StructType().add("doc_id", "long").add("held_out", "boolean").add("score", "double").add("predicted", "integer")
+    inside = text_col in keep
 
     def run(batches):
         weights = model["weights"]
         for b in sliced(batches):
-            texts = [t or "" for t in b.column(2).to_pylist()]
+            texts = [t or "" for t in (pc.struct_field(b.column(2), text_col) if inside else b.column(2)).to_pylist()]
             if weights is None:
                 s = np.full(len(texts), model["prior"])
             else:
                 x = np.clip((statistics(texts) - model["middle"]) / model["scale"], -6, 6)
                 s = 1 / (1 + np.exp(-np.clip(margin(x, weights), -30, 30)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32)), *([b.column(3)] if carried else [])], ["doc_id", "held_out", "score", "predicted", *(["kept"] if carried else [])])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32)), *([b.columns[-1]] if carried else [])], ["doc_id", "held_out", "score", "predicted", *(["kept"] if carried else [])])
 
     if carried:
         schema = schema.add("kept", carried)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), fold.alias("held_out"), F.col(text_col).alias("text"), *([F.struct(*keep).alias("kept")] if keep else [])).mapInArrow(run, schema)
+    columns = [*([] if inside else [F.col(text_col).alias("text")]), *([F.struct(*keep).alias("kept")] if keep else [])]
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), fold.alias("held_out"), *columns).mapInArrow(frugal(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, modulus: int = 3, rest: int = 1, id_col="doc_id", text_col="text", label_col="quality", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, held_out, seeded_hash
+from .common import Scratch, frugal, held_out, seeded_hash, sliced
 from .textmath import chunks, latin_letters, points
 
 ORDER, SYMBOLS = 4, 27
@@ -190,7 +190,7 @@ def letter_counts(docs: DataFrame, text_col: str) -> np.ndarray:
 
     def count(batches):
         total = np.zeros(TABLE, np.int64)
-        for b in batches:
+        for b in sliced(batches):
             for _, part in chunks([t or "" for t in b.column(0).to_pylist()], rows=4096):
                 at, _ = points(part)
                 c = latin_letters()[at].astype(np.int32)
@@ -208,7 +208,7 @@ def letter_counts(docs: DataFrame, text_col: str) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["g", "n"])
 
-    found = docs.select(F.col(text_col)).mapInArrow(count, "g int, n long").groupBy("g").agg(F.sum("n").alias("n")).toPandas()
+    found = docs.select(F.col(text_col)).mapInArrow(frugal(count), "g int, n long").groupBy("g").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(TABLE)
     out[found["g"].to_numpy(int)] = found["n"].to_numpy(float)
     return out
@@ -256,13 +256,13 @@ def fit(docs: DataFrame, labels: DataFrame, train, id_col="doc_id", text_col="te
 
     def features(batches):
         restorer = Restorer(model)
-        for b in batches:
+        for b in sliced(batches):
             ids = [np.array(sorted(restorer.features(t or "")), np.int32).tobytes() for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(ids, pa.binary())], ["y", "ids"])
 
     def counts(batches):
         yes, every = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
-        for b in batches:
+        for b in sliced(batches):
             for y, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 at = np.frombuffer(ids, np.int32)
                 every[at] += 1
@@ -271,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, train, id_col="doc_id", text_col="te
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(yes[some]), pa.array(every[some])], ["slot", "yes", "n"])
 
     # features stay on the executors until those that count are known
-    table = Scratch(docs.sparkSession, "toxicity").keep(chosen.select("text", "y").mapInArrow(features, "y int, ids binary"), "features")
+    table = Scratch(docs.sparkSession, "toxicity").keep(chosen.select("text", "y").mapInArrow(frugal(features), "y int, ids binary"), "features")
     n, ones = table.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not ones or ones == n:
         return {"model": model, "ids": [], "weights": [], "bias": -4.0}
@@ -283,7 +283,7 @@ def fit(docs: DataFrame, labels: DataFrame, train, id_col="doc_id", text_col="te
     able = np.sort(slot[able[np.lexsort((slot[able], -evidence[able] * yes[able]))][:KEPT]])
 
     def counted(batches):
-        for b in batches:
+        for b in sliced(batches):
             ids = [np.intersect1d(np.frombuffer(v, np.int32), able, assume_unique=True).astype(np.int32).tobytes() for v in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["y", "ids"])
 
@@ -301,12 +301,12 @@ def score(docs: DataFrame, fitted: dict, fold, id_col="doc_id", text_col="text")
     def run(batches):
         weight = dict(zip(fitted["ids"], fitted["weights"], strict=True))
         restorer = Restorer(fitted["model"], set(weight))
-        for b in batches:
+        for b in sliced(batches):
             z = [fitted["bias"] + sum(weight[k] for k in sorted(restorer.features(t or ""))) for t in b.column(2).to_pylist()]
             s = 1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), fold.alias("held_out"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), fold.alias("held_out"), F.col(text_col).alias("text")).mapInArrow(frugal(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def classify(docs: DataFrame, labels: DataFrame, modulus: int = 5, rest: int = 0, id_col="doc_id", text_col="text", label_col="toxic") -> DataFrame:
