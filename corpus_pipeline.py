@@ -59,7 +59,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, in training order."""
     ship(spark)
-    taken = mixing.mix(docs, keep=tuple(docs.columns)).filter("taken > 0")
+    taken = mixing.mix(docs, keep=tuple(docs.columns), ordered=False).filter("taken > 0")
     due = F.explode(F.array_compact(F.array("position", "second_position"))).alias("_due")
     return taken.select("_kept", due).orderBy("_due", "_kept.doc_id").select("_kept.*")
 

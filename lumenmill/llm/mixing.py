@@ -51,10 +51,12 @@ def targets(sizes: DataFrame, weights=WEIGHTS, slopes=SLOPES, budget: float = BU
     return table.select("_src", "source_size", F.when(F.col("_full"), F.col("_cap")).otherwise(F.least(level * F.col("_w"), F.col("_cap"))).alias("target"), pick(slopes, F.col("_n")).alias("_a"))
 
 
-def mix(docs: DataFrame, seed: str = "mix-0", buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, slopes=SLOPES, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, seed: str = "mix-0", buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, slopes=SLOPES, keep: tuple[str, ...] = (), ordered: bool = True) -> DataFrame:
     """One row per document with the words taken and its training positions.
 
-    ``keep`` names further columns to carry (the pipeline's documents).
+    ``keep`` names further columns to carry (the pipeline's documents). The
+    result is range-sorted by position; callers that repeat rows and sort them
+    themselves leave that out (``ordered``).
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
     carried = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None).cast("string")
@@ -77,4 +79,4 @@ def mix(docs: DataFrame, seed: str = "mix-0", buckets: int = BUCKETS, id_col: st
 
     copies = due(0).cast("int") + due(1).cast("int")
     out = placed.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), position(0).alias("position"), position(1).alias("second_position"), *(["_kept"] if keep else []))
-    return out.orderBy(F.col("position").asc_nulls_last(), seeded_hash(seed, F.col("doc_id")))
+    return out if not ordered else out.orderBy(F.col("position").asc_nulls_last(), seeded_hash(seed, F.col("doc_id")))

@@ -64,7 +64,7 @@ FREQUENT, SHARE = 64, 4000
 #: Most common words whose counts rank the shingles.
 WORDS = 1 << 16
 #: Most holders of a shingle whose pairs across groups are written out; most shared prefix shingles asked for.
-GROUP, MOST_MATCHES = 40, 6
+GROUP, MOST_MATCHES = 16, 6
 #: Digests that a task remembers.
 MEMO = 200_000
 #: Orders by which groups choose their leaders: groups that share members then share leaders.
@@ -72,7 +72,7 @@ LEADERS = 16
 #: Expected probes of a document above which it asks for a second shared shingle; each doubling asks for one more.
 PROBES = 8
 #: Sets and shingles of a block in which links are counted, about; columns of a product.
-BLOCK, BLOCK_SHINGLES, COLUMNS = 2048, 1 << 19, 2048
+BLOCK, BLOCK_SHINGLES, COLUMNS = 1024, 1 << 18, 1024
 
 
 def prefix_length(n, matches):
@@ -258,14 +258,18 @@ def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
         held = np.zeros((len(sets), min(COLUMNS, int(some.sum()) - first)), np.float32)
         held[row[a:b], col[a:b] - first] = 1
         out += held[left] @ held[right].T
-    return out.astype(np.int64)
+    return out
 
 
 def _linking(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Whether the sets at ``left`` link with those at ``right``; nothing links with itself."""
     size = np.array([len(x) for x in sets], np.int64)
-    common = _shared(sets, left, right)
-    return (WHOLE * common >= PART * (size[left][:, None] + size[right] - common)) & (left[:, None] != right)
+    shared, out = _shared(sets, left, right), np.empty((len(left), len(right)), bool)
+    for k in range(0, len(left), 128):
+        common = shared[k : k + 128].astype(np.int64)
+        out[k : k + 128] = WHOLE * common >= PART * (size[left[k : k + 128]][:, None] + size[right] - common)
+    out[left[:, None] == right] = False
+    return out
 
 
 def _across(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -392,20 +396,22 @@ def _completed(shared: DataFrame, parts: DataFrame, classes: DataFrame, scratch:
     holders = (F.count("*").alias("size"), F.struct(F.min("node"), F.max("node"), F.sum(F.shiftright(F.xxhash64("node"), 32))).alias("who"))
     split = placed.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q"), *holders).filter("p <> q")
     split = scratch.keep(split.select("token", "size", "who"), "split")
-    still = placed.join(split.filter(F.col("size") <= GROUP).select("token"), "token").join(classes.select("node", "n", "matches"), "node")
-    left = still.select("token", F.col("node").alias("a"), F.col("n").alias("m"), F.col("part").alias("o"), F.col("matches").alias("asked"))
+    # shingles with the same holders are one, with their number
+    once = split.groupBy("size", "who").agg(F.min("token").alias("token"), F.count("*").alias("times")).drop("who")
+    once = scratch.keep(once, "once")
+    still = placed.join(once.filter(F.col("size") <= GROUP).select("token", "times"), "token").join(classes.select("node", "n", "matches"), "node")
+    left = still.select("token", "times", F.col("node").alias("a"), F.col("n").alias("m"), F.col("part").alias("o"), F.col("matches").alias("asked"))
     right = still.select(F.col("token").alias("_token"), F.col("node").alias("b"), "n", "part", "matches")
     alike = F.least("m", "n") * WHOLE >= F.greatest("m", "n") * PART
     met = left.join(right, (F.col("token") == F.col("_token")) & (F.col("a") < F.col("b")) & (F.col("o") != F.col("part")) & alike)
     # a pair that shares no shingle of many holders has all its shared ones counted here; any other is compared there
-    pairs = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.min(F.least("asked", "matches")).alias("need")).filter("c >= need").select("a", "b")
+    pairs = met.groupBy("a", "b").agg(F.sum("times").alias("c"), F.min(F.least("asked", "matches")).alias("need")).filter("c >= need").select("a", "b")
     found = _allowed(pairs, classes)
-    large = split.filter(F.col("size") > GROUP)
+    large = once.filter(F.col("size") > GROUP)
     if large.first() is None:
         return found
-    # the same holders meet once
-    once = large.groupBy("size", "who").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("k"))
-    rows = placed.join(once, "token").withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    large = large.select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("k"))
+    rows = placed.join(large, "token").withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     rows = rows.select("token", "node", "part", "block", _meetings(F.col("block"))).join(classes.select("node", "n", "bits"), "node").select("token", "at.lo", "at.hi", "node", "part", "block", "n", "bits")
     return found.unionByName(rows.groupBy("token", "lo", "hi").applyInArrow(_across, "a long, b long"))
 
@@ -446,7 +452,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     more = scratch.keep(_completed(shared, parts, classes, scratch), "across")
     if more.first() is not None:
         parts = scratch.keep(components(near.unionByName(more), scratch), "parts")
-    scratch.drop("shared", "often", "placed", "split", "across", "stars")
+    scratch.drop("shared", "often", "placed", "split", "once", "across", "stars")
     only, several = _documents(rows, scratch)
     found = _links(classes, parts, only, several, texts, scratch, rarity)
     near, extra = _link_counts(found, only, several, scratch)

@@ -50,9 +50,9 @@ from .shingles import BASE, mix
 LENGTH, K = 200, 32
 SPAN = LENGTH - K + 1
 #: Bytes that are hashed at once, and distinct bytes of one index.
-SLICE, INDEX = 1 << 19, 1 << 20
+SLICE, INDEX = 1 << 19, 1 << 19
 #: Distinct bytes of one gram's fragments above which its strings meet by hash.
-DENSE = 1 << 21
+DENSE = 1 << 20
 #: Bytes of strings' hashes that meet in one bucket, about.
 BUCKET = 16 << 20
 #: Bytes between the starts of streams through a long fragment.
