@@ -30,6 +30,23 @@ def spanning(link: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> n
     return np.array(out, np.int64).reshape(-1, 2)
 
 
+def spanning_pairs(tree: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of the edges a - b those that join two trees, in turn; ``tree`` names each node's tree and is brought up to date."""
+    out = []
+    while len(a):
+        # an edge for each pair of trees, then those joined in turn
+        apart = tree[a] != tree[b]
+        a, b = a[apart], b[apart]
+        _, first = np.unique(np.stack([tree[a], tree[b]], 1), axis=0, return_index=True)
+        a, b = a[first], b[first]
+        for x, y in zip(a[:64].tolist(), b[:64].tolist(), strict=True):
+            if tree[x] != tree[y]:
+                out.append((x, y))
+                tree[tree == tree[y]] = tree[x]
+        a, b = a[64:], b[64:]
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
 def _state(edges: DataFrame) -> tuple:
     r = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first()
     return r[0], r[1]

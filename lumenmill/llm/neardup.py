@@ -1,11 +1,18 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
-Reference points (pivots), no two of them close, are drawn from the vectors; each vector is described
-by its nearest pivots in order. An inverted list per pivot holds the vectors
-that name it. Two vectors are candidates if their descriptions share at least
-``SHARED`` pivots; a candidate pair is verified by cosine in double precision,
-once, in the list of the smallest pivot the two share. The number of pivots
-grows with the square root of the number of vectors, up to a bound.
+Reference points (pivots), no two of them close, are drawn from the vectors; each
+vector is described by its nearest pivots. An inverted list per pivot holds the
+vectors that name it. Two vectors are candidates if their descriptions share at
+least ``SHARED`` pivots; a candidate pair is verified by cosine in double
+precision. The number of pivots grows with the square root of the number of
+vectors, up to a bound (their matrix is sent to all tasks).
+
+Pivots are ranked by the lengths of their lists, rare ones first. Of k pivots a
+vector enters the lists of its k - SHARED + 1 rarest only: two descriptions that
+share SHARED pivots have the rarest of these in both. In a list the numbers of
+shared pivots are counted first (bounded from above by bitmaps, then exactly, for
+pairs whose rarest shared pivot is the list's own); only pairs with enough of
+them are verified.
 
 Equal vectors are one class with a weight, so copies cost nothing. A list too
 long for one task is cut into blocks, and every pair of its blocks is one task.
@@ -25,27 +32,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
-from .components import components
-from .vectors import packed, stacked, unit
+from .common import Scratch, frugal
+from .components import components, spanning_pairs
+from .vectors import component, packed, stacked, unit
 
 THRESHOLD = 0.9
 #: Pivots of a description, and how many a pair must share.
-NEAREST, SHARED = 10, 2
+NEAREST, SHARED = 10, 4
 #: Pivots per square root of the number of vectors; bounds of their number.
 DENSITY, FEWEST, MOST = 3.0, 32, 16_384
 #: Pivots are farther from each other than this cosine.
 APART = 0.7
 #: Vectors of a list in one block, and of one product.
-BLOCK, TILE = 8192, 1024
+BLOCK, TILE = 8192, 512
 
 
-def choose_pivots(classes: DataFrame, total: int, width: int) -> np.ndarray:
+def choose_pivots(classes: DataFrame, total: int, width: int, kind: type = np.float64) -> np.ndarray:
     """Unit vectors drawn by their digest: the same ones in every run."""
     wanted = int(np.clip(DENSITY * total**0.5, FEWEST, MOST))
     u = F.pmod(F.xxhash64("digest"), F.lit(1 << 30)) / float(1 << 30)
     found = classes.select("digest", "v", u.alias("u")).filter(F.col("u") < min(1.0, 1.5 * wanted / max(1, total))).orderBy("u", "digest").limit(wanted).toPandas()
-    return apart(unit(stacked(list(found["v"]), width)).astype(np.float32))
+    return apart(unit(stacked(list(found["v"]), width, kind)).astype(np.float32))
 
 
 def apart(x: np.ndarray, most: float = APART) -> np.ndarray:
@@ -63,13 +70,13 @@ def apart(x: np.ndarray, most: float = APART) -> np.ndarray:
     return kept
 
 
-def describe(classes: DataFrame, pivots: np.ndarray, width: int) -> DataFrame:
+def describe(classes: DataFrame, pivots: np.ndarray, width: int, kind: type = np.float64) -> DataFrame:
     """(rep, weight, v, near): the numbers of the nearest pivots, nearest first."""
 
     def run(batches):
         k = min(NEAREST, len(pivots))
         for b in batches:
-            x = unit(stacked(b.column(2).to_pylist(), width)).astype(np.float32)
+            x = unit(stacked(b.column(2).to_pylist(), width, kind)).astype(np.float32)
             near = []
             for s in range(0, len(x), TILE):
                 cosine = x[s : s + TILE] @ pivots.T
@@ -81,25 +88,26 @@ def describe(classes: DataFrame, pivots: np.ndarray, width: int) -> DataFrame:
     return classes.select("rep", "weight", "v").mapInArrow(run, "rep long, weight long, v binary, near array<int>")
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    root = list(range(n))
+def _listed(rank: np.ndarray, shared: int):
+    """Adds the lists that a vector enters; pivots are renamed by rank, rare ones first."""
+
+    def run(batches):
+        for b in batches:
+            near = [np.sort(rank[np.array(x)]) for x in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(near, pa.list_(pa.int32())), pa.array([x[: len(x) - shared + 1] for x in near], pa.list_(pa.int32()))], ["rep", "weight", "v", "near", "lists"])
+
+    return run
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
 
-    out = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        p, q = find(x), find(y)
-        if p != q:
-            root[q] = p
-            out.append((x, y))
-    return out
+def _bitmaps(near: np.ndarray) -> np.ndarray:
+    """256 bits of each description: no two share more pivots than bits."""
+    held = np.zeros((len(near), 256), np.uint8)
+    row, k = np.nonzero(near >= 0)
+    held[row, near[row, k] & 255] = 1
+    return np.packbits(held, axis=1).view(np.uint64)
 
 
-def _linked(width: int, threshold: float, shared: int):
+def _linked(width: int, threshold: float, shared: int, kind: type = np.float64):
     """For one list or pair of blocks: links' weights by vector, and a spanning forest."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -110,17 +118,22 @@ def _linked(width: int, threshold: float, shared: int):
         raw = table.column("v").to_pylist()
         raw = [raw[k] for k in order]
         sizes = np.array([len(v) for v in raw])
-        x = unit(stacked(raw, width))
-        single = x.astype(np.float32)
+        x = unit(stacked(raw, width, kind))
         near = np.full((len(rep), NEAREST), -1, np.int32)
         for i, k in enumerate(order.tolist()):
             own = table.column("near")[k].as_py()
             near[i, : len(own)] = own
+        bits = _bitmaps(near)
+        lost = (near >= 0).sum(axis=1) - np.bitwise_count(bits).sum(axis=1)
         total = np.zeros(len(rep), np.int64)
-        ones, others = [], []
+        tree, ones, others = np.arange(len(rep)), [], []
         for s in range(0, len(rep), TILE):
             for t in range(s, len(rep), TILE):
-                i, j = np.nonzero(single[s : s + TILE] @ single[t : t + TILE].T >= threshold - 1e-3)
+                most = np.zeros((len(bits[s : s + TILE]), len(bits[t : t + TILE])), np.uint8)
+                for k in range(4):
+                    most += np.bitwise_count(bits[s : s + TILE, None, k] & bits[None, t : t + TILE, k])
+                most = most + np.minimum(lost[s : s + TILE, None], lost[None, t : t + TILE])
+                i, j = np.nonzero(most >= shared)
                 i, j = i + s, j + t
                 some = (i < j) & (sizes[i] == sizes[j])
                 if first != second:
@@ -136,9 +149,9 @@ def _linked(width: int, threshold: float, shared: int):
                     a, b = a[true], b[true]
                     np.add.at(total, a, weight[b])
                     np.add.at(total, b, weight[a])
-                    forest = _forest(len(rep), a, b)
-                    ones += [p for p, _ in forest]
-                    others += [q for _, q in forest]
+                    joined = spanning_pairs(tree, a, b)
+                    ones += joined[:, 0].tolist()
+                    others += joined[:, 1].tolist()
         some = np.flatnonzero(total)
         ids = np.concatenate([rep[some], rep[ones] if ones else rep[:0]])
         to = np.concatenate([rep[some], rep[others] if others else rep[:0]])
@@ -156,20 +169,26 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     sizes = usable.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
     classes = scratch.keep(usable.join(sizes, "digest").filter(F.col("vec_id").eqNullSafe(F.col("rep"))).dropDuplicates(["digest"]).select("digest", "rep", "weight", "v"), "classes")
     found = classes.agg(F.count("*"), F.max(F.octet_length("v"))).first()
-    total, width = found[0], (found[1] or 8) // 8
+    kind = component(vectors, vector_col)
+    total, width = found[0], max(1, (found[1] or 0) // np.dtype(kind).itemsize)
     # classes whose ids are all null have no name to link by
     named = classes.filter("rep is not null")
     if total > 1:
-        pivots = choose_pivots(named, total, width)
-        described = scratch.keep(describe(named, pivots, width), "described")
-        listed = described.withColumn("pivot", F.explode("near"))
-        length = {r["pivot"]: r["count"] for r in listed.groupBy("pivot").count().filter(f"count > {BLOCK}").collect()}
-        blocks = F.lit(1)
-        for pivot, n in sorted(length.items()):
-            blocks = F.when(F.col("pivot") == pivot, -(-n // BLOCK)).otherwise(blocks)
-        listed = listed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        pivots = choose_pivots(named, total, width, kind)
+        shared = min(SHARED, len(pivots))
+        described = scratch.keep(describe(named, pivots, width, kind), "described")
+        # at most MOST counts come to the driver
+        named_by = np.zeros(len(pivots), np.int64)
+        for r in described.select(F.explode("near").alias("pivot")).groupBy("pivot").count().collect():
+            named_by[r["pivot"]] = r["count"]
+        rank = np.empty(len(pivots), np.int32)
+        rank[np.argsort(named_by, kind="stable")] = np.arange(len(pivots))
+        listed = described.mapInArrow(frugal(_listed(rank, shared)), "rep long, weight long, v binary, near array<int>, lists array<int>").withColumn("pivot", F.explode("lists")).drop("lists")
+        length = listed.groupBy("pivot").count().filter(f"count > {BLOCK}").select("pivot", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+        listed = listed.join(F.broadcast(length), "pivot", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))  # a row for each pivot at most
+        listed = listed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         paired = listed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("pivot", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "rep", "weight", "v", "near")
-        links = scratch.keep(paired.groupBy("pivot", "p", "q").applyInArrow(_linked(width, threshold, min(SHARED, len(pivots))), "a long, b long, links long"), "links")
+        links = scratch.keep(paired.groupBy("pivot", "p", "q").applyInArrow(_linked(width, threshold, shared, kind), "a long, b long, links long"), "links")
     else:
         links = vectors.sparkSession.createDataFrame([], "a long, b long, links long")
     degree = links.filter("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))

@@ -10,19 +10,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def component(vectors: DataFrame, vector_col: str) -> type:
+    """The type that holds the column's components exactly: single precision for arrays of floats."""
+    return np.float32 if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else np.float64
+
+
 def packed(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, digest, v): v holds the doubles of a usable vector, else it is null.
+    """(vec_id, digest, v): v holds the components of a usable vector, else it is null.
 
     Usable: not null, not empty or zero, no null or non-finite component.
     """
 
+    kind = component(vectors, vector_col)
+
     def run(batches):
         for b in batches:
             digests, values = [], []
             for x in b.column(1).to_pylist():
                 v = None
                 if x and None not in x:
-                    a = np.array(x, np.float64)
+                    a = np.array(x, kind)
                     if np.isfinite(a).all() and a.any():
                         v = (a + 0.0).tobytes()
                 values.append(v)
@@ -32,11 +39,11 @@ def packed(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("x")).mapInArrow(run, "vec_id long, digest binary, v binary")
 
 
-def stacked(values, width: int) -> np.ndarray:
-    """Packed vectors as rows, shorter ones filled with zeros, longer ones cut (see callers)."""
+def stacked(values, width: int, kind: type = np.float64) -> np.ndarray:
+    """Packed vectors as rows of doubles, shorter ones filled with zeros, longer ones cut (see callers)."""
     out = np.zeros((len(values), width))
     for k, v in enumerate(values):
-        a = np.frombuffer(v, np.float64)[:width]
+        a = np.frombuffer(v, kind)[:width]
         out[k, : len(a)] = a
     return out
 
