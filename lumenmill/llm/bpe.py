@@ -25,22 +25,56 @@ import functools
 import hashlib
 import json
 import math
+import re
 import unicodedata
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import frugal, sliced
 
-#: Entries in a worker's memo of chunks; it is emptied when full.
-MEMO = 150_000
+#: Entries in each of the two generations of a worker's memo of words and chunks, and the longest that it holds.
+MEMO, MEMO_LENGTH = 200_000, 64
 #: Unicode white space (White_Space=yes).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
+#: Capitals that the library makes small though Python doesn't know them yet (first, last, distance).
+NEWER = [(0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B)]
+CAPITALS = {k: chr(k + by) for first, last, by in NEWER for k in range(first, last + 1)}
+CAPITAL = re.compile("[" + "".join(map(chr, CAPITALS)) + "]")
+#: Code points beyond which there are no letters or numbers.
+LETTERS_END = 0x32400
+
+
+#: Letters and numbers of Unicode 16, which the library knows and Python's tables (15.1) don't.
+NEWER_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CC, 0xA7CD), (0xA7DA, 0xA7DB), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+NEWER_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+
+
+def _class(kind: str, newer: list[tuple[int, int]]) -> str:
+    """Ranges of the code points of a general category, for a pattern's brackets."""
+    edges, last = [], False
+    for k in range(LETTERS_END + 1):
+        held = k < LETTERS_END and unicodedata.category(chr(k))[0] == kind
+        if held != last:
+            edges.append(k)
+            last = held
+    ranges = [(a, b - 1) for a, b in zip(edges[::2], edges[1::2], strict=True)] + newer
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges)
+
+
+@functools.cache
+def word_pattern() -> re.Pattern:
+    letters, numbers = _class("L", NEWER_LETTERS), _class("N", NEWER_NUMBERS)
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{SPACE}{letters}{numbers}]+")
+
+
 #: What str.split() takes for white space though Unicode doesn't.
-ODD = regex.compile(r"[\x1c-\x1f]")
+ODD = re.compile(r"[\x1c-\x1f]")
 END = "</w>"
 
 
@@ -166,7 +200,7 @@ class Vocabulary:
     def encode_word(self, word: str) -> list[int]:
         """Token numbers (merge ranks, not ids) of one pre-tokenised word."""
         data = word.encode()
-        step, link, size, chain, compatible = self.step, self.link, self.size, self.chain, self.compatible
+        step, link, size, chain, compatible, pairs = self.step, self.link, self.size, self.chain, self.compatible, self.pairs
         last = [-1] * (len(data) + 1)
         back = [0] * (len(data) + 1)
         state = length = 0
@@ -180,7 +214,11 @@ class Vocabulary:
             state, length = step[state][c], length + 1
             for n, t in chain[state]:
                 j = i + 1 - n
-                if n <= length and (not j or compatible(last[j], t)):
+                if n <= length:
+                    if j:
+                        fits = pairs.get(last[j] << 20 | t)
+                        if not (compatible(last[j], t) if fits is None else fits):
+                            continue
                     last[i + 1], back[i + 1] = t, j
                     break
         out, i = [], len(data)
@@ -195,30 +233,29 @@ class Encoder:
 
     def __init__(self, path: str):
         self.v = Vocabulary(path)
-        self.split = regex.compile("(" + "|".join(map(regex.escape, self.v.special)) + ")") if self.v.special else None
+        self.split = re.compile("(" + "|".join(map(re.escape, self.v.special)) + ")") if self.v.special else None
+        self.pattern = word_pattern()
         self.memo: dict[str, tuple[str, str]] = {}
-        self.words: dict[str, tuple[str, str]] = {}
+        self.older: dict[str, tuple[str, str]] = {}
 
     def _word(self, w: str) -> tuple[str, str]:
-        found = self.words.get(w)
-        if found is None:
-            tokens = self.v.encode_word(w)
-            found = " ".join([self.v.text_id[t] for t in tokens]), " ".join([self.v.names[t] for t in tokens])
-            if len(w) < 64:
-                if len(self.words) >= MEMO:
-                    self.words.clear()
-                self.words[w] = found
-        return found
+        tokens = self.v.encode_word(w)
+        return " ".join([self.v.text_id[t] for t in tokens]), " ".join([self.v.names[t] for t in tokens])
 
-    def _chunk(self, chunk: str) -> tuple[str, str]:
-        found = self.memo.get(chunk)
+    def _found(self, chunk: str, split: bool) -> tuple[str, str]:
+        """A chunk between spaces, or a word of one (a chunk that is one word is the same to the memo)."""
+        found = self.memo.get(chunk) or self.older.get(chunk)
         if found is None:
-            both = [self._word(w) for w in WORD.findall(chunk)]
-            found = " ".join([x[0] for x in both]), " ".join([x[1] for x in both])
-            if len(chunk) < 64:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[chunk] = found
+            words = self.pattern.findall(chunk) if split else [chunk]
+            if len(words) == 1:
+                found = self._word(words[0])
+            else:
+                both = [self._found(w, False) for w in words]
+                found = " ".join([x[0] for x in both]), " ".join([x[1] for x in both])
+        if len(chunk) < MEMO_LENGTH:
+            if len(self.memo) >= MEMO:  # what is met again moves to the newer generation, the rest is forgotten
+                self.older, self.memo = self.memo, {}
+            self.memo[chunk] = found
         return found
 
     def encode(self, text: str) -> tuple[str, str]:
@@ -230,10 +267,11 @@ class Encoder:
             elif part:
                 if not part.isascii():
                     part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # lower case letter by letter
+                    if CAPITAL.search(part):
+                        part = part.translate(CAPITALS)
                 part = part.lower()
                 chunks = [part] if ODD.search(part) else part.split()
-                memo = self.memo
-                found += [memo.get(c) or self._chunk(c) for c in chunks]
+                found += [self.memo.get(c) or self._found(c, True) for c in chunks]
         return " ".join([x[0] for x in found if x[0]]), " ".join([x[1] for x in found if x[0]])
 
 

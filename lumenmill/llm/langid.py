@@ -71,7 +71,7 @@ def cluster(x: np.ndarray, k: int, rng, rounds: int = 12) -> np.ndarray:
 
 def fit(docs: DataFrame, train, id_col="doc_id", text_col="text", lang_col="lang", seed: int = 0) -> dict:
     """Idf, centroids, their languages and rejection cosines."""
-    rows = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), (seeded_hash("langid", F.col(id_col)) / float(2**60)).alias("u"))
+    rows = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), (seeded_hash("langid", F.col(id_col), F.xxhash64(text_col)) / float(2**60)).alias("u"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
 
     def frequencies(batches):

@@ -13,8 +13,8 @@ in seeded random order until the target is met, so a document is taken whole
 0, 1 or 2 times and a source misses its target by less than one document. The
 result is range-sorted by training position.
 
-Places within a source come from per-bucket totals, so a source with a third of
-all rows never meets in one task.
+Places within a source come from totals of buckets by a hash of id and text, so
+neither a source nor an id (or null) with a third of all rows meets in one task.
 
 Cases: an empty table gives no rows; null or wordless texts have size 0 and are
 never taken; null sources form one source; null ids and repeated rows are
@@ -60,8 +60,8 @@ def mix(docs: DataFrame, seed: str = "mix-0", buckets: int = BUCKETS, id_col: st
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
     carried = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("_s"), size.alias("size"), carried.alias("_kept"))
-    rows = rows.withColumn("_src", F.coalesce(F.concat(F.lit("s"), F.col("_s")), F.lit("t"))).withColumn("_h", seeded_hash(seed, F.col("doc_id")))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("_s"), size.alias("size"), F.md5(F.col(text_col).cast("binary")).alias("_u"), carried.alias("_kept"))
+    rows = rows.withColumn("_src", F.coalesce(F.concat(F.lit("s"), F.col("_s")), F.lit("t"))).withColumn("_h", seeded_hash(seed, F.col("doc_id"), F.col("size"), F.col("_u"))).drop("_u")
     rows = rows.withColumn("_b", F.floor(F.col("_h") / F.lit(float(2**HASH_BITS)) * buckets).cast("int"))
     if not keep:  # texts are read once: what follows needs their sizes alone
         rows = Scratch(docs.sparkSession, "mix").keep(rows.drop("_kept", "_s"), "sizes")

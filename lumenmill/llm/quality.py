@@ -7,15 +7,18 @@ p the non-negative unbiased risk
     p E_P[l(g)] + max(0, E_U[l(-g)] - p E_P[l(-g)]),   l(z) = 1 / (1 + e^z)
 
 is minimised by gradient steps; where the second term falls below zero its
-gradient is reversed. The prior is the share of good ones among all labelled
-training documents. The scorer is a small network over whole-text statistics
+gradient is reversed. The prior is estimated from positives and unlabelled text
+alone: a scorer that tells one from the other is fitted on half of both; on the
+other halves, of the cuts above which half of the positives or more lie, the
+one with the fewest unlabelled documents for each positive tells the largest
+share of positives that the unlabelled can have. The scorer is a small network over whole-text statistics
 (letter classes, repetition of words and lines, symbols at word ends).
 
 Both samples the network is fitted on are bounded (``POSITIVES``,
-``UNLABELLED``), drawn by a hash of the id; the prior counts all labels.
+``UNLABELLED``), drawn by a hash of id and text.
 
 Cases: null and empty texts are scored like any other (all statistics 0);
-without positives every score is the prior; long texts count whole; repeated
+without positives every score is 0; long texts count whole; repeated
 rows, null ids and other columns don't matter.
 """
 
@@ -76,13 +79,13 @@ def statistics(texts: list[str]) -> np.ndarray:
     return out
 
 
-def minimise(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 0) -> list[np.ndarray]:
-    """Weights of the network with the least non-negative unbiased risk found (Adam)."""
+def minimise(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, seed: int = 0, rounds: int = ROUNDS) -> list[np.ndarray]:
+    """Weights of the network with the least non-negative unbiased risk found (Adam); without a prior, of one that tells the samples apart."""
     rng = np.random.default_rng(seed)
     d = positive.shape[1]
     weights = [rng.normal(0, d**-0.5, (d, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)]
     first, second, t = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
-    for _ in range(ROUNDS):
+    for _ in range(rounds):
         order = rng.permutation(len(unlabelled))
         for start in range(0, len(order), BATCH):
             u, p = unlabelled[order[start : start + BATCH]], positive[rng.integers(len(positive), size=BATCH)]
@@ -92,13 +95,16 @@ def minimise(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: i
             loss = 1 / (1 + np.exp(g))  # l(g); l(-g) is 1 - l(g), and their slopes are -s and s
             s = loss * (1 - loss)
             own, others = slice(0, len(p)), slice(len(p), None)
-            rest = (1 - loss[others]).mean() - prior * (1 - loss[own]).mean()
             slope = np.zeros(len(x))
-            if rest >= 0:
-                slope[own] = -prior * s[own] / len(p)
-            sign = 1 if rest >= 0 else -1
-            slope[others] += sign * s[others] / len(u)
-            slope[own] -= sign * prior * s[own] / len(p)
+            if prior is None:
+                slope[own], slope[others] = -s[own] / len(p), s[others] / len(u)
+            else:
+                rest = (1 - loss[others]).mean() - prior * (1 - loss[own]).mean()
+                if rest >= 0:
+                    slope[own] = -prior * s[own] / len(p)
+                sign = 1 if rest >= 0 else -1
+                slope[others] += sign * s[others] / len(u)
+                slope[own] -= sign * prior * s[own] / len(p)
             back = np.outer(slope, weights[2]) * (1 - h * h)
             grads = [x.T @ back, back.sum(axis=0), h.T @ slope, np.array([slope.sum()])]
             t += 1
@@ -114,6 +120,20 @@ def margin(x: np.ndarray, weights: list[np.ndarray]) -> np.ndarray:
     return np.tanh(x @ weights[0] + weights[1]) @ weights[2] + weights[3]
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 0) -> float:
+    """Share of positives in the unlabelled rows, from the rows alone (mixture proportion estimation by a scorer's cuts)."""
+    rng = np.random.default_rng(seed)
+    positive, unlabelled = positive[rng.permutation(len(positive))], unlabelled[rng.permutation(len(unlabelled))]
+    p, q = len(positive) // 2, len(unlabelled) // 2
+    if not p or not q:
+        return 0.5
+    weights = minimise(positive[:p], unlabelled[:q], None, seed, ROUNDS // 3)
+    good, any_ = np.sort(margin(positive[p:], weights)), np.sort(margin(unlabelled[q:], weights))
+    cuts = good[: len(good) - len(good) // 2]
+    above = lambda x: 1 - np.searchsorted(x, cuts, side="left") / len(x)
+    return float(np.clip((above(any_) / above(good)).min(), 0.02, 0.98))
+
+
 def _measured(batches):
     for b in sliced(batches):
         x = statistics([t or "" for t in b.column(0).to_pylist()])
@@ -122,17 +142,19 @@ def _measured(batches):
 
 def fit(docs: DataFrame, labels: DataFrame, train, id_col="doc_id", text_col="text", label_col="quality") -> dict:
     known = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter(train(F.col("doc_id")))
-    n = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    good, bad = n.get(1, 0), n.get(0, 0)
-    prior = (good + 1) / (good + bad + 2)
+    good = known.filter("y = 1").count()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter(train(F.col("doc_id")))
-    u = (seeded_hash("quality", F.col("doc_id")) / float(2**60)).alias("u")
     total = rows.count()
     if not good or not total:
-        return {"prior": prior, "weights": None}
+        return {"prior": 0.0, "weights": None}
     share = min(1.0, POSITIVES / good)
+    u = (seeded_hash("quality", F.col("doc_id")) / float(2**60)).alias("u")
     chosen = rows.select("doc_id", "text", u).filter(F.col("u") < share).join(known.filter("y = 1").select("doc_id", u).filter(F.col("u") < share).select("doc_id").distinct(), "doc_id")
-    other = rows.select("text", (seeded_hash("unlabelled", F.col("doc_id")) / float(2**60)).alias("u")).filter(F.col("u") < min(1.0, UNLABELLED / total))
+    # rows that repeat an id enter as often as the bound allows
+    found = chosen.count()
+    if found > 2 * POSITIVES:
+        chosen = chosen.filter(seeded_hash("quality-rows", F.col("doc_id"), F.xxhash64("text")) / float(2**60) < POSITIVES / found)
+    other = rows.select("text", (seeded_hash("unlabelled", F.col("doc_id"), F.xxhash64("text")) / float(2**60)).alias("u")).filter(F.col("u") < min(1.0, UNLABELLED / total))
 
     def drawn(df, most):
         found = df.select("text", "u").mapInArrow(frugal(_measured), "u double, x array<double>").toPandas()
@@ -141,9 +163,11 @@ def fit(docs: DataFrame, labels: DataFrame, train, id_col="doc_id", text_col="te
 
     p, q = drawn(chosen, POSITIVES), drawn(other, UNLABELLED)
     if not len(p) or not len(q):
-        return {"prior": prior, "weights": None}
+        return {"prior": 0.0, "weights": None}
     middle, scale = q.mean(axis=0), q.std(axis=0) + 1e-6
-    weights = minimise(np.clip((p - middle) / scale, -6, 6), np.clip((q - middle) / scale, -6, 6), prior)
+    p, q = (np.clip((x - middle) / scale, -6, 6) for x in (p, q))
+    prior = class_prior(p, q)
+    weights = minimise(p, q, prior)
     return {"prior": prior, "weights": weights, "middle": middle, "scale": scale}
 
 

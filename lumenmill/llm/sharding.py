@@ -8,7 +8,11 @@ row counts differ by one at most (law ``rows``).
 
 Neither sort happens in one task: a row's place is the number of rows in
 earlier hash buckets (a small aggregated table) plus its place in its own
-bucket, so a source with a third of all rows is spread over all buckets.
+bucket. Buckets come from a hash of id and text, so a source or an id (or null)
+with a third of all rows is spread over all of them.
+
+Groups of equal texts are not kept together under this law: their rows are spread
+like any others, as whole groups could not keep counts at most one apart.
 
 Cases: an empty table gives no rows; null ids, texts and sources are ordinary
 values (a null source is a stratum of its own, a null text has size 1 and a
@@ -33,7 +37,7 @@ def shard(docs: DataFrame, shards: int = 8, seed: str = "shard-0", buckets: int
         F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")).alias("_src"),
         (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.col(text_col).cast("binary")).alias("text_crc32"),
-    ).withColumn("_h", seeded_hash(seed, F.col("doc_id")))
+    ).withColumn("_h", seeded_hash(seed, F.col("doc_id"), F.col("text_crc32"), F.col("size")))
     rows = rows.withColumn("_b", F.floor(F.col("_h") / F.lit(float(2**HASH_BITS)) * buckets).cast("int"))
     before = prefix_totals(rows, ["_src"], "_b", F.lit(1))
     tie = ["_h", "doc_id", "text_crc32", "size"]

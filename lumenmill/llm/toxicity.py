@@ -15,8 +15,9 @@ classifier is a logistic regression on the restored words and word beginnings,
 fitted on a bounded, hash-drawn sample of labelled training documents.
 
 Cases: null and empty texts get the score of a text without evidence; texts of
-any length count whole; without labels every score is 0; repeated rows, null
-ids and other columns don't matter.
+any length count whole; without a toxic label every score is 0, and without one
+that says otherwise every score is 1; an id with several labels is toxic if one
+of them says so; repeated rows, null ids and other columns don't matter.
 """
 
 from __future__ import annotations
@@ -247,12 +248,16 @@ def threshold(z: np.ndarray, y: np.ndarray) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, train, id_col="doc_id", text_col="text", label_col="toxic") -> dict:
     model = LetterModel(letter_counts(docs, text_col))
-    known = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter(train(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    known = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter(train(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     total = known.count()
     u = (seeded_hash("toxicity", F.col("doc_id")) / float(2**60)).alias("u")
     share = min(1.0, SAMPLE / max(1, total))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).select("doc_id", "text", u).filter(F.col("u") < share)
     chosen = texts.join(known.select("doc_id", "y", u.alias("v")).filter(F.col("v") < share), "doc_id")
+    # rows that repeat an id enter as often as the bound allows
+    rows = chosen.count()
+    if rows > 2 * SAMPLE:
+        chosen = chosen.filter(seeded_hash("toxicity-rows", F.col("doc_id"), F.xxhash64("text")) / float(2**60) < SAMPLE / rows)
 
     def features(batches):
         restorer = Restorer(model)
@@ -274,7 +279,7 @@ def fit(docs: DataFrame, labels: DataFrame, train, id_col="doc_id", text_col="te
     table = Scratch(docs.sparkSession, "toxicity").keep(chosen.select("text", "y").mapInArrow(frugal(features), "y int, ids binary"), "features")
     n, ones = table.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not ones or ones == n:
-        return {"model": model, "ids": [], "weights": [], "bias": -4.0}
+        return {"model": model, "ids": [], "weights": [], "bias": math.inf if ones else -math.inf}
     slots = table.mapInArrow(counts, "slot long, yes long, n long").groupBy("slot").agg(F.sum("yes").alias("yes"), F.sum("n").alias("n")).filter(F.col("yes") >= LEAST).toPandas().sort_values("slot")
     slot, yes, every = (slots[c].to_numpy(np.int64) for c in ("slot", "yes", "n"))
     a, b = float(ones), float(n - ones)
@@ -303,7 +308,8 @@ def score(docs: DataFrame, fitted: dict, fold, id_col="doc_id", text_col="text")
         restorer = Restorer(fitted["model"], set(weight))
         for b in sliced(batches):
             z = [fitted["bias"] + sum(weight[k] for k in sorted(restorer.features(t or ""))) for t in b.column(2).to_pylist()]
-            s = 1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30)))
+            z = np.array(z, float)
+            s = np.where(np.isinf(z), z > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), fold.alias("held_out"), F.col(text_col).alias("text")).mapInArrow(frugal(run), "doc_id long, held_out boolean, score double, predicted int")
