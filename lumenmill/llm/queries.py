@@ -79,4 +79,85 @@ QUERIES = {
     "op10_prefix_bpe": op10_prefix_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+#: Every pair of documents by their shared shingles; reachability by links.
+OP1_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS row_no, CAST(doc_id AS BIGINT) AS doc_id,
+    coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents),
+sets AS (
+  SELECT row_no, doc_id, CASE WHEN len(w) >= 5 THEN list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS x FROM words),
+held AS (SELECT row_no, doc_id, len(x) AS n, unnest(x) AS shingle FROM sets WHERE doc_id IS NOT NULL),
+pairs AS (
+  SELECT p.doc_id AS a, q.doc_id AS b FROM held p JOIN held q ON p.shingle = q.shingle AND p.doc_id <> q.doc_id
+  GROUP BY p.row_no, p.doc_id, p.n, q.row_no, q.doc_id, q.n HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))),
+links AS (SELECT DISTINCT a, b FROM pairs),
+reached(a, b) AS (SELECT a, a FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+parts AS (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a),
+degrees AS (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a),
+classes AS (SELECT x, min(doc_id) AS class_id FROM sets WHERE len(x) > 0 GROUP BY x)
+SELECT s.doc_id, CAST(len(s.x) AS BIGINT) AS n_shingles, coalesce(p.component_id, s.doc_id) AS component_id,
+  CASE WHEN s.doc_id IS NOT NULL THEN coalesce(c.class_id, s.doc_id) END AS class_id,
+  CASE WHEN s.doc_id IS NOT NULL THEN coalesce(d.n_links, 0) END AS n_links
+FROM sets s LEFT JOIN parts p ON s.doc_id = p.doc_id LEFT JOIN degrees d ON s.doc_id = d.doc_id LEFT JOIN classes c ON s.x = c.x
+"""
+
+#: Targets by water filling, places by one window a source, the curriculum's integral inverted.
+OP3_SQL = r"""
+WITH rows_ AS (
+  SELECT CAST(doc_id AS BIGINT) AS doc_id, coalesce('s' || source, 't') AS src, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, coalesce(md5(text), '') AS u FROM documents),
+hashed AS (SELECT doc_id, src, size, CAST('0x' || substr(md5(concat_ws('|', 'mix-0', coalesce(CAST(doc_id AS VARCHAR), ''), CAST(size AS VARCHAR), u)), 1, 15) AS BIGINT) AS h FROM rows_),
+sizes AS (SELECT src, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY src) - 1) % 3 + 1 AS n FROM hashed GROUP BY src),
+weighed AS (SELECT *, CAST([3.0, 1.0, 2.0][n] AS DOUBLE) AS w, CAST([0.5, 0.0, -0.5][n] AS DOUBLE) AS a, CAST(2.0 AS DOUBLE) * source_size AS cap FROM sizes),
+filled AS (
+  SELECT *, CAST(1.5 AS DOUBLE) * sum(source_size) OVER () - (sum(cap) OVER filling - cap) AS left_, sum(w) OVER () - (sum(w) OVER filling - w) AS weight
+  FROM weighed WINDOW filling AS (ORDER BY cap / w, n, src ROWS UNBOUNDED PRECEDING)),
+levels AS (SELECT *, left_ / weight AS level, left_ / weight * w > cap AS is_full FROM filled),
+aims AS (SELECT src, source_size, a, CASE WHEN is_full THEN cap ELSE least(max(level) FILTER (NOT is_full) OVER () * w, cap) END AS target FROM levels),
+placed AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.a,
+    CAST(sum(d.size) OVER (PARTITION BY d.src ORDER BY d.h, d.doc_id NULLS FIRST, d.size ROWS UNBOUNDED PRECEDING) AS DOUBLE) - CAST(d.size AS DOUBLE) / 2 AS mid
+  FROM hashed d JOIN aims t ON d.src = t.src),
+due AS (SELECT *, size > 0 AND mid < target AS once, size > 0 AND source_size + mid < target AS twice, mid / target AS u0, (source_size + mid) / target AS u1 FROM placed)
+SELECT doc_id, size, source_size, target, size * (CAST(once AS BIGINT) + CAST(twice AS BIGINT)) AS taken,
+  CASE WHEN once THEN CASE WHEN a = 0 THEN u0 ELSE (sqrt((1 - a) * (1 - a) + 4 * a * u0) - (1 - a)) / (2 * a) END END AS position,
+  CASE WHEN twice THEN CASE WHEN a = 0 THEN u1 ELSE (sqrt((1 - a) * (1 - a) + 4 * a * u1) - (1 - a)) / (2 * a) END END AS second_position
+FROM due
+"""
+
+#: Every pair of vectors by cosine; reachability by links.
+OP4_SQL = """
+WITH RECURSIVE usable AS (
+  SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM usable p JOIN usable q ON p.vec_id <> q.vec_id AND len(p.v) = len(q.v) WHERE list_cosine_similarity(p.v, q.v) >= 0.9),
+reached(a, b) AS (SELECT a, a FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+parts AS (SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY a),
+degrees AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT CAST(e.vec_id AS BIGINT) AS vec_id, coalesce(d.n_links, 0) AS n_links, coalesce(p.component_id, CAST(e.vec_id AS BIGINT)) AS component_id, coalesce(p.component_id, CAST(e.vec_id AS BIGINT)) IS NOT DISTINCT FROM CAST(e.vec_id AS BIGINT) AS kept
+FROM embeddings e LEFT JOIN parts p ON e.vec_id = p.vec_id LEFT JOIN degrees d ON e.vec_id = d.vec_id
+"""
+
+#: Fractional ranks by one window a source, places by one over all; the crc bit by bit.
+OP5_SQL = """
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+rows_ AS (
+  SELECT CAST(doc_id AS BIGINT) AS doc_id, coalesce('s' || source, 'n') AS src, CAST(coalesce(octet_length(encode(text)), 0) + 1 AS BIGINT) AS size,
+    CASE WHEN text IS NOT NULL THEN xor(4294967295, list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda y: CAST('0x' || y AS BIGINT))), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1]))) END AS text_crc32
+  FROM documents, crc_table),
+hashed AS (SELECT *, CAST('0x' || substr(md5(concat_ws('|', 'shard-0', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(CAST(text_crc32 AS VARCHAR), ''), CAST(size AS VARCHAR))), 1, 15) AS BIGINT) AS h FROM rows_),
+ranked AS (
+  SELECT *, (row_number() OVER (PARTITION BY src ORDER BY h, doc_id NULLS FIRST, text_crc32 NULLS FIRST, size) - 1 + CAST(0.5 AS DOUBLE)) / count(*) OVER (PARTITION BY src) AS f FROM hashed),
+placed AS (SELECT *, row_number() OVER (ORDER BY f, src, h, doc_id NULLS FIRST, text_crc32 NULLS FIRST, size) - 1 AS p, count(*) OVER () AS total FROM ranked),
+sized AS (SELECT *, total // 8 AS least_, total % 8 AS larger, (total % 8) * (total // 8 + 1) AS edge FROM placed),
+cut AS (SELECT *, CASE WHEN p < edge THEN p // (least_ + 1) ELSE larger + (p - edge) // greatest(least_, 1) END AS shard FROM sized)
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard,
+  CAST(p - CASE WHEN p < edge THEN shard * (least_ + 1) ELSE edge + (shard - larger) * least_ END AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, f AS fractional_rank
+FROM cut
+"""
+
+#: The others can't be expressed: they learn, follow a vocabulary file, or (6) keep what an index retrieves.
+#: The strings of op8 take SQL too long on whole tables; tests/llm hold it against every string of a small one.
+ORACLES: dict[str, str] = {"op1_adaptive_jaccard": OP1_SQL, "op3_curriculum_mix": OP3_SQL, "op4_pivot_neardup": OP4_SQL, "op5_stratified_shards": OP5_SQL}
