@@ -534,3 +534,89 @@ def test_tokens_equal_the_library(docs, vocabulary):
 
 def test_tokens_empty(empty, vocabulary):
     assert bpe.tokenize(empty, vocabulary).collect() == []
+
+
+# --- cases met before ---------------------------------------------------------------------------
+
+
+def test_words_that_cancel_in_polynomials_differ(spark):
+    a = "a"
+    while len(a) < 2048:
+        a += a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, a, None, None, None), (2, a.translate(str.maketrans("ab", "ba")), None, None, None)]
+    assert sorted(tuple(r)[:4] for r in ngram_join.jaccard_components(spark.createDataFrame(rows, DOCS)).collect()) == [(1, 1, 1, 1), (2, 1, 2, 2)]
+
+
+def test_bitmaps_never_hide_a_link():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        m = int(rng.integers(1, 400))
+        x = np.unique(rng.integers(0, 1 << 62, m).astype(np.uint64))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) > rng.random() * 0.3], rng.integers(0, 1 << 62, int(rng.integers(0, m // 5 + 1))).astype(np.uint64)]))
+        if len(y):
+            shared = len(np.intersect1d(x, y))
+            links = 100 * shared >= 80 * (len(x) + len(y) - shared)
+            assert ngram_join.possible(len(x), len(y), ngram_join._bitmap(x), ngram_join._bitmap(y)) or not links
+
+
+def test_a_shared_passage_in_other_documents_links_nothing(spark):
+    rng = random.Random(12)
+    passage = sentence(rng, 40)
+    rows = [(k, f"{sentence(rng, 30)} {passage} {sentence(rng, 30)}", None, None, None) for k in range(300)] + [(1000 + k, passage, None, None, None) for k in range(3)]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: 1000 if i >= 1000 else i for i, *_ in rows}
+
+
+def test_a_query_on_two_rows_is_one(spark):
+    rows = [(0, [1.0, 0.0, 0.0]), (0, [0.0, 1.0, 0.0])] + [(k, [1.0, k / 10, k / 7]) for k in range(1, 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash")).withColumn("rank", F.lit(7))
+    got = ann.search(df, F.col("vec_id") == 0, k=5).orderBy("rank").collect()
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    best = {k: max(float(unit(q) @ unit(v)) for i, q in rows if i == 0) for k, v in rows[2:]}
+    assert [r.vec_id for r in got] == sorted(best, key=lambda k: (-best[k], k)) and [r["rank"] for r in got] == [1, 2, 3, 4, 5]
+    assert all(abs(r.score - best[r.vec_id]) < 1e-12 for r in got)
+
+
+def test_every_code_point_splits_as_in_the_library(vocabulary):
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(vocabulary), bpe.Encoder(vocabulary)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for make in ("!{}!", "a{}b"):
+        for k in range(0, len(points), 60_000):
+            texts = [make.format(chr(c)) for c in points[k : k + 60_000] if c < 0x32400 or c % 16 == 0]
+            for t, x in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+                assert own.encode(t)[0] == " ".join(map(str, x.ids)), hex(ord(t[1]))
+
+
+@pytest.mark.parametrize("label, score", [(1, 1.0), (0, 0.0), (None, 0.0)])
+def test_one_sided_toxicity_labels(spark, label, score):
+    docs = spark.createDataFrame([(k, f"text {k}", None, None, None) for k in range(20)], DOCS)
+    labels = spark.createDataFrame([(k, 1, label) for k in range(20)], "doc_id long, quality int, toxic int")
+    assert {r.score for r in toxicity.classify(docs, labels).collect()} == {score}
+
+
+def test_many_null_ids_spread_over_buckets(spark):
+    rows = [(None if k % 3 else k, f"text number {k}", None, "s", None) for k in range(600)] + [(None, None, None, None, None)] * 5
+    docs = spark.createDataFrame(rows, DOCS)
+    slots = collections.defaultdict(list)
+    for r in sharding.shard(docs).collect():
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    taken = mixing.mix(docs).collect()
+    assert len(taken) == len(rows) and abs(sum(r.taken for r in taken) - 1.5 * 1800) <= 6
+
+
+def test_the_index_counts_runs_not_bytes():
+    part = bytes(range(1, 201)) * 2
+    index = suffix_dedup.RunIndex([part + bytes([x]) * 3 for x in range(100)])
+    assert index.size > 40_000 and index.runs < index.size / 4
+
+
+def test_class_prior_from_positives_and_unlabelled():
+    rng = np.random.default_rng(4)
+    good, bad = rng.normal(0, 1, (6000, 20)), rng.normal(1.2, 1, (3000, 20))
+    for share in (0.3, 0.7):
+        n = int(4000 * share)
+        mixed = np.vstack([good[:n], bad[: 4000 - n] if share > 0.25 else bad])
+        assert abs(quality.class_prior(good[-2000:], mixed[: n + 3000]) - n / len(mixed[: n + 3000])) < 0.08
