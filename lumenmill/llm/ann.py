@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, trim
 from .vectors import component, packed, stacked, unit
 
 #: Bits of a code (a whole number of rotations), bound of the learning sample and of its queries.
@@ -162,6 +162,7 @@ def _searched(width: int, k: int, radius: int, excess: float, mean: np.ndarray,
                 out[0] += [int(ids[q])] * len(best)
                 out[1] += ids[found[best]].tolist()
                 out[2] += score[best].tolist()
+        trim()
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names)
 
     return run

@@ -32,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, sliced
+from .common import frugal, sliced, trim
 
 #: Entries in each of the two generations of a worker's memo of words and chunks, and the longest that it holds.
-MEMO, MEMO_LENGTH = 200_000, 64
+MEMO, MEMO_LENGTH = 130_000, 48
 #: Unicode white space (White_Space=yes).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: Capitals that the library makes small though Python doesn't know them yet (first, last, distance).
@@ -229,41 +229,38 @@ class Vocabulary:
 
 
 class Encoder:
-    """Texts to (ids joined by spaces, decoded text); remembers chunks between spaces."""
+    """Texts to ids joined by spaces, and back; remembers the ids of words and of chunks between spaces."""
 
     def __init__(self, path: str):
         self.v = Vocabulary(path)
         self.split = re.compile("(" + "|".join(map(re.escape, self.v.special)) + ")") if self.v.special else None
         self.pattern = word_pattern()
-        self.memo: dict[str, tuple[str, str]] = {}
-        self.older: dict[str, tuple[str, str]] = {}
+        self.name = {i: n for i, n in zip(self.v.text_id, self.v.names, strict=True)} | {str(i): n for n, i in self.v.special.items()}
+        self.memo: dict[str, str] = {}
+        self.older: dict[str, str] = {}
 
-    def _word(self, w: str) -> tuple[str, str]:
-        tokens = self.v.encode_word(w)
-        return " ".join([self.v.text_id[t] for t in tokens]), " ".join([self.v.names[t] for t in tokens])
-
-    def _found(self, chunk: str, split: bool) -> tuple[str, str]:
+    def _found(self, chunk: str, split: bool) -> str:
         """A chunk between spaces, or a word of one (a chunk that is one word is the same to the memo)."""
         found = self.memo.get(chunk) or self.older.get(chunk)
         if found is None:
             words = self.pattern.findall(chunk) if split else [chunk]
             if len(words) == 1:
-                found = self._word(words[0])
+                text_id = self.v.text_id
+                found = " ".join([text_id[t] for t in self.v.encode_word(words[0])])
             else:
-                both = [self._found(w, False) for w in words]
-                found = " ".join([x[0] for x in both]), " ".join([x[1] for x in both])
+                found = " ".join([self.memo.get(w) or self._found(w, False) for w in words])
         if len(chunk) < MEMO_LENGTH:
             if len(self.memo) >= MEMO:  # what is met again moves to the newer generation, the rest is forgotten
                 self.older, self.memo = self.memo, {}
             self.memo[chunk] = found
         return found
 
-    def encode(self, text: str) -> tuple[str, str]:
+    def encode(self, text: str) -> str:
         parts = self.split.split(text) if self.split and "<|" in text else [text]
         found = []
         for k, part in enumerate(parts):
             if k % 2:
-                found.append((str(self.v.special[part]), part))
+                found.append(str(self.v.special[part]))
             elif part:
                 if not part.isascii():
                     part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # lower case letter by letter
@@ -272,12 +269,19 @@ class Encoder:
                 part = part.lower()
                 chunks = [part] if ODD.search(part) else part.split()
                 found += [self.memo.get(c) or self._found(c, True) for c in chunks]
-        return " ".join([x[0] for x in found if x[0]]), " ".join([x[1] for x in found if x[0]])
+        return " ".join(filter(None, found))
+
+    def decode(self, ids: str) -> str:
+        """The tokens' strings, joined by spaces."""
+        name = self.name
+        return " ".join([name[i] for i in ids.split(" ")]) if ids else ""
 
 
 @functools.lru_cache(2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    own = Encoder(path)
+    trim()  # what building it took
+    return own
 
 
 def tokenize(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -291,7 +295,8 @@ def tokenize(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
         for batch in sliced(batches):
             rows = []
             for text in batch.column(1):
-                ids, decoded = own.encode(text.as_py() or "")
+                ids = own.encode(text.as_py() or "")
+                decoded = own.decode(ids)
                 row = [ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
                 rows.append(row + ([[*map(int, ids.split())], decoded] if with_ids else []))
             columns = [batch.column(0), *([pa.array(list(c), f[1]) for c, f in zip(zip(*rows, strict=True), fields[1:], strict=True)] if rows else [pa.array([], f[1]) for f in fields[1:]])]

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, frugal
+from .common import Scratch, frugal, trim
 from .components import components, spanning_pairs
 from .vectors import component, packed, stacked, unit
 
@@ -152,6 +152,7 @@ def _linked(width: int, threshold: float, shared: int, kind: type = np.float64):
                     joined = spanning_pairs(tree, a, b)
                     ones += joined[:, 0].tolist()
                     others += joined[:, 1].tolist()
+        trim()
         some = np.flatnonzero(total)
         ids = np.concatenate([rep[some], rep[ones] if ones else rep[:0]])
         to = np.concatenate([rep[some], rep[others] if others else rep[:0]])

@@ -53,7 +53,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, frugal, sliced
+from .common import Scratch, frugal, sliced, trim
 from .components import components, spanning
 from .shingles import Rarity, shingle_sets, text_words
 
@@ -331,6 +331,7 @@ def _linked(rarity):
                 own = np.arange(v - u)
                 found += _counted(node[u:v], docs[u:v], several[u:v], sets[u:v], own, own)
         kind = np.repeat(np.array([f[0] for f in found], np.int32), [len(f[1]) for f in found])
+        trim()
         return pa.table({"kind": kind} | {name: np.concatenate([f[k] for f in found]) for k, name in ((1, "node"), (2, "other"), (3, "n"))})
 
     return run
