@@ -8,6 +8,12 @@ import zlib
 import numpy as np
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
+
+
+class UnsupportedFormat(ValueError):
+    """A file that is no PNG, or one of a kind that is not read."""
+
+
 CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 
 
@@ -26,6 +32,22 @@ def encode_png(pixels: np.ndarray, level: int = 1) -> bytes:
     return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(rows.tobytes(), level)) + _chunk(b"IEND", b"")
 
 
+def _guessed(line: list[int], above: list[int], step: int, mean: bool) -> list[int]:
+    """A row under the average or Paeth filter, byte by byte (each needs the one before it)."""
+    for k in range(step):
+        left = corner = 0
+        for x in range(k, len(line), step):
+            up = above[x]
+            if mean:
+                guess = (left + up) >> 1
+            else:
+                a, b, c = abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)
+                guess = left if a <= b and a <= c else up if b <= c else corner
+            left = line[x] = (line[x] + guess) & 255
+            corner = up
+    return line
+
+
 def _unfilter(raw: np.ndarray, h: int, stride: int, step: int) -> np.ndarray:
     out, above = np.zeros((h, stride), np.uint8), np.zeros(stride, np.int64)
     for y in range(h):
@@ -35,16 +57,7 @@ def _unfilter(raw: np.ndarray, h: int, stride: int, step: int) -> np.ndarray:
         elif kind == 2:
             line = (line + above) & 255
         elif kind in (3, 4):
-            for x in range(0, stride, step):
-                left = line[x - step : x] if x else np.zeros(step, np.int64)
-                up, corner = above[x : x + step], above[x - step : x] if x else np.zeros(step, np.int64)
-                if kind == 3:
-                    guess = (left + up) >> 1
-                else:
-                    p = left + up - corner
-                    a, b, c = abs(p - left), abs(p - up), abs(p - corner)
-                    guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
-                line[x : x + step] = (line[x : x + step] + guess) & 255
+            line = np.array(_guessed(raw[y, 1:].tolist(), above.tolist(), step, kind == 3), np.int64)
         elif kind:
             raise ValueError(f"unknown PNG filter {kind}")
         out[y] = above = line
@@ -54,7 +67,7 @@ def _unfilter(raw: np.ndarray, h: int, stride: int, step: int) -> np.ndarray:
 def decode_png(data: bytes) -> np.ndarray:
     """A PNG file to (height, width, 4) RGBA; opaque where it has no alpha."""
     if not data.startswith(SIGNATURE):
-        raise ValueError("not a PNG file")
+        raise UnsupportedFormat("not a PNG file")
     at, body, palette, alpha, head = 8, b"", None, b"", None
     while at + 8 <= len(data):
         n, kind = struct.unpack(">I4s", data[at : at + 8])
@@ -69,7 +82,7 @@ def decode_png(data: bytes) -> np.ndarray:
         elif kind == b"IDAT":
             body += part
     if head is None or head[2] != 8 or head[3] not in CHANNELS or head[6]:
-        raise ValueError("only 8-bit PNG files without interlacing are read")
+        raise UnsupportedFormat("only 8-bit PNG files without interlacing are read")
     w, h, kind = head[0], head[1], head[3]
     c = CHANNELS[kind]
     raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, w * c + 1)

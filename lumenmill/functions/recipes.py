@@ -40,7 +40,7 @@ class Recipe:
         return json.dumps(fields, sort_keys=True, default=str)
 
     def identity_column(self, parent: Column) -> Column:
-        """The same as an expression. Parent ids must be ASCII (see ``json_text``)."""
+        """The same as an expression."""
         before, after = self._json(HOLE).split(json.dumps(HOLE))
         return F.substring(F.sha1(F.concat(F.lit(before), json_text(parent), F.lit(after)).cast("binary")), 1, 12)
 
@@ -64,9 +64,18 @@ class Recipe:
 
 
 def json_text(value: Column) -> Column:
-    """A string as JSON text; ASCII only, where Spark's escapes equal Python's."""
-    quoted = F.to_json(F.struct(value.alias("v")))
-    return F.substring(quoted, F.lit(6), F.length(quoted) - 6)
+    """A string as the JSON text that Python writes: all but printable ASCII is escaped."""
+
+    def escaped(c: Column) -> Column:
+        units = F.lower(F.hex(F.encode(c, "UTF-16BE")))
+        unit = lambda at: F.concat(F.lit("\\u"), F.substring(units, at, 4))
+        out = F.when(c.rlike(r"[ !#-\[\]-~]"), c)
+        for raw, short in (('"', '"'), ("\\", "\\"), ("\n", "n"), ("\r", "r"), ("\t", "t"), ("\b", "b"), ("\f", "f")):
+            out = out.when(c == raw, "\\" + short)
+        return out.when(F.length(units) > 4, F.concat(unit(1), unit(5))).otherwise(unit(1))
+
+    others = F.array_join(F.transform(F.regexp_extract_all(value, F.lit("(?s)."), F.lit(0)), escaped), "")
+    return F.concat(F.lit('"'), F.when(value.rlike(r"^[ !#-\[\]-~]*\z"), value).otherwise(others), F.lit('"'))
 
 
 def artifact_name(selection: str, identity: str, pixels: np.ndarray) -> str:

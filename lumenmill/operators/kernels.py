@@ -315,7 +315,7 @@ def _smooth(r, shape, rows: int, cols: int, amount: float) -> np.ndarray:
 @kernel
 def elastic_transform(x, r, p):
     noise = r.uniform(-1, 1, (*x.shape[:2], 2))
-    d = gaussian(noise, min(float(p["sigma"]), max(x.shape[:2]) / 4)) * float(p["alpha"])
+    d = gaussian(noise, float(p["sigma"])) * float(p["alpha"])
     return warp(x, p, d[..., 0], d[..., 1])
 
 
@@ -977,7 +977,7 @@ def random_sun_flare(x, r, p):
     h, w = x.shape[:2]
     cy, cx = r.uniform(0, 0.5) * h, r.uniform(0, 1) * w
     angle = 2 * np.pi * draw(r, p["angle_range"])
-    radius = min(float(p["src_radius"]), max(h, w))
+    radius = float(p["src_radius"])
     y, z = grid(x.shape)
     light = np.clip(1 - np.hypot(y - cy, z - cx) / radius, 0, 1) ** (2 if p["method"] == "overlay" else 3)
     for _ in range(draw_int(r, p["num_flare_circles_range"])):

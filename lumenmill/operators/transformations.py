@@ -244,7 +244,8 @@ def entries(given: dict, seed: int | None = 42, references: dict[str, dict] | No
             if model is None and reference is None:
                 raise ValueError(f"{kind}: no model is named {name!r}")
             built = model if model is not None else models.build(name, reference)
-            models.check_model(kind, algorithm.role, built, algorithm.methods)
+            if lacks := models.unfit(built, algorithm.methods):
+                raise ValueError(f"{kind}: the {algorithm.role} model {name!r} lacks {lacks}")
             shown = built.name
         recipe = Recipe(kind, algorithm.effective_family, algorithm.arity, algorithm.reversible, params, int(given["seed"]) if algorithm.stochastic else None, shown if algorithm.role == "tool" else None, shown if algorithm.role == "target" else None)
         out.append(Transformation(algorithm, recipe, e.get("name"), name, reference, model))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,7 +29,11 @@ def displacement(a: Column, b: Column, peak: float = 1.0) -> dict[str, Column]:
 
 def spread(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """n, median, index-based interquartile range, least and largest of each group."""
-    s = F.sort_array(F.collect_list(value))
-    n = F.size("_s")
-    at = lambda i: F.element_at("_s", (i + 1).cast("int"))
-    return rows.groupBy(*by).agg(s.alias("_s")).select(*by, n.alias("n"), ((at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2).alias("median"), (at(F.floor(3 * n / 4)) - at(F.floor(n / 4))).alias("iqr"), F.array_min("_s").alias("least"), F.array_max("_s").alias("most"))
+    # equal values are counted before they meet; what a group's task sorts can spill
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    own = Window.partitionBy(*by)
+    upto = F.sum("_c").over(own.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.select(*by, "_v", (upto - F.col("_c")).alias("_from"), upto.alias("_to"), F.sum("_c").over(own).alias("n"))
+    at = lambda i: F.max(F.when((F.col("_from") <= i) & (i < F.col("_to")), F.col("_v")))
+    n = F.col("n")
+    return ranked.groupBy(*by, "n").agg(((at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2).alias("median"), (at(F.floor(3 * n / 4)) - at(F.floor(n / 4))).alias("iqr"), F.min("_v").alias("least"), F.max("_v").alias("most"))

@@ -10,8 +10,11 @@ from ..operators.transformations import Transformation, entries
 from ..sources import parquet
 
 COMPUTE = {"seed": 42, "log_level": "INFO", "max_memory": None, "device": None, "progress_bar": True, "threads": 4}
-POLICIES = ("skip", "warn", "fail", "raise", "ignore", "log")
+#: What may be done about a failure.
+SILENT, FAST = "silent_fail", "fail_fast"
+#: Unset rules follow the default, but for transforms and formats, which fail at once unless a job says otherwise.
 IMAGES = {"on_decode_failure": None, "on_transform_error": None, "on_unsupported_format": None}
+TABULAR = {"on_missing_column": None, "on_file_not_found": None}
 OUTPUTS = {"path": None, "write_samples": True, "samples_dir": None, "flush_batch_size": 5, "include": None, "exclude": None, "storage": None}
 
 
@@ -24,11 +27,16 @@ def closed(section: str, given: dict | None, allowed) -> dict:
 
 def merged_errors(job: dict | None, own: dict | None) -> dict:
     """The job's error rules with those that a section sets itself on top."""
-    out: dict[str, Any] = {"default": "skip", "max_failure_rate": 0.05, "images": dict(IMAGES), "tabular": {}}
+    out: dict[str, Any] = {"default": SILENT, "max_failure_rate": 0.05, "images": dict(IMAGES), "tabular": dict(TABULAR)}
     for part in (job, own):
         part = closed("errors", part, out)
         for k, v in part.items():
-            out[k] = out[k] | closed(f"errors.{k}", v, IMAGES if k == "images" else v) if isinstance(v, dict) else v
+            out[k] = v if k not in ("images", "tabular") else out[k] | closed(f"errors.{k}", v, out[k])
+    for name, rule in [("default", out["default"]), *out["images"].items(), *out["tabular"].items()]:
+        if rule not in (SILENT, FAST) and (rule is not None or name == "default"):
+            raise ValueError(f"errors: {name} must be {SILENT} or {FAST}, not {rule!r}")
+    if SILENT in out["tabular"].values():
+        raise ValueError("errors.tabular: a missing file or column always stops a job")
     if not 0 <= float(out["max_failure_rate"]) <= 1:
         raise ValueError("errors.max_failure_rate must be within 0 and 1")
     return out

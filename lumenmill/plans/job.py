@@ -2,7 +2,7 @@
 
 A row's sample is decoded once and every recipe is applied to it inside one
 ``mapInArrow``, so pixels never leave the task that read them but as payload
-files. Nothing is shuffled unless one ordered file is asked for. The kernel's
+files. Only an ordered ledger is shuffled, without pixels. The kernel's
 rows go to a staging table first: the failure gate reads its counters there, and
 the ledger appears only after the gate has passed.
 """
@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from ..functions.codec import decode_png, encode_png
+from ..functions.codec import UnsupportedFormat, decode_png, encode_png
 from ..functions.matching import include_exclude
 from ..functions.recipes import artifact_name
 from ..operators.transformations import Transformation
 from ..sources import parquet
-from .config import Job, parse
+from .config import FAST, Job, parse
 
 LEDGER = StructType(
     [StructField(c, StringType(), False) for c in ("selection", "dataloader", "parent_id", "id", "algorithm", "family", "arity")]
@@ -62,9 +62,11 @@ def write_once(path: str, data: bytes) -> None:
     os.replace(temporary, path)
 
 
-def kernel(selection: str, loader: dict, transformations: list[Transformation], samples_dir: str | None, fail_fast: bool, payloads: bool, ahead: int = 64):
+def kernel(selection: str, loader: dict, transformations: list[Transformation], samples_dir: str | None, errors: dict, payloads: bool, ahead: int = 64):
     """(_id, _sample, _height, _width, _file, _row, *kept) to status and ledger rows."""
-    prefix, shape = loader["sample_path"][0].get("prefix") or "", loader["image_shape"]
+    prefix, shape, images = loader["sample_path"][0].get("prefix") or "", loader["image_shape"], errors["images"]
+    on_decode = images["on_decode_failure"] or errors["default"]
+    on_format, on_transform = images["on_unsupported_format"] or FAST, images["on_transform_error"] or FAST
 
     def run(batches):
         for batch in batches:
@@ -77,7 +79,7 @@ def kernel(selection: str, loader: dict, transformations: list[Transformation],
                     try:
                         x = decode(value, h, w, shape, prefix)
                     except Exception as e:
-                        if fail_fast:
+                        if FAST == (on_format if isinstance(e, UnsupportedFormat) else on_decode):
                             raise
                         source.append(i)
                         rows.append((-1, f"{type(e).__name__}: {e}", *[None] * 14))
@@ -86,7 +88,14 @@ def kernel(selection: str, loader: dict, transformations: list[Transformation],
                     rows.append((-1, None, *[None] * 14))
                     for t, transformation in enumerate(transformations):
                         r = transformation.recipe
-                        out = transformation.apply(x, parent, RANGE)
+                        try:
+                            out = transformation.apply(x, parent, RANGE)
+                        except Exception as e:
+                            if on_transform == FAST:
+                                raise
+                            source.append(i)
+                            rows.append((-2, f"{type(e).__name__}: {e}", *[None] * 14))
+                            continue
                         own = r.identity(parent)
                         name = artifact_name(selection, own, out)
                         png = encode_png(out) if samples_dir or payloads else None
@@ -116,9 +125,8 @@ def staged(spark: SparkSession, job: Job, loader: dict, payloads: bool = False,
     # only what the kernel needs crosses to Python
     rows = df.select("_id", F.col(sample).alias("_sample"), size("height"), size("width"), "_file", "_row", *kept)
     folder = out["samples_dir"].format(selection=loader["name"]) if out["write_samples"] and not payloads else None
-    errors = job.errors["images"]["on_decode_failure"] or job.errors["default"]
     schema = StructType([StructField("_t", IntegerType()), StructField("_error", StringType()), *[StructField(f.name, f.dataType) for f in LEDGER], StructField("_png", BinaryType()), StructField("_file", StringType()), StructField("_row", LongType()), *[df.schema[c] for c in kept]])
-    run = kernel(loader["name"], loader, job.transformations, folder, errors in ("fail", "raise"), payloads)
+    run = kernel(loader["name"], loader, job.transformations, folder, job.errors, payloads)
     return rows.mapInArrow(run, schema), kept
 
 
@@ -126,11 +134,11 @@ def ledger_of(rows: DataFrame, kept: list[str]) -> DataFrame:
     return rows.filter("_t >= 0").select(*LEDGER.names, *kept)
 
 
-def run_job(spark: SparkSession, given: dict, instances: dict | None = None, ordered: bool = True) -> dict[str, int]:
+def run_job(spark: SparkSession, given: dict, instances: dict | None = None, ordered: bool = True, single_file: bool = False) -> dict[str, int]:
     """Run a job; the number of ledger rows by selection.
 
-    ``ordered`` writes one file in sample-major order; without it the ledger is
-    written by all tasks at once, with no shuffle.
+    ``ordered`` writes the ledger range-sorted in sample-major order (in one file
+    if asked); without it it is written with no shuffle.
     """
     job, summary = parse(given, instances), {}
     for loader in job.loaders:
@@ -144,14 +152,15 @@ def run_job(spark: SparkSession, given: dict, instances: dict | None = None, ord
         rows.drop("_png").write.parquet(staging)
         try:
             made = spark.read.parquet(staging)
-            total, failed, n = made.agg(F.count_if(F.col("_t") == -1), F.count_if(F.col("_error").isNotNull()), F.count_if(F.col("_t") >= 0)).first()
+            total, failed, n = made.agg(F.count_if(F.col("_t") == -1), F.count_if((F.col("_t") == -1) & F.col("_error").isNotNull()), F.count_if(F.col("_t") >= 0)).first()
             if total and failed / total > job.errors["max_failure_rate"]:
                 raise RuntimeError(f"{selection}: {failed} of {total} samples could not be decoded; the limit is {job.errors['max_failure_rate']:.0%}")
             summary[selection] = n
             if n:
                 out = made.filter("_t >= 0")
                 if ordered:
-                    out = out.repartition(1).sortWithinPartitions("_file", "_row", "_t")
+                    order = ["_file", "_row", "_t"]
+                    out = out.repartition(1).sortWithinPartitions(*order) if single_file else out.orderBy(*order)
                 out.select(*LEDGER.names, *kept).write.mode("overwrite").parquet(path)
         finally:
             folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging)

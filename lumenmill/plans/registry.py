@@ -125,9 +125,9 @@ def include_exclude_columns(spark, sf_dir):
     return part.select(*include_exclude(["p_*"], ["p_name", "p_brand", "p_size", "p_ret*"], part.columns))
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id FROM orders WHERE o_orderkey % 2 = 0")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id FROM orders")
 def row_index_id(spark, sf_dir):
-    rows = _table(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0").select("o_orderkey", F.lit("all").alias("_file"), F.col("o_orderkey").alias("_row"))
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.lit("all").alias("_file"), F.col("o_orderkey").alias("_row"))
     return row_index(rows, "_file", "_row", "row_id", width=1000).select("o_orderkey", "row_id")
 
 
@@ -290,7 +290,7 @@ def rows_per_algorithm(spark, sf_dir):
 
 @query("SELECT CAST(vec_id AS VARCHAR) AS parent_id, 2 AS outputs FROM embeddings")
 def outputs_by_parent(spark, sf_dir):
-    return ledger_13_columns(spark, sf_dir).groupBy("parent_id").agg(F.size(F.collect_list("id")).alias("outputs"))
+    return ledger_13_columns(spark, sf_dir).groupBy("parent_id").agg(F.count("id").cast("int").alias("outputs"))
 
 
 @query(f"SELECT count(*) AS common FROM (SELECT {_recipe_sql(FLIP)} AS id FROM embeddings WHERE label IN (1, 2)) a JOIN (SELECT {_recipe_sql(FLIP)} AS id FROM embeddings WHERE label IN (2, 3)) b USING (id)")

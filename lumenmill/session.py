@@ -29,9 +29,12 @@ def session(app: str = "lumenmill", **conf: str) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the Python workers, unless their path has it anyway."""
+    """Send the package to the Python workers, unless they run on this machine and its path has it."""
     context = spark.sparkContext
-    if str(ROOT.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_lumenmill_shipped", False):
+    here = context.master.startswith("local")
+    if here and str(ROOT.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    if getattr(context, "_lumenmill_shipped", False):
         return
     archive = f"{tempfile.mkdtemp()}/lumenmill.zip"
     with zipfile.ZipFile(archive, "w") as z:

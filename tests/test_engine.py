@@ -115,8 +115,38 @@ def test_config_refusals(tmp_path):
 
 
 def test_section_errors_override_only_what_they_set():
-    out = merged_errors({"max_failure_rate": 0.5, "images": {"on_decode_failure": "fail"}}, {"default": "warn"})
-    assert (out["max_failure_rate"], out["default"], out["images"]["on_decode_failure"]) == (0.5, "warn", "fail")
+    out = merged_errors({"max_failure_rate": 0.5, "images": {"on_decode_failure": "fail_fast"}}, {"default": "silent_fail"})
+    assert (out["max_failure_rate"], out["default"], out["images"]["on_decode_failure"]) == (0.5, "silent_fail", "fail_fast")
+
+
+@pytest.mark.parametrize("errors", [{"default": "skip"}, {"images": {"on_decode_failure": "fail"}}, {"images": {"other": "fail_fast"}}, {"tabular": {"on_missing": "fail_fast"}}, {"tabular": {"on_missing_column": "nonsense"}}])
+def test_error_rules_are_closed(errors):
+    with pytest.raises(ValueError):
+        merged_errors(errors, None)
+
+
+@pytest.mark.parametrize("rule", ["silent_fail", "fail_fast"])
+def test_a_null_sample_under_each_rule(spark, sources, tmp_path, rule):
+    raw = spark.read.parquet(str(sources / "raw.parquet"))
+    rows = raw.unionByName(raw.limit(1).selectExpr("'none' AS id", "height", "width", "source", "CAST(NULL AS BINARY) AS img"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    given = job(tmp_path / "in", tmp_path / "out") | {"errors": {"default": rule, "max_failure_rate": 0.5}}
+    if rule == "fail_fast":
+        with pytest.raises(Exception, match="the sample is null"):
+            run_job(spark, given)
+    else:
+        assert run_job(spark, given) == {"synthetic": 16}
+
+
+def test_identity_as_an_expression_beyond_ascii(spark):
+    from pyspark.sql import functions as F
+
+    from lumenmill.functions.recipes import Recipe
+
+    recipe = Recipe("horizontal_flip", params={"a": "é"}, seed=3)
+    names = ["a", "é", "中文 x", "🙂", 'quote " \\ / \n', "\x7f\u2028", ""]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select("n", recipe.identity_column(F.col("n")).alias("i")).collect()
+    assert {r.n: r.i for r in got} == {n: recipe.identity(n) for n in names}
 
 
 def test_patterns():
