@@ -7,9 +7,9 @@ r = 32 a + b agree in one of the first b + 1 substrings within a bits, or in a
 later one within a - 1, so probing each substring's ball retrieves every code
 within r. Candidates within r are reranked by cosine in double precision.
 
-A query's radius grows from a small one until it has enough candidates and holds
-nearly all vectors as near as the worst of its best: bits differ in proportion to
-the angle, and the excess over this proportion that nearly all true neighbours of
+A query starts with a small radius; where that gives enough candidates, the next is
+the one that holds nearly all vectors as near as the worst of its best: bits differ
+in proportion to the angle, and the excess over this proportion that nearly all true neighbours of
 a bounded sample keep within is measured. So a query with close neighbours probes
 little, and the largest radius is that of nearly all the sample's neighbours,
 unless candidates are too few. Rows and queries are cut into blocks of fixed size; a task
@@ -153,9 +153,9 @@ def _searched(width: int, k: int, radius: int, excess: float, mean: np.ndarray,
                         worst = np.partition(score, len(score) - k)[-k]
                         if r >= (needed := angle_bits(worst, codes.shape[1] * 8) + excess):
                             break
-                        r = min(radius, max(r + 8, int(np.ceil(needed))))
+                        r = min(radius, int(np.ceil(needed)))
                     else:
-                        r += 16 if r >= radius else 8
+                        r = radius if r < radius else r + 16
                 best = np.lexsort((ids[found], -score))
                 _, once = np.unique(ids[found[best]], return_index=True)
                 best = best[np.sort(once)[:k]]
