@@ -20,7 +20,7 @@ from ..functions.sweeps import Sweep
 from ..operators.catalogue import CATALOGUE
 from ..operators.transformations import Transformation, entries
 from ..sources import parquet
-from . import analytics
+from . import analytics, pixels
 from .job import LEDGER, RANGE
 
 QUERIES, ORACLES = {}, {}
@@ -388,6 +388,30 @@ def catalogue_frames(spark, sf_dir):
     return framed(spark, sf_dir, [t for name in sorted(CATALOGUE) for t in entries(small_entry(name))])
 
 
+FRAMES = f"SELECT CAST(vec_id AS VARCHAR) AS parent_id, {BYTES} AS b FROM (SELECT vec_id, {X} AS x FROM embeddings)"
+
+
+@query(pixels.sql(FRAMES))
+def catalogue_pixels(spark, sf_dir):
+    """Pixels of the catalogue with pinned parameters, every frame and case."""
+    import numpy as np
+
+    made = [(k, name, entries(pixels.entry(name, given))[0]) for k, (name, given, _) in enumerate(pixels.CASES)]
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string"), arrays.to_bytes(arrays.doubles(F.col("embedding"))).alias("x"))
+    schema = pa.schema([("parent_id", pa.string()), ("number", pa.int32()), ("algorithm", pa.string()), ("pixels", pa.string())])
+
+    def run(batches):
+        for b in batches:
+            for start in range(0, b.num_rows, 64):
+                out = []
+                for parent, x in zip(b.column(0).slice(start, 64).to_pylist(), b.column(1).slice(start, 64).to_pylist(), strict=True):
+                    frame = np.array(x, np.uint8).reshape(4, 4, 4)
+                    out += [(parent, k, name, ",".join(map(str, t.apply(frame, parent, RANGE).ravel().tolist()))) for k, name, t in made]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    return rows.mapInArrow(run, "parent_id string, number int, algorithm string, pixels string")
+
+
 def _catalogue_ids_sql() -> str:
     parts = [f"SELECT CAST(vec_id AS VARCHAR) AS parent_id, '{name}' AS algorithm, {_recipe_sql(entries(small_entry(name))[0].recipe)} AS id FROM embeddings" for name in sorted(CATALOGUE)]
     return " UNION ALL ".join(parts)
