@@ -1,4 +1,4 @@
-"""PNG in pure Python: 8-bit, colour types 0, 2, 3, 4 and 6, not interlaced."""
+"""Images in pure Python: PNG of every depth and colour type, and what other decoders there are."""
 
 from __future__ import annotations
 
@@ -7,14 +7,17 @@ import zlib
 
 import numpy as np
 
-SIGNATURE = b"\x89PNG\r\n\x1a\n"
-
+from .bmp import decode_bmp
+from .formats import UnsupportedFormat
+from .jpeg import decode_jpeg
 
-class UnsupportedFormat(ValueError):
-    """A file that is no PNG, or one of a kind that is not read."""
+SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
 CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+DEPTHS = {0: (1, 2, 4, 8, 16), 2: (8, 16), 3: (1, 2, 4, 8), 4: (8, 16), 6: (8, 16)}
+# First row and column, and the steps between them, of the interlaced passes.
+PASSES = [(0, 0, 8, 8), (0, 4, 8, 8), (4, 0, 8, 4), (0, 2, 4, 4), (2, 0, 4, 2), (0, 1, 2, 2), (1, 0, 2, 1)]
 
 
 def _chunk(kind: bytes, body: bytes) -> bytes:
@@ -64,11 +67,23 @@ def _unfilter(raw: np.ndarray, h: int, stride: int, step: int) -> np.ndarray:
     return out
 
 
+def _samples(raw: np.ndarray, h: int, w: int, c: int, depth: int) -> tuple[np.ndarray, int]:
+    """One image or pass: its samples (h, w, c), and the bytes it took."""
+    stride = (w * c * depth + 7) // 8
+    taken = h * (stride + 1)
+    rows = _unfilter(raw[:taken].reshape(h, stride + 1), h, stride, max(1, c * depth // 8))
+    if depth == 16:
+        rows = np.ascontiguousarray(rows).view(">u2")
+    elif depth < 8:
+        rows = np.unpackbits(rows, axis=1).reshape(h, -1, depth) @ (1 << np.arange(depth)[::-1])
+    return rows[:, : w * c].reshape(h, w, c).astype(np.uint16), taken
+
+
 def decode_png(data: bytes) -> np.ndarray:
-    """A PNG file to (height, width, 4) RGBA; opaque where it has no alpha."""
+    """A PNG file to (height, width, 4) RGBA; opaque where it has no alpha. 16 bits keep their upper 8."""
     if not data.startswith(SIGNATURE):
         raise UnsupportedFormat("not a PNG file")
-    at, body, palette, alpha, head = 8, b"", None, b"", None
+    at, body, palette, alpha, head = 8, [], None, b"", None
     while at + 8 <= len(data):
         n, kind = struct.unpack(">I4s", data[at : at + 8])
         part = data[at + 8 : at + 8 + n]
@@ -80,23 +95,42 @@ def decode_png(data: bytes) -> np.ndarray:
         elif kind == b"tRNS":
             alpha = part
         elif kind == b"IDAT":
-            body += part
-    if head is None or head[2] != 8 or head[3] not in CHANNELS or head[6]:
-        raise UnsupportedFormat("only 8-bit PNG files without interlacing are read")
-    w, h, kind = head[0], head[1], head[3]
-    c = CHANNELS[kind]
-    raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, w * c + 1)
-    x = _unfilter(raw, h, w * c, c).reshape(h, w, c)
+            body.append(part)
+    if head is None or head[2] not in DEPTHS.get(head[3], ()) or head[6] > 1:
+        raise UnsupportedFormat("the PNG file's head names no known kind")
+    w, h, depth, kind = head[:4]
+    c, raw = CHANNELS[kind], np.frombuffer(zlib.decompress(b"".join(body)), np.uint8)
+    if head[6]:
+        x = np.zeros((h, w, c), np.uint16)
+        for y0, x0, down, across in PASSES:
+            part = x[y0::down, x0::across]
+            if part.size:
+                part[...], taken = _samples(raw, *part.shape[:2], c, depth)
+                raw = raw[taken:]
+    else:
+        x, _ = _samples(raw, h, w, c, depth)
     out = np.full((h, w, 4), 255, np.uint8)
     if kind == 3:
         out[..., :3] = palette[x[..., 0]]
         table = np.full(256, 255, np.uint8)
         table[: len(alpha)] = np.frombuffer(alpha, np.uint8)
         out[..., 3] = table[x[..., 0]]
-    else:
-        out[..., :3] = x[..., :1] if c < 3 else x[..., :3]
-        if c in (2, 4):
-            out[..., 3] = x[..., -1]
-        elif alpha and kind == 2:
-            out[..., 3] = np.where((x == np.frombuffer(alpha, ">u2").astype(np.uint8)).all(axis=2), 0, 255)
+        return out
+    if alpha and kind in (0, 2):
+        out[..., 3] = np.where((x == np.frombuffer(alpha, ">u2")).all(axis=2), 0, 255)
+    x = x >> 8 if depth == 16 else x * (255 // ((1 << depth) - 1))
+    out[..., :3] = x[..., :1] if c < 3 else x[..., :3]
+    if c in (2, 4):
+        out[..., 3] = x[..., -1]
     return out
+
+
+def decode_image(data: bytes) -> np.ndarray:
+    """A PNG, JPEG or BMP file, told by its first bytes, to (height, width, 4) RGBA."""
+    if data.startswith(SIGNATURE):
+        return decode_png(data)
+    if data.startswith(b"\xff\xd8\xff"):
+        return decode_jpeg(data)
+    if data.startswith(b"BM"):
+        return decode_bmp(data)
+    raise UnsupportedFormat("not a PNG, JPEG or BMP file")

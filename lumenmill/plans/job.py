@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from ..functions.codec import UnsupportedFormat, decode_png, encode_png
+from ..functions.codec import UnsupportedFormat, decode_image, encode_png
 from ..functions.matching import include_exclude
 from ..functions.recipes import artifact_name
 from ..operators.transformations import Transformation
@@ -34,7 +34,7 @@ RANGE = (0.0, 255.0)
 
 
 def decode(value, height, width, shape, prefix: str) -> np.ndarray:
-    """Raw RGBA bytes, or a PNG file by absolute path or below a prefix."""
+    """Raw RGBA bytes, or an image file by absolute path or below a prefix."""
     if value is None:
         raise ValueError("the sample is null")
     if isinstance(value, bytes):
@@ -48,7 +48,7 @@ def decode(value, height, width, shape, prefix: str) -> np.ndarray:
             raise ValueError(f"the path {value!r} is relative and there is no prefix")
         value = os.path.join(prefix, value)
     with open(value, "rb") as f:
-        return decode_png(f.read())
+        return decode_image(f.read())
 
 
 def write_once(path: str, data: bytes) -> None:
