@@ -64,8 +64,10 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "list":
         from .operators.models import known_types
         from .operators.transformations import known
+        from .plans.writers import known_writers
+        from .sources.loaders import known_loaders
 
-        for title, names in (("transformations", known()), ("dataloaders", ["parquet"]), ("output writers", ["parquet", "images"]), ("models", known_types())):
+        for title, names in (("transformations", known()), ("dataloaders", known_loaders()), ("output writers", known_writers()), ("models", known_types())):
             print(f"{title}: {', '.join(sorted(names))}")
         return 0
     if args.command != "process":

@@ -5,9 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
+from ..functions.sizes import memory_bytes
 from ..operators import models
 from ..operators.transformations import Transformation, entries
-from ..sources import parquet
+from ..sources import loaders as sources
 
 COMPUTE = {"seed": 42, "log_level": "INFO", "max_memory": None, "device": None, "progress_bar": True, "threads": 4}
 #: What may be done about a failure.
@@ -58,8 +59,10 @@ def parse(given: dict, instances: dict[str, Any] | None = None) -> Job:
     if isinstance(storage, dict) and storage.get("type", "local") != "local":
         raise ValueError("storage: only local is supported")
     compute = COMPUTE | closed("compute", given.get("compute"), COMPUTE)
+    if compute["max_memory"] is not None:
+        memory_bytes(compute["max_memory"])  # Spark's own settings bound memory; the size must be one
     section = closed("dataloaders", given.get("dataloaders"), ("loaders", "errors"))
-    loaders = [parquet.validated(x) for x in section.get("loaders") or []]
+    loaders = [sources.validated(x) for x in section.get("loaders") or []]
     if not loaders:
         raise ValueError("dataloaders: at least one loader is needed")
     operations = closed("operations", given.get("operations"), ("transform_batch_size", "errors", "outputs", "transformations"))
@@ -67,6 +70,8 @@ def parse(given: dict, instances: dict[str, Any] | None = None) -> Job:
     for k in ("path", "samples_dir"):
         if not outputs[k]:
             raise ValueError(f"operations.outputs: {k} is required")
+    if not isinstance(outputs["flush_batch_size"], int) or outputs["flush_batch_size"] < 1:
+        raise ValueError("operations.outputs.flush_batch_size must be a whole number, 1 at least")
     names = [x["name"] for x in loaders]
     if len(set(names)) < len(names):
         raise ValueError("dataloaders: names must differ")

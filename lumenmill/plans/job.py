@@ -22,8 +22,9 @@ from ..functions.codec import UnsupportedFormat, decode_image, encode_png
 from ..functions.matching import include_exclude
 from ..functions.recipes import artifact_name
 from ..operators.transformations import Transformation
-from ..sources import parquet
+from ..sources import loaders, parquet
 from .config import FAST, Job, parse
+from .writers import OutputWriter, writer_of
 
 LEDGER = StructType(
     [StructField(c, StringType(), False) for c in ("selection", "dataloader", "parent_id", "id", "algorithm", "family", "arity")]
@@ -43,26 +44,26 @@ def decode(value, height, width, shape, prefix: str) -> np.ndarray:
         if height is None or width is None:
             raise ValueError("raw bytes need image_shape, or height and width columns")
         return np.frombuffer(value, np.uint8).reshape(int(height), int(width), 4)
-    if not value.startswith("/"):
+    if not value.startswith("/") and "://" not in value:
         if not prefix:
             raise ValueError(f"the path {value!r} is relative and there is no prefix")
         value = os.path.join(prefix, value)
-    with open(value, "rb") as f:
-        return decode_image(f.read())
+    return decode_image(read_file(value))
 
 
-def write_once(path: str, data: bytes) -> None:
-    """A file under its content's name; repeated and speculative tasks write the same."""
-    if os.path.exists(path):
-        return
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    temporary = f"{path}.{uuid.uuid4().hex}"
-    with open(temporary, "wb") as f:
-        f.write(data)
-    os.replace(temporary, path)
+def read_file(path: str) -> bytes:
+    """A whole file, local or by URI."""
+    if "://" in path:
+        from pyarrow import fs
 
+        store, path = fs.FileSystem.from_uri(path)
+        with store.open_input_stream(path) as f:
+            return f.read()
+    with open(path, "rb") as f:
+        return f.read()
 
-def kernel(selection: str, loader: dict, transformations: list[Transformation], samples_dir: str | None, errors: dict, payloads: bool, ahead: int = 64):
+
+def kernel(selection: str, loader: dict, transformations: list[Transformation], writer: OutputWriter, errors: dict, payloads: bool, ahead: int = 64):
     """(_id, _sample, _height, _width, _file, _row, *kept) to status and ledger rows."""
     prefix, shape, images = loader["sample_path"][0].get("prefix") or "", loader["image_shape"], errors["images"]
     on_decode = images["on_decode_failure"] or errors["default"]
@@ -98,11 +99,12 @@ def kernel(selection: str, loader: dict, transformations: list[Transformation],
                             continue
                         own = r.identity(parent)
                         name = artifact_name(selection, own, out)
-                        png = encode_png(out) if samples_dir or payloads else None
-                        if samples_dir:
-                            write_once(os.path.join(samples_dir, name), png)
+                        png = encode_png(out) if writer.payload or payloads else None
+                        if writer.payload:
+                            writer.add_payload(selection, name, png)
                         source.append(i)
                         rows.append((t, None, selection, loader["name"], parent, own, r.algorithm, r.family, r.arity, r.reversible, r.params_json, r.seed, r.tool_model, r.target_model, name, png if payloads else None))
+                writer.flush()
                 types = [pa.int32(), pa.string(), *[pa.string()] * 7, pa.bool_(), pa.string(), pa.int64(), *[pa.string()] * 3, pa.binary()]
                 made = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
                 back = part.take(pa.array(source))
@@ -113,7 +115,7 @@ def kernel(selection: str, loader: dict, transformations: list[Transformation],
 
 def staged(spark: SparkSession, job: Job, loader: dict, payloads: bool = False, source: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
     """The kernel's rows of one loader, and the pass-through columns."""
-    df = parquet.scan(spark, loader) if source is None else source
+    df = loaders.scan(spark, loader) if source is None else source
     sample = loader["sample_path"][0]["column"]
     if sample not in df.columns:
         raise ValueError(f"the source has no column {sample!r}")
@@ -124,9 +126,9 @@ def staged(spark: SparkSession, job: Job, loader: dict, payloads: bool = False,
     size = lambda c: (F.col(c) if c in df.columns else F.lit(None)).cast("int").alias(f"_{c}")
     # only what the kernel needs crosses to Python
     rows = df.select("_id", F.col(sample).alias("_sample"), size("height"), size("width"), "_file", "_row", *kept)
-    folder = out["samples_dir"].format(selection=loader["name"]) if out["write_samples"] and not payloads else None
+    writer = OutputWriter("none") if payloads else writer_of("images", "images", {k: out[k] for k in ("samples_dir", "write_samples", "flush_batch_size")})
     schema = StructType([StructField("_t", IntegerType()), StructField("_error", StringType()), *[StructField(f.name, f.dataType) for f in LEDGER], StructField("_png", BinaryType()), StructField("_file", StringType()), StructField("_row", LongType()), *[df.schema[c] for c in kept]])
-    run = kernel(loader["name"], loader, job.transformations, folder, job.errors, payloads)
+    run = kernel(loader["name"], loader, job.transformations, writer, job.errors, payloads)
     return rows.mapInArrow(run, schema), kept
 
 
@@ -134,6 +136,27 @@ def ledger_of(rows: DataFrame, kept: list[str]) -> DataFrame:
     return rows.filter("_t >= 0").select(*LEDGER.names, *kept)
 
 
+def deliver(spark: SparkSession, job: Job, selection: str, rows: DataFrame, kept: list[str], path: str, ledger: OutputWriter, ordered: bool = True, single_file: bool = False) -> int:
+    """Stage the kernel's rows, hold them against the failure gate, write the ledger; its number of rows."""
+    staging = f"{path}.staging-{uuid.uuid4().hex}"
+    rows.drop("_png").write.parquet(staging)
+    try:
+        made = spark.read.parquet(staging)
+        total, failed, n = made.agg(F.count_if(F.col("_t") == -1), F.count_if((F.col("_t") == -1) & F.col("_error").isNotNull()), F.count_if(F.col("_t") >= 0)).first()
+        if total and failed / total > job.errors["max_failure_rate"]:
+            raise RuntimeError(f"{selection}: {failed} of {total} samples could not be decoded; the limit is {job.errors['max_failure_rate']:.0%}")
+        if n:
+            out = made.filter("_t >= 0")
+            if ordered:
+                order = ["_file", "_row", "_t"]
+                out = out.repartition(1).sortWithinPartitions(*order) if single_file else out.orderBy(*order)
+            ledger.add_rows(selection, out.select(*LEDGER.names, *kept))
+        return n
+    finally:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def run_job(spark: SparkSession, given: dict, instances: dict | None = None, ordered: bool = True, single_file: bool = False) -> dict[str, int]:
     """Run a job; the number of ledger rows by selection.
 
@@ -141,30 +164,14 @@ def run_job(spark: SparkSession, given: dict, instances: dict | None = None, ord
     if asked); without it it is written with no shuffle.
     """
     job, summary = parse(given, instances), {}
+    ledger = writer_of("parquet", "ledger", {k: job.outputs[k] for k in ("path", "flush_batch_size")})
     for loader in job.loaders:
         selection = loader["name"]
         if not job.transformations:
             summary[selection] = 0
             continue
-        path = job.outputs["path"].format(selection=selection)
         rows, kept = staged(spark, job, loader)
-        staging = f"{path}.staging-{uuid.uuid4().hex}"
-        rows.drop("_png").write.parquet(staging)
-        try:
-            made = spark.read.parquet(staging)
-            total, failed, n = made.agg(F.count_if(F.col("_t") == -1), F.count_if((F.col("_t") == -1) & F.col("_error").isNotNull()), F.count_if(F.col("_t") >= 0)).first()
-            if total and failed / total > job.errors["max_failure_rate"]:
-                raise RuntimeError(f"{selection}: {failed} of {total} samples could not be decoded; the limit is {job.errors['max_failure_rate']:.0%}")
-            summary[selection] = n
-            if n:
-                out = made.filter("_t >= 0")
-                if ordered:
-                    order = ["_file", "_row", "_t"]
-                    out = out.repartition(1).sortWithinPartitions(*order) if single_file else out.orderBy(*order)
-                out.select(*LEDGER.names, *kept).write.mode("overwrite").parquet(path)
-        finally:
-            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging)
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        summary[selection] = deliver(spark, job, selection, rows, kept, job.outputs["path"].format(selection=selection), ledger, ordered, single_file)
     return summary
 
 

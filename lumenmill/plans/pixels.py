@@ -153,13 +153,16 @@ def entry(name: str, given: dict) -> dict:
     return {"type": name, "seed": 7, **given}
 
 
+def placed(value: str) -> str:
+    """The 64 numbers of a result; y, x and c are a number's place."""
+    return f"list_transform(range(64), lambda i: list_transform([{{'y': i // 16, 'x': i // 4 % 4, 'c': i % 4}}], lambda o: {_named(value)})[1])"
+
+
 def sql(frames: str) -> str:
     """All cases over ``frames``, a query of (parent_id, b)."""
     parts = []
     for k, (name, _, value) in enumerate(CASES):
-        # y, x and c are places of the 64 numbers
-        placed = f"list_transform(range(64), lambda i: list_transform([{{'y': i // 16, 'x': i // 4 % 4, 'c': i % 4}}], lambda o: {_named(value)})[1])"
-        parts.append(f"SELECT parent_id, {k} AS number, '{name}' AS algorithm, array_to_string({placed}, ',') AS pixels FROM frames")
+        parts.append(f"SELECT parent_id, {k} AS number, '{name}' AS algorithm, array_to_string({placed(value)}, ',') AS pixels FROM frames")
     return f"WITH frames AS ({frames}) " + " UNION ALL ".join(parts)
 
 

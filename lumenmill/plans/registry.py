@@ -16,12 +16,12 @@ from ..functions import arrays
 from ..functions.matching import include_exclude
 from ..functions.ranks import row_index
 from ..functions.recipes import Recipe
-from ..functions.sweeps import Sweep
 from ..operators.catalogue import CATALOGUE
 from ..operators.transformations import Transformation, entries
 from ..sources import parquet
 from . import analytics, pixels
-from .job import LEDGER, RANGE
+from .config import parse
+from .job import LEDGER, RANGE, ledger_of, staged
 
 QUERIES, ORACLES = {}, {}
 FLIP = Recipe("horizontal_flip", reversible=True)
@@ -183,7 +183,8 @@ def sweep_cartesian(spark, sf_dir):
     return _swept_ids(spark, sf_dir, {"fraction": {"range": [0.25, 0.5], "samples": 2}, "left": {"range": [0, 16], "step": 8}})
 
 
-@query(_swept_sql(Sweep.parse({"range": [0.2, 0.9], "samples": 4, "mode": "random"}).values(42)))
+# Four uniform draws of seed 42 over 0.2..0.9, rounded as a sweep's values are.
+@query(_swept_sql([0.74, 0.51, 0.8, 0.69]))
 def sweep_random(spark, sf_dir):
     return _swept_ids(spark, sf_dir, {"fraction": {"range": [0.2, 0.9], "samples": 4, "mode": "random"}})
 
@@ -331,6 +332,21 @@ def union_selections(spark, sf_dir):
     return docs.unionByName(parts)
 
 
+# How many catalogue transformations each family has.
+@query("SELECT f AS family, n * (SELECT count(*) FROM embeddings) AS outputs FROM (VALUES ('geometric', 21), ('color', 21), ('blur', 10), ('dropout', 7), ('noise', 6), ('weather', 6), ('dihedral', 3), ('compression', 2)) t(f, n)")
+def family_counts(spark, sf_dir):
+    families = F.create_map(*[F.lit(v) for e in CATALOGUE.values() for v in (e.name, e.family)])
+    return catalogue_ids(spark, sf_dir).groupBy(families[F.col("algorithm")].alias("family")).agg(F.count("*").alias("outputs"))
+
+
+@query("""WITH s AS (SELECT o_orderpriority AS scenario, list_sort(list(o_totalprice)) AS s, count(*) AS n FROM orders WHERE o_totalprice IS NOT NULL GROUP BY 1)
+    SELECT scenario, n, round((s[(n - 1) // 2 + 1] + s[n // 2 + 1]) / 2, 4) AS median, round(s[3 * n // 4 + 1] - s[n // 4 + 1], 4) AS iqr FROM s""")
+def memory_iqr(spark, sf_dir):
+    """Median and quartile range of a measure by scenario, as of peak memory."""
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("scenario"), F.col("o_totalprice").cast("double").alias("v"))
+    return analytics.spread(rows, ["scenario"], "v").select("scenario", F.col("n").cast("long").alias("n"), F.round("median", 4).alias("median"), F.round("iqr", 4).alias("iqr"))
+
+
 # --- kernels over 4 x 4 frames ----------------------------------------------------------------
 
 
@@ -412,6 +428,82 @@ def catalogue_pixels(spark, sf_dir):
     return rows.mapInArrow(run, "parent_id string, number int, algorithm string, pixels string")
 
 
+# --- a whole job ------------------------------------------------------------------------------
+
+
+class Middle:
+    """A target model whose loss grows away from mid-grey."""
+
+    name = "middle"
+
+    def grad(self, xs):
+        return xs - 0.5
+
+
+JOB = {
+    "dataloaders": {"loaders": [{"type": "parquet", "name": "frames", "path": "-", "id_column": "vec_id", "sample_path": [{"column": "img"}], "image_shape": [4, 4], "filters": [{"column": "label", "values": [1, 2, 3]}], "transform": [{"column": "label", "to_type": "str"}]}]},
+    "models": {"fill": {"type": "border_fill"}, "mid": {"type": "python", "module": "lumenmill.plans.registry", "export": "Middle"}},
+    "operations": {
+        "outputs": {"path": "-", "samples_dir": "-", "write_samples": False, "include": ["label*"]},
+        "transformations": [
+            {"type": "horizontal_flip"},
+            {"type": "crop_resize", "fraction": 0.5, "left": 1},
+            {"type": "inpaint", "tool_model": "fill", "top": 1, "left": 1, "height": 2, "width": 2},
+            {"type": "fgsm", "target_model": "mid", "epsilon": 0.1},
+        ],
+    },
+}
+RING = pixels.total([pixels.at(str(y), str(x)) for y in range(4) for x in range(4) if y in (0, 3) or x in (0, 3)])
+#: recipe and pixels of each transformation of the job
+MADE = [
+    (FLIP, pixels.at(x="3 - x")),
+    (Recipe("crop_resize", params={"fraction": 0.5, "top": 0, "left": 1}), pixels.at("y // 2", "1 + x // 2")),
+    (Recipe("inpaint", "generative", params={"top": 1, "left": 1, "height": 2, "width": 2}, tool_model="border_fill"), f"CASE WHEN x IN (1, 2) AND y IN (1, 2) AND c < 3 THEN {pixels.near(RING + ' / 12e0')} ELSE {pixels.V} END"),
+    (Recipe("fgsm", "adversarial", params={"epsilon": 0.1}, target_model="middle"), pixels.near(f"255 * greatest(0e0, least(1e0, {pixels.V} / 255e0 + 0.1e0 * sign({pixels.V} / 255e0 - 0.5e0)))")),
+]
+
+
+def _job_sql() -> str:
+    quoted = lambda v: "CAST(NULL AS VARCHAR)" if v is None else "'" + v.replace("'", "''") + "'"
+    parts = []
+    for r, value in MADE:
+        own, content = _recipe_sql(r, "parent_id"), f"unhex(array_to_string(list_transform({pixels.placed(value)}, lambda v: printf('%02x', v)), ''))"
+        parts.append(f"""SELECT 'frames' AS selection, 'frames' AS dataloader, parent_id, {own} AS id, {quoted(r.algorithm)} AS algorithm, {quoted(r.family)} AS family, 'unary' AS arity,
+            {str(r.reversible).lower()} AS reversible, {quoted(r.params_json)} AS params, CAST(NULL AS BIGINT) AS seed, {quoted(r.tool_model)} AS tool_model, {quoted(r.target_model)} AS target_model,
+            'frames__' || {own} || '__' || substr(sha1({content}), 1, 6) || '.png' AS artifact, label, CAST(label AS VARCHAR) AS label_str FROM frames""")
+    return f"WITH frames AS (SELECT CAST(vec_id AS VARCHAR) AS parent_id, label, {BYTES} AS b FROM (SELECT vec_id, label, {X} AS x FROM embeddings WHERE label IN (1, 2, 3))) " + " UNION ALL ".join(parts)
+
+
+def _packed(b):
+    """Numbers 0..255 as binary."""
+    return F.unhex(F.array_join(F.transform(b, lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")), ""))
+
+
+@query(_job_sql())
+def job_ledger(spark, sf_dir):
+    """A job from its configuration to its ledger: filter, cast, decode, every role of model, pass-through."""
+    job = parse(JOB)
+    loader = job.loaders[0]
+    source = _table(spark, sf_dir, "embeddings").select("vec_id", "label", _packed(arrays.to_bytes(arrays.doubles(F.col("embedding")))).alias("img"), F.lit("embeddings").alias("_file"), F.col("vec_id").cast("long").alias("_row"))
+    return ledger_of(*staged(spark, job, loader, source=parquet.prepared(source, loader)))
+
+
+def _payload_sql() -> str:
+    content = f"unhex(array_to_string(list_transform({pixels.placed(pixels.at(x='3 - x'))}, lambda v: printf('%02x', v)), ''))"
+    return f"WITH frames AS ({FRAMES}) SELECT {_recipe_sql(FLIP, 'parent_id')} AS id, parent_id, sha256({content}) AS payload_sha256 FROM frames"
+
+
+@query(_payload_sql())
+def payload_join(spark, sf_dir):
+    """Each ledger row with its payload, met by the artifact's name."""
+    b = arrays.to_bytes(arrays.doubles(F.col("embedding")))
+    flipped = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.get(F.col("b"), i + 12 - 8 * F.floor(i / 4).cast("int") % 32))
+    parent = F.col("vec_id").cast("string")
+    payload = _table(spark, sf_dir, "embeddings").select(parent.alias("p"), FLIP.identity_column(parent).alias("own"), b.alias("b")).select("own", _packed(flipped).alias("content"))
+    payload = payload.select(F.concat(F.lit("embeddings__"), "own", F.lit("__"), F.substring(F.sha1("content"), 1, 6), F.lit(".png")).alias("artifact"), "content")
+    return frame_flip_artifacts(spark, sf_dir).join(payload, "artifact").select("id", "parent_id", F.sha2("content", 256).alias("payload_sha256"))
+
+
 def _catalogue_ids_sql() -> str:
     parts = [f"SELECT CAST(vec_id AS VARCHAR) AS parent_id, '{name}' AS algorithm, {_recipe_sql(entries(small_entry(name))[0].recipe)} AS id FROM embeddings" for name in sorted(CATALOGUE)]
     return " UNION ALL ".join(parts)

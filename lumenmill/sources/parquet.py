@@ -13,16 +13,14 @@ from ..functions.matching import value_condition
 from ..functions.ranks import row_index
 
 TYPES = {"int32": "int", "int64": "bigint", "float32": "float", "float64": "double", "bool": "boolean", "str": "string", "categorical": "string"}
-KEYS = {"name", "type", "path", "id_column", "load_batch_size", "filters", "sample_path", "transform", "storage", "decode", "image_shape"}
+KEYS = {"name", "type", "id_column", "load_batch_size", "filters", "sample_path", "transform", "storage", "decode", "image_shape"}
 
 
-def validated(given: dict) -> dict:
-    """A loader entry with its defaults; unknown fields and types are refused."""
-    if unknown := set(given) - KEYS:
+def validated(given: dict, fields: frozenset[str] = frozenset({"path"}), required: tuple[str, ...] = ("path",)) -> dict:
+    """A loader entry with its defaults; unknown fields are refused."""
+    if unknown := set(given) - KEYS - fields:
         raise ValueError(f"dataloaders: unknown fields: {', '.join(sorted(unknown))}")
-    if given.get("type") != "parquet":
-        raise ValueError(f"unknown dataloader type {given.get('type')!r}")
-    for k in ("name", "path", "sample_path"):
+    for k in ("name", *required, "sample_path"):
         if not given.get(k):
             raise ValueError(f"dataloaders: {k} is required")
     if given.get("decode", "img_bytes") != "img_bytes":
@@ -66,10 +64,13 @@ def cast_columns(df: DataFrame, transforms: list[dict]) -> DataFrame:
     return df
 
 
-def scan(spark: SparkSession, loader: dict) -> DataFrame:
-    """The source's rows with ``_file`` and ``_row`` (their place) and ``_id``."""
-    df = spark.read.parquet(loader["path"])
-    df = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+def read(spark: SparkSession, loader: dict) -> DataFrame:
+    """The files' rows with ``_file`` and ``_row``, their place."""
+    return spark.read.parquet(loader["path"]).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
+
+def prepared(df: DataFrame, loader: dict) -> DataFrame:
+    """Rows filtered and cast, with ``_id``: a column's value, or the row's number."""
     condition = filter_condition(loader["filters"])
     if condition is not None:
         df = df.filter(condition)
@@ -79,5 +80,10 @@ def scan(spark: SparkSession, loader: dict) -> DataFrame:
     return row_index(df, "_file", "_row", "_n").withColumn("_id", F.col("_n").cast("string")).drop("_n")
 
 
+def scan(spark: SparkSession, loader: dict) -> DataFrame:
+    """The source's rows with ``_file`` and ``_row`` (their place) and ``_id``."""
+    return prepared(read(spark, loader), loader)
+
+
 def columns_of(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in ("_file", "_row", "_id")]

@@ -13,7 +13,8 @@ from pyspark.sql.types import StructType
 
 from ..functions.recipes import Recipe
 from ..plans.config import parse
-from ..plans.job import ledger_of, staged
+from ..plans.job import deliver, staged
+from ..plans.writers import writer_of
 from ..sources import parquet
 
 
@@ -24,21 +25,35 @@ def stream_ledger(stream: DataFrame, recipes: list[Recipe], id_column: str, sele
     return stream.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def start(spark: SparkSession, given: dict, schema: StructType, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Run a job's first loader over files as they arrive; ledger files are appended."""
+def start(spark: SparkSession, given: dict, schema: StructType, checkpoint: str, available_now: bool = True, selection: str | None = None) -> StreamingQuery:
+    """Run one of a job's loaders (the first, or the named) over files as they arrive.
+
+    Every micro-batch passes the failure gate on its own and appends ledger files;
+    a batch that fails it stops the stream with nothing of it written.
+    """
     job = parse(given)
-    loader = job.loaders[0]
+    loader = next((x for x in job.loaders if selection in (None, x["name"])), None)
+    if loader is None:
+        raise ValueError(f"no loader is named {selection!r}")
+    if loader["type"] != "parquet":
+        raise ValueError("a stream reads parquet files")
     if not loader["id_column"]:
         raise ValueError("a stream needs id_column")
     path = job.outputs["path"].format(selection=loader["name"])
 
     def batch(df: DataFrame, number: int) -> None:
         loaded = df.withColumn("_file", F.lit(f"batch-{number}")).withColumn("_row", F.lit(0).cast("long"))
-        condition = parquet.filter_condition(loader["filters"])
-        rows = parquet.cast_columns(loaded.filter(condition) if condition is not None else loaded, loader["transform"])
-        rows = rows.withColumn("_id", F.col(loader["id_column"]).cast("string"))
-        made, kept = staged(spark, job, loader, source=rows)
-        ledger_of(made, kept).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        made, kept = staged(spark, job, loader, source=parquet.prepared(loaded, loader))
+        own = f"{path}/batch={number}"
+        deliver(spark, job, loader["name"], made, kept, f"{path}.batch-{number}", writer_of("parquet", "ledger", {"path": own}), ordered=False)
 
     writer = spark.readStream.schema(schema).parquet(loader["path"]).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def start_all(spark: SparkSession, given: dict, schemas: dict[str, StructType], checkpoint: str, available_now: bool = True) -> dict[str, StreamingQuery]:
+    """One stream for each of a job's loaders, with a checkpoint of its own."""
+    names = [x["name"] for x in parse(given).loaders]
+    if lacks := [n for n in names if n not in schemas]:
+        raise ValueError(f"streams need the schema of {', '.join(lacks)}")
+    return {n: start(spark, given, schemas[n], f"{checkpoint}/{n}", available_now, n) for n in names}
