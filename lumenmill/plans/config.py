@@ -61,6 +61,8 @@ def parse(given: dict, instances: dict[str, Any] | None = None) -> Job:
     compute = COMPUTE | closed("compute", given.get("compute"), COMPUTE)
     if compute["max_memory"] is not None:
         memory_bytes(compute["max_memory"])  # Spark's own settings bound memory; the size must be one
+    if not isinstance(compute["threads"], int) or compute["threads"] < 1:
+        raise ValueError("compute.threads must be a whole number, 1 at least")
     section = closed("dataloaders", given.get("dataloaders"), ("loaders", "errors"))
     loaders = [sources.validated(x) for x in section.get("loaders") or []]
     if not loaders:

@@ -2,7 +2,8 @@
 
 A row's sample is decoded once and every recipe is applied to it inside one
 ``mapInArrow``, so pixels never leave the task that read them but as payload
-files. Only an ordered ledger is shuffled, without pixels. The kernel's
+files. A task with several cores (``spark.task.cpus``) applies recipes to a large
+sample on up to ``compute.threads`` threads. Only an ordered ledger is shuffled, without pixels. The kernel's
 rows go to a staging table first: the failure gate reads its counters there, and
 the ledger appears only after the gate has passed.
 """
@@ -11,6 +12,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,8 @@ LEDGER = StructType(
     + [StructField(c, StringType()) for c in ("tool_model", "target_model", "artifact")]
 )
 RANGE = (0.0, 255.0)
+#: Samples of so many bytes are worth a task's threads.
+LARGE = 1 << 20
 
 
 def decode(value, height, width, shape, prefix: str) -> np.ndarray:
@@ -63,13 +68,31 @@ def read_file(path: str) -> bytes:
         return f.read()
 
 
-def kernel(selection: str, loader: dict, transformations: list[Transformation], writer: OutputWriter, errors: dict, payloads: bool, ahead: int = 64):
+def kernel(selection: str, loader: dict, transformations: list[Transformation], writer: OutputWriter, errors: dict, payloads: bool, threads: int = 1, ahead: int = 64):
     """(_id, _sample, _height, _width, _file, _row, *kept) to status and ledger rows."""
     prefix, shape, images = loader["sample_path"][0].get("prefix") or "", loader["image_shape"], errors["images"]
     on_decode = images["on_decode_failure"] or errors["default"]
     on_format, on_transform = images["on_unsupported_format"] or FAST, images["on_transform_error"] or FAST
 
+    def made(t: Transformation, x: np.ndarray, parent: str) -> tuple[str, str, bytes | None]:
+        out, own = t.apply(x, parent, RANGE), t.recipe.identity(parent)
+        return own, artifact_name(selection, own, out), encode_png(out) if writer.payload or payloads else None
+
+    def results(x: np.ndarray, parent: str, pool: ThreadPoolExecutor | None):
+        """Each transformation's result as something to call, in order; models stay on the task's own thread."""
+        width = threads if pool and x.nbytes >= LARGE else 1
+        for start in range(0, len(transformations), width):
+            part = transformations[start : start + width]
+            yield from [pool.submit(made, t, x, parent).result if width > 1 and t.algorithm.role is None else partial(made, t, x, parent) for t in part]
+
     def run(batches):
+        if threads == 1:
+            yield from each(batches, None)
+            return
+        with ThreadPoolExecutor(threads) as pool:
+            yield from each(batches, pool)
+
+    def each(batches, pool):
         for batch in batches:
             kept = batch.schema.names[6:]
             for start in range(0, batch.num_rows, ahead):
@@ -87,19 +110,16 @@ def kernel(selection: str, loader: dict, transformations: list[Transformation],
                         continue
                     source.append(i)
                     rows.append((-1, None, *[None] * 14))
-                    for t, transformation in enumerate(transformations):
-                        r = transformation.recipe
+                    for t, result in enumerate(results(x, parent, pool)):
+                        r = transformations[t].recipe
                         try:
-                            out = transformation.apply(x, parent, RANGE)
+                            own, name, png = result()
                         except Exception as e:
                             if on_transform == FAST:
                                 raise
                             source.append(i)
                             rows.append((-2, f"{type(e).__name__}: {e}", *[None] * 14))
                             continue
-                        own = r.identity(parent)
-                        name = artifact_name(selection, own, out)
-                        png = encode_png(out) if writer.payload or payloads else None
                         if writer.payload:
                             writer.add_payload(selection, name, png)
                         source.append(i)
@@ -128,7 +148,8 @@ def staged(spark: SparkSession, job: Job, loader: dict, payloads: bool = False,
     rows = df.select("_id", F.col(sample).alias("_sample"), size("height"), size("width"), "_file", "_row", *kept)
     writer = OutputWriter("none") if payloads else writer_of("images", "images", {k: out[k] for k in ("samples_dir", "write_samples", "flush_batch_size")})
     schema = StructType([StructField("_t", IntegerType()), StructField("_error", StringType()), *[StructField(f.name, f.dataType) for f in LEDGER], StructField("_png", BinaryType()), StructField("_file", StringType()), StructField("_row", LongType()), *[df.schema[c] for c in kept]])
-    run = kernel(loader["name"], loader, job.transformations, writer, job.errors, payloads)
+    threads = min(job.compute["threads"], int(spark.conf.get("spark.task.cpus", "1")))
+    run = kernel(loader["name"], loader, job.transformations, writer, job.errors, payloads, threads)
     return rows.mapInArrow(run, schema), kept
 
 

@@ -164,3 +164,41 @@ def test_all_loaders_stream_through_the_gate(spark, sources, frames, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/synthetic/ledger").count() == 16 and not (tmp_path / "second/ledger").exists()
     with pytest.raises(ValueError):
         start(spark, given, schema, str(tmp_path / "x"), selection="third")
+
+
+def test_threads_change_nothing(frames):
+    import pyarrow as pa
+
+    from lumenmill.operators.transformations import entries as made
+    from lumenmill.plans.config import merged_errors
+    from lumenmill.plans.job import kernel
+
+    big = np.random.default_rng(1).integers(0, 256, (600, 500, 4)).astype(np.uint8)
+    given = [made({"type": n, "seed": 3})[0] for n in ("gaussian_blur", "d4", "random_fog", "elastic_transform", "posterize")]
+    given += made({"type": "inpaint", "tool_model": "fill", "height": 4, "width": 4}, references={"fill": {"type": "border_fill", "params": {}}})
+    loader = {"name": "a", "sample_path": [{"column": "img"}], "image_shape": None}
+    rows = pa.RecordBatch.from_pylist([{"_id": str(k), "_sample": x.tobytes(), "_height": x.shape[0], "_width": x.shape[1], "_file": "f", "_row": k} for k, x in enumerate((big, frames["syn_0000"], big[::-1]))])
+    out = [[b.to_pylist() for b in kernel("a", loader, given, writers.OutputWriter("none"), merged_errors(None, None), True, n)([rows])] for n in (1, 3)]
+    assert out[0] == out[1] and len(out[0][0]) == 3 * (len(given) + 1)
+    errors = merged_errors({"images": {"on_transform_error": "silent_fail"}}, None)
+    wrong = [made({"type": "crop_resize", "fraction": 0.5, "top": 550})[0], *given[:2]]
+    out = [[b.to_pylist() for b in kernel("a", loader, wrong, writers.OutputWriter("none"), errors, True, n)([rows])] for n in (1, 3)]
+    assert out[0] == out[1] and [r["_t"] for r in out[0][0]].count(-2) == 3
+    with pytest.raises(ValueError):
+        list(kernel("a", loader, wrong, writers.OutputWriter("none"), merged_errors(None, None), True, 3)([rows]))
+
+
+@pytest.mark.parametrize("shape", [(5, 7, 3), (40, 30, 3), (3, 3, 1), (90, 40, 2), (1, 1, 4)])
+@pytest.mark.parametrize("n", [1, 3, 4, 7, 21])
+@pytest.mark.parametrize("axis", [0, 1])
+def test_band_products_equal_sums(shape, n, axis):
+    from lumenmill.operators.kernels import along
+
+    rng = np.random.default_rng(n)
+    x, taps = rng.integers(0, 256, shape).astype(np.uint8), rng.random(n)
+    mode = "reflect" if min(shape[:2]) > n // 2 else "symmetric"
+    pad = [(0, 0)] * 3
+    pad[axis] = (n // 2, (n - 1) // 2)
+    around = np.pad(x.astype(float), pad, mode=mode)
+    want = sum(w * np.take(around, np.arange(k, k + shape[axis]), axis) for k, w in enumerate(taps))
+    assert np.allclose(along(x, taps, axis), want)
