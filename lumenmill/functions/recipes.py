@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOLE = "\x00parent\x00"
@@ -39,10 +39,15 @@ class Recipe:
         fields = {"parent_id": parent_id, "algorithm": self.algorithm, "family": self.family, "arity": self.arity, "reversible": self.reversible, "params": self.params, "seed": self.seed, "tool_model": self.tool_model, "target_model": self.target_model}
         return json.dumps(fields, sort_keys=True, default=str)
 
+    def around(self) -> tuple[str, str]:
+        """The identity's JSON before and after the parent's text."""
+        before, after = self._json(HOLE).split(json.dumps(HOLE))
+        return before, after
+
     def identity_column(self, parent: Column) -> Column:
         """The same as an expression."""
-        before, after = self._json(HOLE).split(json.dumps(HOLE))
-        return F.substring(F.sha1(F.concat(F.lit(before), json_text(parent), F.lit(after)).cast("binary")), 1, 12)
+        before, after = self.around()
+        return hashed(F.lit(before), json_text(parent), F.lit(after))
 
     def generator(self, parent_id: str) -> np.random.Generator | None:
         """Draws that depend on the seed, the parameters and the parent alone."""
@@ -55,14 +60,35 @@ class Recipe:
         """The thirteen ledger columns as expressions; content: the sample's raw bytes."""
         own = self.identity_column(parent)
         name = F.concat(F.lit(f"{selection}__"), own, F.lit("__"), F.substring(F.sha1(content), 1, 6), F.lit(".png")) if content is not None else F.lit(None).cast("string")
-        text = lambda v: F.lit(v).cast("string")
+        word = lambda v: F.lit(v).cast("string")
         return [
-            text(selection).alias("selection"), text(dataloader).alias("dataloader"), parent.alias("parent_id"), own.alias("id"),
-            text(self.algorithm).alias("algorithm"), text(self.family).alias("family"), text(self.arity).alias("arity"), F.lit(self.reversible).alias("reversible"),
-            text(self.params_json).alias("params"), F.lit(self.seed).cast("long").alias("seed"), text(self.tool_model).alias("tool_model"), text(self.target_model).alias("target_model"), name.alias("artifact"),
+            word(selection).alias("selection"), word(dataloader).alias("dataloader"), parent.alias("parent_id"), own.alias("id"),
+            word(self.algorithm).alias("algorithm"), word(self.family).alias("family"), word(self.arity).alias("arity"), F.lit(self.reversible).alias("reversible"),
+            word(self.params_json).alias("params"), F.lit(self.seed).cast("long").alias("seed"), word(self.tool_model).alias("tool_model"), word(self.target_model).alias("target_model"), name.alias("artifact"),
         ]
 
 
+def hashed(before: Column, text: Column, after: Column) -> Column:
+    return F.substring(F.sha1(F.concat(before, text, after).cast("binary")), 1, 12)
+
+
+FIELDS = {"algorithm": "string", "family": "string", "arity": "string", "reversible": "boolean", "params": "string", "seed": "long", "tool_model": "string", "target_model": "string"}
+
+
+def identified(df: DataFrame, recipes: list[Recipe], parent: Column, fields=tuple(FIELDS), **more: list) -> DataFrame:
+    """A row for every parent and recipe: ``parent_id``, ``id``, a recipe's ledger fields and ``more`` (a value for each recipe).
+
+    The parent's JSON text is made once a row, not once a recipe.
+    """
+    made = []
+    for k, r in enumerate(recipes):
+        before, after = r.around()
+        own = [F.lit(r.params_json if c == "params" else getattr(r, c)).cast(FIELDS[c]).alias(c) for c in fields]
+        made.append(F.struct(hashed(F.lit(before), F.col("_text"), F.lit(after)).alias("id"), *own, *[F.lit(values[k]).alias(name) for name, values in more.items()]))
+    rows = df.select(parent.cast("string").alias("parent_id")).withColumn("_text", json_text(F.col("parent_id")))
+    return rows.select("parent_id", F.explode(F.array(*made)).alias("r")).select("parent_id", "r.*")
+
+
 def json_text(value: Column) -> Column:
     """A string as the JSON text that Python writes: all but printable ASCII is escaped."""
 

@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from ..functions import arrays
 from ..functions.matching import include_exclude
 from ..functions.ranks import row_index
-from ..functions.recipes import Recipe
+from ..functions.recipes import Recipe, identified
 from ..operators.catalogue import CATALOGUE
 from ..operators.transformations import Transformation, entries
 from ..sources import parquet
+from ..streaming.files import stream_ledger
 from . import analytics, pixels
 from .config import parse
 from .job import LEDGER, RANGE, ledger_of, staged
@@ -153,9 +154,9 @@ def _swept(sweep: dict) -> list[Transformation]:
 
 
 def _swept_ids(spark, sf_dir, sweep: dict) -> DataFrame:
-    parent = F.col("vec_id").cast("string")
-    variants = F.array(*[F.struct(F.lit(t.name).alias("name"), F.lit(t.recipe.params_json).alias("params"), t.recipe.identity_column(parent).alias("id")) for t in _swept(sweep)])
-    return _table(spark, sf_dir, "embeddings").select("vec_id", F.explode(variants).alias("v")).select("vec_id", "v.*")
+    made = _swept(sweep)
+    rows = identified(_table(spark, sf_dir, "embeddings"), [t.recipe for t in made], F.col("vec_id"), ["params"], name=[t.name for t in made])
+    return rows.select(F.col("parent_id").cast("long").alias("vec_id"), "name", "params", "id")
 
 
 def _swept_sql(fractions: list[float], lefts: list[int] | None = None) -> str:
@@ -191,9 +192,7 @@ def sweep_random(spark, sf_dir):
 
 @query(f"{_ledger_sql(FLIP)} UNION ALL {_ledger_sql(CROP)}")
 def ledger_13_columns(spark, sf_dir):
-    parent = F.col("vec_id").cast("string")
-    rows = F.array(*[F.struct(*r.columns(parent, "embeddings", "embeddings")) for r in (FLIP, CROP)])
-    return _table(spark, sf_dir, "embeddings").select(F.explode(rows).alias("r")).select("r.*")
+    return stream_ledger(_table(spark, sf_dir, "embeddings"), [FLIP, CROP], "vec_id", "embeddings")
 
 
 @query("SELECT vec_id, CAST(json_extract(p, '$.fraction') AS DOUBLE) AS fraction FROM (SELECT vec_id, '" + CROP.params_json + "' AS p FROM embeddings)")
@@ -335,8 +334,9 @@ def union_selections(spark, sf_dir):
 # How many catalogue transformations each family has.
 @query("SELECT f AS family, n * (SELECT count(*) FROM embeddings) AS outputs FROM (VALUES ('geometric', 21), ('color', 21), ('blur', 10), ('dropout', 7), ('noise', 6), ('weather', 6), ('dihedral', 3), ('compression', 2)) t(f, n)")
 def family_counts(spark, sf_dir):
-    families = F.create_map(*[F.lit(v) for e in CATALOGUE.values() for v in (e.name, e.family)])
-    return catalogue_ids(spark, sf_dir).groupBy(families[F.col("algorithm")].alias("family")).agg(F.count("*").alias("outputs"))
+    families = spark.createDataFrame([(e.name, e.family) for e in CATALOGUE.values()], "algorithm string, family string")
+    made = catalogue_ids(spark, sf_dir).groupBy("algorithm").agg(F.count("*").alias("n"))
+    return made.join(F.broadcast(families), "algorithm").groupBy("family").agg(F.sum("n").alias("outputs"))
 
 
 @query("""WITH s AS (SELECT o_orderpriority AS scenario, list_sort(list(o_totalprice)) AS s, count(*) AS n FROM orders WHERE o_totalprice IS NOT NULL GROUP BY 1)
@@ -511,9 +511,8 @@ def _catalogue_ids_sql() -> str:
 
 @query(_catalogue_ids_sql())
 def catalogue_ids(spark, sf_dir):
-    parent = F.col("vec_id").cast("string")
-    made = F.array(*[F.struct(F.lit(name).alias("algorithm"), entries(small_entry(name))[0].recipe.identity_column(parent).alias("id")) for name in sorted(CATALOGUE)])
-    return _table(spark, sf_dir, "embeddings").select(parent.alias("parent_id"), F.explode(made).alias("m")).select("parent_id", "m.*")
+    recipes = [entries(small_entry(name))[0].recipe for name in sorted(CATALOGUE)]
+    return identified(_table(spark, sf_dir, "embeddings"), recipes, F.col("vec_id"), ["algorithm"])
 
 
 def parameters_table() -> list[tuple[str, str]]:

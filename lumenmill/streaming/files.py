@@ -11,18 +11,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..functions.recipes import Recipe
+from ..functions.recipes import Recipe, identified
 from ..plans.config import parse
-from ..plans.job import deliver, staged
+from ..plans.job import LEDGER, deliver, staged
 from ..plans.writers import writer_of
 from ..sources import parquet
 
 
 def stream_ledger(stream: DataFrame, recipes: list[Recipe], id_column: str, selection: str) -> DataFrame:
     """Ledger rows (without payload) of a streaming or static source."""
-    parent = F.col(id_column).cast("string")
-    rows = F.array(*[F.struct(*r.columns(parent, selection, selection)) for r in recipes])
-    return stream.select(F.explode(rows).alias("r")).select("r.*")
+    rows = identified(stream, recipes, F.col(id_column))
+    own = {"selection": F.lit(selection), "dataloader": F.lit(selection), "artifact": F.lit(None).cast("string")}
+    return rows.select(*[own[c].alias(c) if c in own else c for c in LEDGER.names])
 
 
 def start(spark: SparkSession, given: dict, schema: StructType, checkpoint: str, available_now: bool = True, selection: str | None = None) -> StreamingQuery:
