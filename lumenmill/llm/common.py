@@ -15,6 +15,15 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of characters other than space and U+0009..U+000D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+#: For scratch tables: no mark of success, and in folders that Hadoop sees as local no checksum files (pages have their own).
+#: Hadoop starts a process to set the mode of each such file, and until that has begun it shares all of the executor's memory.
+PLAIN_FILES = {
+    "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem",
+    "fs.file.impl.disable.cache": "true",
+    "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false",
+}
+CHECKED_PAGES = {"parquet.page.verify-checksum.enabled": "true"}
+
 
 class Scratch:
     """Tables written to the folder that ``spark.checkpoint.dir`` names.
@@ -38,8 +47,8 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it back: lineage is cut, work is done once."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        df.write.options(**PLAIN_FILES).mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).options(**CHECKED_PAGES).parquet(path)
 
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import pathlib
 import random
 import re
 import zlib
@@ -49,6 +50,23 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
+# --- scratch tables ---------------------------------------------------------------
+
+
+def test_scratch_writes_no_files_but_checked_parts(spark):
+    scratch = Scratch(spark, "plain")
+    rows = spark.range(3000, numPartitions=3).select("id", F.sha2(F.col("id").cast("string"), 512).alias("s"))
+    kept = scratch.keep(rows, "t")
+    assert sorted(kept.collect()) == sorted(rows.collect())
+    parts = [p for p in (pathlib.Path(scratch.root.removeprefix("file:")) / "t").iterdir()]
+    assert len(parts) == 3 and all(p.name.startswith("part-") for p in parts)
+    data = bytearray(parts[0].read_bytes())
+    data[len(data) // 3] ^= 1
+    parts[0].write_bytes(bytes(data))
+    with pytest.raises(Exception, match="(?i)checksum|CRC|corrupt|could not verify"):
+        kept.collect()
+
+
 # --- components ------------------------------------------------------------------
 
 
