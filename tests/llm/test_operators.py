@@ -67,6 +67,25 @@ def test_scratch_writes_no_files_but_checked_parts(spark):
         kept.collect()
 
 
+def test_scratch_lets_the_driver_give_freed_memory_back(spark):
+    memory, pid = spark.sparkContext._jvm.org.apache.spark.unsafe.Platform, spark.sparkContext._jvm.java.lang.ProcessHandle.current().pid()
+    held = lambda: int(re.search(r"\nRssAnon:\s+(\d+)", pathlib.Path(f"/proc/{pid}/status").read_text())[1]) // 1024
+    rows, scratch, blocks, size = spark.range(9), Scratch(spark, "freed"), [], 64 << 10
+    scratch.keep(rows, "before")
+    for _ in range(3200):
+        blocks.append(memory.allocateMemory(size))
+        memory.setMemory(blocks[-1], 1, size)
+    for k, block in enumerate(blocks):
+        if k % 16:  # what stays keeps the arenas open
+            memory.freeMemory(block)
+    freed = held()
+    scratch.keep(rows, "after")
+    given = freed - held()
+    for block in blocks[::16]:
+        memory.freeMemory(block)
+    assert given > 80
+
+
 # --- components ------------------------------------------------------------------
 
 
