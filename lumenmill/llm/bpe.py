@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, sliced, trim
+from .common import KEPT, frugal, sliced, trim
 
 #: Entries in each of the two generations of a worker's memo of words and chunks, and the longest that it holds.
 MEMO, MEMO_LENGTH = 130_000, 48
@@ -280,6 +280,7 @@ class Encoder:
 @functools.lru_cache(2)
 def encoder(path: str) -> Encoder:
     own = Encoder(path)
+    KEPT["encoder"] = encoder.cache_clear
     trim()  # what building it took
     return own
 
@@ -302,4 +303,4 @@ def tokenize(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
             columns = [batch.column(0), *([pa.array(list(c), f[1]) for c, f in zip(zip(*rows, strict=True), fields[1:], strict=True)] if rows else [pa.array([], f[1]) for f in fields[1:]])]
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(frugal(run), schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(frugal(run, "encoder"), schema)

@@ -7,6 +7,7 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
@@ -102,10 +103,27 @@ def trim_driver(spark: SparkSession) -> None:
         invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
 
 
-def frugal(run):
-    """``run`` for mapInArrow; what its task has freed is given back at its end, not when the worker ends."""
+#: How to forget what tasks of a kind keep in their worker for the next of that kind.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def forget(but: str | None = None) -> None:
+    """Forget what tasks of kinds other than ``but`` have kept in this worker."""
+    others = [kind for kind in KEPT if kind != but]
+    for kind in others:
+        KEPT.pop(kind)()
+    if others:
+        trim()
+
+
+def frugal(run, kind: str | None = None):
+    """``run`` for mapInArrow; what its task has freed is given back at its end, not when the worker ends.
+
+    What tasks of other kinds than this one's have kept in the worker goes at its start.
+    """
 
     def whole(batches):
+        forget(kind)
         try:
             yield from run(batches)
         finally:

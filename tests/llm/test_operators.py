@@ -8,11 +8,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lumenmill.llm import ann, bpe, langid, mixing, neardup, ngram_join, quality, sharding, suffix_dedup, toxicity
-from lumenmill.llm.common import Scratch
+from lumenmill.llm.common import Scratch, frugal
 from lumenmill.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -574,6 +575,25 @@ def test_tokens_empty(empty, vocabulary):
     assert bpe.tokenize(empty, vocabulary).collect() == []
 
 
+def test_other_work_in_a_worker_forgets_the_encoder(spark, docs, vocabulary):
+    rows = docs.coalesce(1)
+    bpe.tokenize(rows, vocabulary).collect()
+
+    def kept(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([bpe.encoder.cache_info().currsize])], ["n"])
+
+    def count(run):
+        return {r.n for r in rows.select("doc_id").mapInArrow(run, "n long").collect()}
+
+    bpe.encoder.cache_clear()
+    bpe.encoder(vocabulary)
+    for kind, left in (("encoder", 1), (None, 0)):
+        assert list(frugal(lambda batches: iter([bpe.encoder.cache_info().currsize]), kind)([])) == [left]
+    assert count(frugal(kept)) == {0}
+    assert bpe.tokenize(rows, vocabulary).count() == rows.count()
+
+
 # --- cases met before ---------------------------------------------------------------------------
 
 
