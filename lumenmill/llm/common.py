@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -105,13 +106,16 @@ def trim_driver(spark: SparkSession) -> None:
 
 #: How to forget what tasks of a kind keep in their worker for the next of that kind.
 KEPT: dict[str, Callable[[], None]] = {}
+#: The timer that forgets when a worker stays idle, for so many seconds.
+IDLE: list[threading.Timer] = []
+IDLE_S = 2
 
 
 def forget(but: str | None = None) -> None:
     """Forget what tasks of kinds other than ``but`` have kept in this worker."""
     others = [kind for kind in KEPT if kind != but]
     for kind in others:
-        KEPT.pop(kind)()
+        KEPT.pop(kind, lambda: None)()
     if others:
         trim()
 
@@ -119,15 +123,22 @@ def forget(but: str | None = None) -> None:
 def frugal(run, kind: str | None = None):
     """``run`` for mapInArrow; what its task has freed is given back at its end, not when the worker ends.
 
-    What tasks of other kinds than this one's have kept in the worker goes at its start.
+    What tasks of other kinds than this one's have kept in the worker goes at its start, what this kind keeps
+    once the worker has been idle for IDLE_S: an executor can have more workers than tasks.
     """
 
     def whole(batches):
+        while IDLE:
+            IDLE.pop().cancel()
         forget(kind)
         try:
             yield from run(batches)
         finally:
             trim()
+            if KEPT:
+                IDLE.append(threading.Timer(IDLE_S, forget))
+                IDLE[-1].daemon = True
+                IDLE[-1].start()
 
     return whole
 

@@ -5,6 +5,7 @@ import hashlib
 import pathlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -594,6 +595,14 @@ def test_other_work_in_a_worker_forgets_the_encoder(spark, docs, vocabulary):
     assert bpe.tokenize(rows, vocabulary).count() == rows.count()
 
 
+def test_an_idle_worker_forgets_the_encoder(vocabulary, monkeypatch):
+    monkeypatch.setattr("lumenmill.llm.common.IDLE_S", 0.5)
+    task = frugal(lambda batches: iter([bpe.encoder(vocabulary) is not None]), "encoder")
+    assert list(task([])) == [True] and bpe.encoder.cache_info().currsize == 1
+    time.sleep(2)
+    assert bpe.encoder.cache_info().currsize == 0
+
+
 # --- cases met before ---------------------------------------------------------------------------
 
 
