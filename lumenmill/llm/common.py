@@ -120,6 +120,21 @@ def forget(but: str | None = None) -> None:
         trim()
 
 
+def awake(kind: str | None) -> None:
+    """A task begins. A function of the module: what is sent with a task has copies of the tables above."""
+    while IDLE:
+        IDLE.pop().cancel()
+    forget(kind)
+
+
+def idle() -> None:
+    """A task has ended: what is kept goes if no other begins soon."""
+    if KEPT:
+        IDLE.append(threading.Timer(IDLE_S, forget))
+        IDLE[-1].daemon = True
+        IDLE[-1].start()
+
+
 def frugal(run, kind: str | None = None):
     """``run`` for mapInArrow; what its task has freed is given back at its end, not when the worker ends.
 
@@ -128,17 +143,12 @@ def frugal(run, kind: str | None = None):
     """
 
     def whole(batches):
-        while IDLE:
-            IDLE.pop().cancel()
-        forget(kind)
+        awake(kind)
         try:
             yield from run(batches)
         finally:
             trim()
-            if KEPT:
-                IDLE.append(threading.Timer(IDLE_S, forget))
-                IDLE[-1].daemon = True
-                IDLE[-1].start()
+            idle()
 
     return whole
 
